@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import ann, bpe, chat, linededup, neardup, packing, quality, simhash
+from helixlake.llm import ann, bpe, chat, license_texts, licenses, linededup, neardup, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,6 +40,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The canonical form of licenses.py in DuckDB's functions."""
+    low = f"translate(x, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    line = f"'  ' || regexp_replace(CASE WHEN regexp_matches({low}, '{licenses.COPYRIGHT}') THEN '' ELSE regexp_replace({low}, '{licenses.MARKS}', '') END, '{licenses.BREAKS}', '  ', 'g') || '  '"
+    for other, word in licenses.SPELLINGS.items():
+        line = f"replace({line}, ' {other} ', ' {word} ')"
+    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_texts.KNOWN)
+    return f"""
+WITH known_lines AS (SELECT k, license, i, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS n
+    FROM (SELECT row_number() OVER () AS k, license, t, 0 AS i FROM (VALUES {values}) v(license, t))),
+known_norm AS (SELECT k, license, n, trim({line}) AS line FROM known_lines),
+known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256(string_agg(line, '  ' ORDER BY n)) AS digest FROM known_norm WHERE line <> '' GROUP BY k, license) GROUP BY digest),
+doc_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+norm AS (SELECT doc_id, n, trim({line}) AS line FROM doc_lines),
+whole AS (SELECT doc_id, sha256(string_agg(line, '  ' ORDER BY n)) AS digest FROM norm WHERE line <> '' GROUP BY doc_id),
+notices AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM norm JOIN known ON sha256(line) = digest WHERE line <> '' GROUP BY doc_id)
+SELECT d.doc_id, w.digest, k.license, coalesce(n.n_notices, 0) AS n_notices, coalesce(n.notices, '') AS notices
+FROM documents d LEFT JOIN whole w ON w.doc_id = d.doc_id LEFT JOIN known k ON k.digest = w.digest LEFT JOIN notices n ON n.doc_id = d.doc_id"""
+
+
+ORACLE["op6_license_scan"] = _license_sql()
+
+
 @query
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(20)) == 0)
