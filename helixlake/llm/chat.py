@@ -89,14 +89,17 @@ def mask_of(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return (at >= 0) & (offsets[:, 1] <= edges[np.maximum(at, 0), 1]) & (offsets[:, 1] > offsets[:, 0])
 
 
-def learnt(formatted: str, starts: list[int], ends: list[int], mask: list[bool]) -> str:
+def learnt(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
     """All text under a loss mask, unescaped; characters that several tokens share come once."""
-    out, done = [], 0
-    for a, b, on in zip(starts, ends, mask):
-        if on and b > done:
-            out.append(formatted[max(a, done) : b])
-            done = b
-    return unescape("".join(out))
+    starts, ends = starts[mask], ends[mask]
+    if not len(ends):
+        return ""
+    done = np.maximum.accumulate(ends)
+    starts[1:] = np.maximum(starts[1:], done[:-1])
+    new = starts < ends
+    starts, ends = starts[new], ends[new]
+    gap = np.flatnonzero(starts[1:] != ends[:-1]) + 1  # runs without a gap are one slice
+    return unescape("".join(formatted[i:j] for i, j in zip(starts[[0, *gap]], ends[[*(gap - 1), -1]])))
 
 
 def format_conversations(rows: DataFrame, tokenizer: str, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",), template: Template = Template()) -> DataFrame:
@@ -116,16 +119,26 @@ def format_conversations(rows: DataFrame, tokenizer: str, *, conv_id: str = "con
     def run(frames):
         encoder = tokenizer_for(tokenizer, template)
 
-        def made():
-            for frame in frames:
-                for key, roles, texts in zip(*(c.to_pylist() for c in frame.columns)):
-                    formatted, spans = render(list(zip(roles, texts)), template)
-                    encoding = encoder.encode(formatted, add_special_tokens=False)
-                    offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
-                    mask = mask_of(offsets, [s for s, r in zip(spans, roles) if r in learn])
-                    yield key, formatted, len(roles), encoding.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), mask.tolist()
-
-        yield from common.batches(made(), schema, 3)
+        def flush(rows):
+            keys, texts, turns, *lists = zip(*rows)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists[0]])]).astype(np.int32))
+            flat = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in lists]
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(texts, pa.string()), pa.array(turns, pa.int64()), *flat], schema=schema)
+
+        held, size = [], 0
+        for frame in frames:
+            for key, roles, texts in zip(*(c.to_pylist() for c in frame.columns)):
+                formatted, spans = render(list(zip(roles, texts)), template)
+                encoding = encoder.encode(formatted, add_special_tokens=False)
+                offsets = np.array(encoding.offsets, np.int32).reshape(-1, 2)
+                mask = mask_of(offsets, [s for s, r in zip(spans, roles) if r in learn])
+                held.append((key, formatted, len(roles), np.array(encoding.ids, np.int32), offsets[:, 0], offsets[:, 1], mask))
+                size += len(formatted) + 13 * len(mask)
+                if size > common.OUT_BYTES:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return whole.mapInArrow(run, T.StructType([whole.schema["conv_id"], T.StructField("formatted", T.StringType()), T.StructField("n_turns", T.LongType()), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")), T.StructField("loss_mask", T.ArrayType(T.BooleanType()))]))
 
@@ -140,9 +153,12 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     def run(frames):
         def rows():
             for frame in frames:
-                for key, value, starts, ends, mask in zip(*(c.to_pylist() for c in frame.columns)):
+                keys, texts = frame.column(0).to_pylist(), frame.column(1).to_pylist()
+                starts, ends, mask = (c.flatten().to_numpy(zero_copy_only=False) for c in frame.columns[2:])
+                edges = frame.column(2).offsets.to_numpy() - frame.column(2).offsets[0].as_py()
+                for key, value, a, b in zip(keys, texts, edges, edges[1:]):
                     found = [{"role": r, "text": x} for r, x in parse(value, template)]
-                    yield key, value, found, learnt(value, starts, ends, mask)
+                    yield key, value, found, learnt(value, starts[a:b], ends[a:b], mask[a:b])
 
         yield from common.batches(rows(), schema, 1)
 

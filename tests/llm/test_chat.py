@@ -22,9 +22,9 @@ def test_rendering_is_reversible_and_masks_are_exact(turns):
     for control in TEMPLATE.reserved:
         assert control not in formatted
     encoding = chat.tokenizer_for(PATH, TEMPLATE).encode(formatted, add_special_tokens=False)
-    offsets = np.array(encoding.offsets).reshape(-1, 2)
+    offsets = np.array(encoding.offsets, int).reshape(-1, 2)
     mask = chat.mask_of(offsets, [s for s, (r, _) in zip(spans, turns) if r == "assistant"])
-    assert chat.learnt(formatted, *offsets.T.tolist(), mask.tolist()) == "".join(t for r, t in turns if r == "assistant") if len(offsets) else True
+    assert chat.learnt(formatted, offsets[:, 0], offsets[:, 1], mask) == "".join(t for r, t in turns if r == "assistant")
 
 
 def test_table(spark):
