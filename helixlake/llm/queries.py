@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import ann, bpe, chat, license_texts, licenses, linededup, neardup, packing, quality, simhash
+from helixlake.llm import ann, bpe, chat, common, license_texts, licenses, linededup, materialise, neardup, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,6 +113,14 @@ FROM rows GROUP BY conv_id
 """
 
 
+@query
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards, and returns what a reader finds in them."""
+    to = f"{common.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    materialise.write_shards(read(spark, sf_dir, "documents"), to, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return materialise.read_shards(spark, to).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
