@@ -1,0 +1,14 @@
+"""Registered queries of the workbench."""
+
+import importlib
+
+MODULES = ["evolution", "spatial"]
+
+
+def load():
+    """(queries, oracle SQL) of all plan modules."""
+    from helixlake.plans import registry
+
+    for name in MODULES:
+        importlib.import_module(f"helixlake.plans.{name}")
+    return registry.QUERIES, registry.ORACLE
