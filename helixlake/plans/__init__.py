@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["evolution", "spatial"]
+MODULES = ["evolution", "spatial", "omics"]
 
 
 def load():
