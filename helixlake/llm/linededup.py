@@ -113,7 +113,7 @@ def templates(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """(row, lines): numbers, from 0, of the lines to drop from each row that loses any."""
     found = common.cut(template_lines(docs, doc_id=doc_id, text=text, min_docs=min_docs, depth=depth))
-    known = templates(found, min_docs)
+    known = common.cut(templates(found, min_docs))  # so that the join below may split a hot template
     gone = found.join(known, "template").where(F.col("row") != F.col("first.row"))
     return gone.groupBy("row").agg(F.collect_set("line_no").alias("lines"))
 
