@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["evolution", "spatial", "omics"]
+MODULES = ["evolution", "spatial", "omics", "workbench"]
 
 
 def load():

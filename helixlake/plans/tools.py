@@ -17,3 +17,18 @@ def r(expression: str, name: str | None = None, digits: int = 6) -> str:
     """The same rounding as SQL."""
     scale = f"{10**digits}.0::DOUBLE"
     return f"floor(({expression}) * {scale} + 0.5) / {scale} AS {name or expression}"
+
+
+def values(name: str, columns: str, rows: list[tuple]) -> str:
+    """A constant table as a CTE."""
+
+    def lit(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, bool):
+            return str(x).lower()
+        if isinstance(x, (list, tuple)):
+            return "[" + ", ".join(map(lit, x)) + "]"
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(lit, row)) + ')' for row in rows)})"
