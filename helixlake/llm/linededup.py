@@ -100,6 +100,7 @@ def template_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     formed = distinct.join(fields, ["leaf", "hash"], "left").withColumn("general", F.when(F.col("fields").isNull(), token).otherwise(general))
     fits = (constant >= MIN_CONSTANT) & (constant >= SHARE * F.size("general"))
     formed = formed.select("leaf", "hash", F.when(fits, F.array_join("general", " ")).otherwise(F.col("line")).alias("template"))
+    formed = common.cut(formed)  # so that the join below may split a hot line
     return there.drop("line").join(formed, ["leaf", "hash"]).select("row", "doc_id", "line_no", "template")
 
 
