@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["evolution", "spatial", "omics", "workbench"]
+MODULES = ["evolution", "spatial", "omics", "workbench", "literature"]
 
 
 def load():
