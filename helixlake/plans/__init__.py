@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["evolution", "spatial", "omics", "workbench", "literature"]
+MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation"]
 
 
 def load():
