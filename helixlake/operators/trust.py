@@ -17,16 +17,16 @@ def meets_floor(tier: Column, floor: Column) -> Column:
 
 
 def tools(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(k.TOOL_TIERS, "tool string, tier string")
+    return spark.createDataFrame(k.TOOL_TIERS, "tool string, tier string").coalesce(1)
 
 
 def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(k.EDGES, "a string, b string, kind string, mode string")
+    return spark.createDataFrame(k.EDGES, "a string, b string, kind string, mode string").coalesce(1)
 
 
 def policies(spark: SparkSession) -> DataFrame:
     """(tool, surface, allowed, needs_provenance, needs_gate, denies_drafts): every tool on every surface."""
-    s = spark.createDataFrame(k.SURFACES, "surface string, allowed array<string>, needs_provenance boolean, needs_gate boolean, denies_drafts boolean")
+    s = spark.createDataFrame(k.SURFACES, "surface string, allowed array<string>, needs_provenance boolean, needs_gate boolean, denies_drafts boolean").coalesce(1)
     return tools(spark).select("tool").crossJoin(F.broadcast(s))  # 14 by 5 constants
 
 
@@ -74,7 +74,7 @@ def downstream_gate(sources: DataFrame, targets: DataFrame) -> DataFrame:
     out = F.struct(F.lit(True).alias("allowed"), F.lit("allow").alias("severity"), F.lit(7).alias("rule"))
     for number, (when, allowed, severity) in reversed(list(enumerate(rules, 1))):
         out = F.when(when, F.struct(F.lit(allowed).alias("allowed"), F.lit(severity).alias("severity"), F.lit(number).alias("rule"))).otherwise(out)
-    return sources.join(targets, sources.source != targets.target).select("source", "target", out.alias("d")).select("source", "target", "d.*")
+    return sources.join(F.broadcast(targets), sources.source != targets.target).select("source", "target", out.alias("d")).select("source", "target", "d.*")
 
 
 def contract_status(payloads: DataFrame) -> DataFrame:

@@ -100,9 +100,10 @@ SELECT tool, surface, tier, draft, provenance, human, CASE WHEN rule <= 6 THEN '
 CASE rule WHEN 2 THEN 'TIER_NOT_ALLOWED_FOR_SURFACE' WHEN 3 THEN 'DRAFT_OUTPUT_NOT_EXPORTABLE' WHEN 4 THEN CASE WHEN tier = 'demo' AND surface = 'protocol' THEN 'DEMO_OUTPUT_PROTOCOL_BLOCKED' WHEN tier = 'demo' AND surface = 'external-handoff' THEN 'EXTERNAL_HANDOFF_BLOCKED' ELSE 'TIER_NOT_ALLOWED_FOR_SURFACE' END
  WHEN 5 THEN 'PROVENANCE_REQUIRED' WHEN 6 THEN 'HUMAN_GATE_REQUIRED' WHEN 7 THEN 'HUMAN_GATE_REQUIRED' END AS code, CASE WHEN rule IN (2, 4, 6) THEN 'not-allowed' WHEN rule IN (3, 5, 7) THEN 'human-review' END AS override FROM d""")
 def policy_matrix(spark, sf_dir):
-    case = lambda values, name, kind: spark.createDataFrame([(x,) for x in values], f"{name} {kind}")
+    each = lambda values, kind: F.explode(F.array(*[F.lit(x).cast(kind) for x in values]))
     p = trust.policies(spark)
-    r = p.select("tool", "surface").crossJoin(case(["demo", "partial", "real", None], "tier", "string")).crossJoin(case([True, False], "draft", "boolean")).crossJoin(case([0, 2], "provenance", "int")).crossJoin(case([None, "approved", "rejected", "pending"], "human", "string"))  # constants
+    r = p.select("tool", "surface", each(["demo", "partial", "real", None], "string").alias("tier"))
+    r = r.withColumn("draft", each([True, False], "boolean")).withColumn("provenance", each([0, 2], "int")).withColumn("human", each([None, "approved", "rejected", "pending"], "string"))
     return trust.decide(r, p)
 
 
@@ -110,8 +111,8 @@ def policy_matrix(spark, sf_dir):
 g AS (SELECT source || '/' || p::VARCHAR || b::VARCHAR || w::VARCHAR AS source, t.tool AS target, CASE WHEN NOT p THEN 1 WHEN s.tier = 'demo' AND t.tier = 'demo' THEN 2 WHEN s.tier = 'demo' THEN CASE WHEN t.tier IN ('partial', 'real') THEN 3 ELSE 7 END WHEN t.tier = 'real' AND b > 0 THEN 4 WHEN t.tier = 'partial' AND b > 0 THEN 5 WHEN w > 0 OR s.tier = 'partial' OR t.tier = 'partial' THEN 6 ELSE 7 END AS rule FROM s, tools t)
 SELECT source, target, rule IN (2, 6, 7) AS allowed, CASE WHEN rule IN (2, 6) THEN 'warn' WHEN rule = 7 THEN 'allow' ELSE 'block' END AS severity, rule FROM g""")
 def downstream_gate(spark, sf_dir):
-    flags = spark.createDataFrame([(p, b, w) for p in (True, False) for b in (0, 1) for w in (0, 1)], "p boolean, b int, w int")
-    s = trust.tools(spark).crossJoin(flags)  # constants
+    each = lambda *values: F.explode(F.array(*map(F.lit, values)))
+    s = trust.tools(spark).withColumn("p", each(True, False)).withColumn("b", each(0, 1)).withColumn("w", each(0, 1))
     s = s.select(F.concat("tool", F.lit("/"), F.col("p").cast("string"), F.col("b").cast("string"), F.col("w").cast("string")).alias("source"), "tier", F.col("p").alias("has_provenance"), F.col("b").alias("blocking"), F.col("w").alias("warnings"))
     return trust.downstream_gate(s, trust.tools(spark).withColumnsRenamed({"tool": "target", "tier": "target_tier"}))
 
