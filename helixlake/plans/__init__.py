@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation"]
+MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation", "records"]
 
 
 def load():
