@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation", "records"]
+MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation", "records", "lab"]
 
 
 def load():
