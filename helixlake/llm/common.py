@@ -4,36 +4,20 @@ from __future__ import annotations
 
 import functools
 import json
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.session import cut, shared_dir  # noqa: F401
+
 #: Bytes of payload after which a Python worker hands a record batch back to the JVM.
 OUT_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="helixlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; later stages no longer depend on the lineage above."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
