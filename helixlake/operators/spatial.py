@@ -142,7 +142,7 @@ def average_neighbors(cells: DataFrame, edges: DataFrame) -> DataFrame:
 def morans_i(expression: DataFrame, edges: DataFrame) -> DataFrame:
     """Moran's I per gene over directed neighbour edges (i, j), with expectation, z and p; restricted if p < 0.05 and I > 0.2."""
     g = expression.groupBy("gene").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    x = expression.join(F.broadcast(g), "gene").select("cell", "gene", "n", (F.col("value") - F.col("mean")).alias("z"))
+    x = expression.join(g, "gene").select("cell", "gene", "n", (F.col("value") - F.col("mean")).alias("z"))
     den = x.groupBy("gene").agg(F.sum(F.col("z") * F.col("z")).alias("den"), F.first("n").alias("n"))
     a = x.select(F.col("cell").alias("i"), "gene", F.col("z").alias("zi"))
     b = x.select(F.col("cell").alias("j"), "gene", F.col("z").alias("zj"))
