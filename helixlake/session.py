@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +25,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder; later stages no longer depend on the lineage above."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application.
+
+    Nothing is sent where the package's folder is on PYTHONPATH or is the working directory, as
+    local executors inherit both; a cluster that has the package installed should set PYTHONPATH.
+    """
+    root, sc = Path(__file__).resolve().parents[1], spark.sparkContext
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _SHIPPED or root in {Path(p).resolve() for p in paths if p}:
+        return
+    target = Path(tempfile.mkdtemp(prefix="helixlake-")) / "helixlake.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in [*root.glob("helixlake/**/*.py"), *root.glob("corpus_pipeline.py")]:
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
