@@ -7,6 +7,7 @@ token spans by binary search. Turn marks are special tokens, so no token lies ac
 from __future__ import annotations
 
 import functools
+import json
 import re
 from typing import NamedTuple
 
@@ -70,14 +71,39 @@ def parse(formatted: str, template: Template = Template()) -> list[tuple[str, st
     return turns
 
 
-@functools.cache
-def tokenizer_for(path: str, template: Template):
-    """The tokenizer file with the template's marks as special tokens behind its own vocabulary."""
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids and character offsets of a rendered conversation; the template's marks are special tokens behind the file's own.
+
+    Tokens spell bytes, so their offsets are running sums of their lengths; of a character that several
+    tokens share, each has the whole.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.add_special_tokens(list(template.marks))
-    return tokenizer
+    def __init__(self, path: str, pattern: str, template: Template):
+        import tiktoken
+
+        ranks = common.byte_level_ranks(path)
+        with open(path, encoding="utf-8") as f:
+            own = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        first = max(*ranks.values(), *own.values(), 0) + 1
+        special = own | {mark: first + i for i, mark in enumerate(template.marks)}
+        self._encoding = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self._length = np.zeros(first + len(template.marks), np.int64)
+        for spelling, i in [*ranks.items(), *((k.encode(), i) for k, i in special.items())]:
+            self._length[i] = len(spelling)
+
+    def encode(self, formatted: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._encoding.encode_to_numpy(formatted, allowed_special="all").astype(np.int32)
+        ends = np.cumsum(self._length[ids])
+        offsets = np.stack([ends - self._length[ids], ends], axis=1)
+        if len(ids) and not formatted.isascii():
+            place = np.cumsum((np.frombuffer(formatted.encode(), np.uint8) & 0xC0) != 0x80)
+            offsets = np.stack([place[offsets[:, 0]] - 1, place[ends - 1]], axis=1)
+        return ids, offsets.astype(np.int32)
+
+
+@functools.cache
+def encoder_for(path: str, pattern: str, template: Template) -> Encoder:
+    return Encoder(path, pattern, template)
 
 
 def mask_of(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -102,7 +128,7 @@ def learnt(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarra
     return unescape("".join(formatted[i:j] for i, j in zip(starts[[0, *gap]], ends[[*(gap - 1), -1]])))
 
 
-def format_conversations(rows: DataFrame, tokenizer: str, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",), template: Template = Template()) -> DataFrame:
+def format_conversations(rows: DataFrame, tokenizer: str, pattern: str, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",), template: Template = Template()) -> DataFrame:
     """(conv_id, formatted, n_turns, ids, starts, ends, loss_mask), one row per conversation.
 
     Turns follow ``turn``; ties go by role and text, null turns come first. Null texts and roles are
@@ -117,7 +143,7 @@ def format_conversations(rows: DataFrame, tokenizer: str, *, conv_id: str = "con
     schema = pa.schema([("conv_id", kind), ("formatted", pa.string()), ("n_turns", pa.int64()), ("ids", ints), ("starts", ints), ("ends", ints), ("loss_mask", pa.list_(pa.bool_()))])
 
     def run(frames):
-        encoder = tokenizer_for(tokenizer, template)
+        encoder = encoder_for(tokenizer, pattern, template)
 
         def flush(rows):
             keys, texts, turns, *lists = zip(*rows)
@@ -129,10 +155,9 @@ def format_conversations(rows: DataFrame, tokenizer: str, *, conv_id: str = "con
         for frame in frames:
             for key, roles, texts in zip(*(c.to_pylist() for c in frame.columns)):
                 formatted, spans = render(list(zip(roles, texts)), template)
-                encoding = encoder.encode(formatted, add_special_tokens=False)
-                offsets = np.array(encoding.offsets, np.int32).reshape(-1, 2)
+                ids, offsets = encoder.encode(formatted)
                 mask = mask_of(offsets, [s for s, r in zip(spans, roles) if r in learn])
-                held.append((key, formatted, len(roles), np.array(encoding.ids, np.int32), offsets[:, 0], offsets[:, 1], mask))
+                held.append((key, formatted, len(roles), ids, offsets[:, 0], offsets[:, 1], mask))
                 size += len(formatted) + 13 * len(mask)
                 if size > common.OUT_BYTES:
                     yield flush(held)

@@ -4,11 +4,14 @@ import numpy as np
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from helixlake.llm import chat
 
 PATH = P.path("byte_bpe_50k.json")
 TEMPLATE = chat.Template()
+LIBRARY = Tokenizer.from_file(PATH)
+LIBRARY.add_special_tokens(list(TEMPLATE.marks))
 piece = st.one_of(st.text(max_size=8), st.sampled_from([*TEMPLATE.marks, *TEMPLATE.reserved, "\\", "<", "[", "<|", "<<", " ", "\n", "é🙂"])).filter(lambda x: all(not 0xD800 <= ord(c) < 0xE000 for c in x))
 text = st.lists(piece, max_size=8).map("".join)
 
@@ -21,8 +24,9 @@ def test_rendering_is_reversible_and_masks_are_exact(turns):
     assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for _, t in turns]
     for control in TEMPLATE.reserved:
         assert control not in formatted
-    encoding = chat.tokenizer_for(PATH, TEMPLATE).encode(formatted, add_special_tokens=False)
-    offsets = np.array(encoding.offsets, int).reshape(-1, 2)
+    ids, offsets = chat.encoder_for(PATH, P.PATTERN, TEMPLATE).encode(formatted)
+    library = LIBRARY.encode(formatted, add_special_tokens=False)
+    assert ids.tolist() == library.ids and offsets.tolist() == [list(o) for o in library.offsets]
     mask = chat.mask_of(offsets, [s for s, (r, _) in zip(spans, turns) if r == "assistant"])
     assert chat.learnt(formatted, offsets[:, 0], offsets[:, 1], mask) == "".join(t for r, t in turns if r == "assistant")
 
@@ -30,15 +34,15 @@ def test_rendering_is_reversible_and_masks_are_exact(turns):
 def test_table(spark):
     rows = [(1, 1, "assistant", "b\\"), (1, 0, "user", "a"), (2, 0, "user", None), (3, 0, None, "x"), (3, 0, None, "x"), (None, 5, "assistant", "<|end|>"), (4, None, "assistant", ""), (5, 0, "assistant", "long é " * 30_000)]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string").repartition(3)
-    out = {r.conv_id: r for r in chat.format_conversations(table, PATH).collect()}
-    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(table, PATH)).collect()}
+    out = {r.conv_id: r for r in chat.format_conversations(table, PATH, P.PATTERN).collect()}
+    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(table, PATH, P.PATTERN)).collect()}
     assert [tuple(t) for t in back[1].turns] == [("user", "a"), ("assistant", "b\\")] and back[1].learnt == "b\\"
     assert [tuple(t) for t in back[2].turns] == [("user", "")] and back[2].learnt == ""
     assert [tuple(t) for t in back[3].turns] == [("", "x"), ("", "x")]
     assert back[None].learnt == "<|end|>" and back[4].learnt == "" and back[5].learnt == "long é " * 30_000
     assert sum(out[1].loss_mask) == 1 or sum(out[1].loss_mask) == 2
     assert all(len(r.ids) == len(r.starts) == len(r.ends) == len(r.loss_mask) for r in out.values())
-    assert chat.read_back(chat.format_conversations(table.limit(0), PATH)).count() == 0
+    assert chat.read_back(chat.format_conversations(table.limit(0), PATH, P.PATTERN)).count() == 0
 
 
 def test_query(spark, tmp_path):
