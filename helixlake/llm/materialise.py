@@ -21,8 +21,11 @@ from helixlake.llm import common, packing
 ROUNDS = 6
 #: Sequences of a shard: 8 MB at 1024 ids of 16 bits.
 SHARD = 4096
-#: Ids of one block of the stream, and bytes a task gathers before it sends its blocks on.
-BLOCK_IDS, GATHER = 1 << 18, 48 << 20
+#: Ids of one block of the stream (under 256 KB at 16 bits, which the compressor does best), and bytes a task
+#: gathers before it sends its blocks on.
+BLOCK_IDS, GATHER = 120_000, 48 << 20
+#: Compression of both kinds of block.
+LEVEL = 7
 
 
 def _mixed(right: np.ndarray, key: int, rnd: int, half: int) -> np.ndarray:
@@ -71,7 +74,7 @@ def stream_table(docs: DataFrame, tokenizer: str, pattern: str, *, text: str = "
         import zstandard
 
         encoding, part, at = common.fast_encoding(tokenizer, pattern), common.partition_id(), 0
-        kind, press = packing.id_type(encoding.n_vocab), zstandard.ZstdCompressor(3).compress
+        kind, press = packing.id_type(encoding.n_vocab), zstandard.ZstdCompressor(LEVEL).compress
 
         def blocks():
             nonlocal at
@@ -122,7 +125,7 @@ def write_shards(docs: DataFrame, to: str, tokenizer: str, pattern: str, *, key:
         """Gather the pieces for each shard, and send them as one compressed block."""
         import zstandard
 
-        press, unpress = zstandard.ZstdCompressor(3).compress, zstandard.ZstdDecompressor().decompress
+        press, unpress = zstandard.ZstdCompressor(LEVEL).compress, zstandard.ZstdDecompressor().decompress
 
         def blocks():
             heads, bodies, size = {}, {}, 0
