@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality classifier, line dedup, SimHash near-dedup, packing.
+"""The corpus pipeline: quality classifier, line dedup, near-dedup, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame that is written as Parquet and read again as the next one's ``docs``. All but the last
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import common, linededup, quality, simhash
+from helixlake.llm import common, linededup, nearcopies, quality
 from helixlake.llm.queries import pack_documents
 
 
@@ -28,8 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every near-duplicate group the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of every group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    return nearcopies.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
