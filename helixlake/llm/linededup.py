@@ -4,7 +4,8 @@ A line descends by its number of tokens and its leading tokens to a leaf; tokens
 an ``@`` or ``://`` are variable fields from the start. In a leaf, a token that too few documents
 have at its position is a variable field too, so lines that differ there share a template. This is
 decided by counts and not by the order of arrival, so the tree is the same however the lines are
-dealt out. Templates found in ``min_docs`` documents recur; of each, the lines stay in the document
+dealt out. Where the constants of a template are too few, its lines only share one with lines that are
+the same in their original words. Templates found in ``min_docs`` documents recur; of each, the lines stay in the document
 with the smallest id, where they were seen first, and are dropped everywhere else.
 """
 
@@ -55,9 +56,12 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH, with_text: bool = True) -> DataFrame:
-    """(row, doc_id, line_no, leaf, line) of every line with ``min_tokens``; without text, the leaves of each row."""
+    """(row, doc_id, line_no, leaf, line, own) of every line with ``min_tokens``; without text, the leaves of each row.
+
+    ``line`` has its obvious variable fields replaced, ``own`` is the hash of the line as it was.
+    """
     own = _keyed(docs, doc_id, text).select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    kinds = pa.schema([("row", pa.int64()), ("doc_id", common.arrow_type(own, "doc_id")), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.string())])
+    kinds = pa.schema([("row", pa.int64()), ("doc_id", common.arrow_type(own, "doc_id")), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.string()), ("own", pa.int64())])
 
     def parse(frames):
         def rows():
@@ -70,14 +74,15 @@ def lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_to
                             continue
                         leaf = _hash(leaf_of(tokens, depth))
                         if with_text:
-                            yield row, key, number, leaf, " ".join(tokens)
+                            masked = " ".join(tokens)
+                            yield row, key, number, leaf, masked, _hash(" ".join(line.split()) if FIELD in masked else masked)
                         elif leaf not in seen:
                             seen.add(leaf)
-                            yield row, key, number, leaf, None
+                            yield row, key, number, leaf, None, None
 
         yield from common.batches(rows(), kinds, 4)
 
-    return own.mapInArrow(parse, T.StructType([T.StructField("row", T.LongType()), own.schema["doc_id"], T.StructField("line_no", T.IntegerType()), T.StructField("leaf", T.LongType()), T.StructField("line", T.StringType())]))
+    return own.mapInArrow(parse, T.StructType([T.StructField("row", T.LongType()), own.schema["doc_id"], T.StructField("line_no", T.IntegerType()), T.StructField("leaf", T.LongType()), T.StructField("line", T.StringType()), T.StructField("own", T.LongType())]))
 
 
 def template_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
@@ -99,9 +104,10 @@ def template_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     constant = F.size(F.filter("general", lambda t: t != FIELD))
     formed = distinct.join(fields, ["leaf", "hash"], "left").withColumn("general", F.when(F.col("fields").isNull(), token).otherwise(general))
     fits = (constant >= MIN_CONSTANT) & (constant >= SHARE * F.size("general"))
-    formed = formed.select("leaf", "hash", F.when(fits, F.array_join("general", " ")).otherwise(F.col("line")).alias("template"))
+    formed = formed.select("leaf", "hash", F.when(fits, F.array_join("general", " ")).alias("template"))
     formed = common.cut(formed)  # so that the join below may split a hot line
-    return there.drop("line").join(formed, ["leaf", "hash"]).select("row", "doc_id", "line_no", "template")
+    template = F.coalesce("template", F.concat(F.lit("= "), "own"))  # of two tokens, as no line is
+    return there.drop("line").join(formed, ["leaf", "hash"]).select("row", "doc_id", "line_no", template.alias("template"))
 
 
 def templates(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
