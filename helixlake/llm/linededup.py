@@ -6,7 +6,8 @@ have at its position is a variable field too, so lines that differ there share a
 decided by counts and not by the order of arrival, so the tree is the same however the lines are
 dealt out. Where the constants of a template are too few, its lines only share one with lines that are
 the same in their original words. Templates found in ``min_docs`` documents recur; of each, the lines stay in the document
-with the smallest id, where they were seen first, and are dropped everywhere else.
+with the smallest id, where they were seen first, and are dropped everywhere else. A line of more than
+``LONG`` tokens also recurs where just two documents have it word for word, by a hash of the line.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ FIELD = "<*>"
 DEPTH = 3
 #: Documents in which a template must lie to recur; also what keeps a token of a leaf constant.
 MIN_DOCS = 5
+#: Lines of more tokens recur from two documents on where they are the same word for word.
+LONG, LONG_DOCS = 50, 2
 #: Shorter lines are never templates.
 MIN_TOKENS = 4
 #: Constant tokens that a template with variable fields needs, and their least share of its tokens.
@@ -56,12 +59,13 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH, with_text: bool = True) -> DataFrame:
-    """(row, doc_id, line_no, leaf, line, own) of every line with ``min_tokens``; without text, the leaves of each row.
+    """(row, doc_id, line_no, leaf, line, own, long) of every line with ``min_tokens``; without text, the leaves of each row.
 
-    ``line`` has its obvious variable fields replaced, ``own`` is the hash of the line as it was.
+    ``line`` has its obvious variable fields replaced, ``own`` is the hash of the line as it was; lines
+    of more than ``LONG`` tokens are long.
     """
     own = _keyed(docs, doc_id, text).select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    kinds = pa.schema([("row", pa.int64()), ("doc_id", common.arrow_type(own, "doc_id")), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.string()), ("own", pa.int64())])
+    kinds = pa.schema([("row", pa.int64()), ("doc_id", common.arrow_type(own, "doc_id")), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.string()), ("own", pa.int64()), ("long", pa.bool_())])
 
     def parse(frames):
         def rows():
@@ -75,20 +79,23 @@ def lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_to
                         leaf = _hash(leaf_of(tokens, depth))
                         if with_text:
                             masked = " ".join(tokens)
-                            yield row, key, number, leaf, masked, _hash(" ".join(line.split()) if FIELD in masked else masked)
+                            yield row, key, number, leaf, masked, _hash(" ".join(line.split()) if FIELD in masked else masked), len(tokens) > LONG
                         elif leaf not in seen:
                             seen.add(leaf)
-                            yield row, key, number, leaf, None, None
+                            yield row, key, number, leaf, None, None, len(tokens) > LONG
 
         yield from common.batches(rows(), kinds, 4)
 
-    return own.mapInArrow(parse, T.StructType([T.StructField("row", T.LongType()), own.schema["doc_id"], T.StructField("line_no", T.IntegerType()), T.StructField("leaf", T.LongType()), T.StructField("line", T.StringType()), T.StructField("own", T.LongType())]))
+    return own.mapInArrow(parse, T.StructType([T.StructField("row", T.LongType()), own.schema["doc_id"], T.StructField("line_no", T.IntegerType()), T.StructField("leaf", T.LongType()), T.StructField("line", T.StringType()), T.StructField("own", T.LongType()), T.StructField("long", T.BooleanType())]))
 
 
 def template_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
-    """(row, doc_id, line_no, template) of every line in a leaf that ``min_docs`` rows have."""
+    """(row, doc_id, line_no, template, least) of every line in a leaf that ``min_docs`` rows have, ``LONG_DOCS`` if its lines are long.
+
+    ``least`` is the number of rows from which the template recurs. Long lines come twice, once by themselves.
+    """
     rows = {"doc_id": doc_id, "text": text, "depth": depth}
-    leaves = lines(docs, with_text=False, **rows).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    leaves = lines(docs, with_text=False, **rows).groupBy("leaf").agg(F.count("*").alias("count"), F.max("long").alias("long")).where((F.col("count") >= min_docs) | F.col("long") & (F.col("count") >= LONG_DOCS)).select("leaf")
     there = lines(docs, **rows).join(common.cut(leaves), "leaf", "left_semi")
     there = common.cut(there.withColumn("hash", F.xxhash64("line")))
     distinct = there.groupBy("leaf", "hash").agg(F.first("line").alias("line"), F.count("*").alias("n"))
@@ -107,20 +114,22 @@ def template_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     formed = formed.select("leaf", "hash", F.when(fits, F.array_join("general", " ")).alias("template"))
     formed = common.cut(formed)  # so that the join below may split a hot line
     template = F.coalesce("template", F.concat(F.lit("= "), "own"))  # of two tokens, as no line is
-    return there.drop("line").join(formed, ["leaf", "hash"]).select("row", "doc_id", "line_no", template.alias("template"))
+    general = there.drop("line").join(formed, ["leaf", "hash"]).select("row", "doc_id", "line_no", template.alias("template"), F.lit(min_docs).alias("least"))
+    whole = F.concat(F.lit("=long "), "own")
+    return general.union(there.where("long").select("row", "doc_id", "line_no", whole.alias("template"), F.lit(LONG_DOCS).alias("least")))
 
 
-def templates(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def templates(found: DataFrame) -> DataFrame:
     """Recurring templates (template, n_docs, first) of :func:`template_lines`; ``first`` names the row that keeps its lines."""
-    once = found.groupBy("template", "row").agg(F.min("doc_id").alias("doc_id"))
+    once = found.groupBy("template", "row").agg(F.min("doc_id").alias("doc_id"), F.first("least").alias("least"))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    return once.groupBy("template").agg(F.count("*").alias("n_docs"), F.min(place).alias("first")).where(F.col("n_docs") >= min_docs)
+    return once.groupBy("template").agg(F.count("*").alias("n_docs"), F.min(place).alias("first"), F.first("least").alias("least")).where("n_docs >= least").drop("least")
 
 
 def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """(row, lines): numbers, from 0, of the lines to drop from each row that loses any."""
     found = common.cut(template_lines(docs, doc_id=doc_id, text=text, min_docs=min_docs, depth=depth))
-    known = common.cut(templates(found, min_docs))  # so that the join below may split a hot template
+    known = common.cut(templates(found))  # so that the join below may split a hot template
     gone = found.join(known, "template").where(F.col("row") != F.col("first.row"))
     return gone.groupBy("row").agg(F.collect_set("line_no").alias("lines"))
 

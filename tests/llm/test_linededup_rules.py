@@ -17,3 +17,18 @@ def test_the_same_row_of_numbers_goes(spark):
     texts = [f"1 2  3 4\n{i} {i} {i} {i}" for i in range(9)] + ["1 2 3 4\nend"]
     got = left(spark, texts)
     assert got == {0: texts[0], **{i: f"{i} {i} {i} {i}" for i in range(1, 9)}, 9: "end"}
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    long, short, other = " ".join(words[:51]), " ".join(words[:50]), " ".join(words[:50][::-1] + ["7"])
+    changed = " ".join([*words[:30], "else", *words[31:51]])
+    texts = [f"a b c d e {i}\n{long}" for i in range(2)] + [f"{short}\n{long}\nend", short, other, other.replace("7", "8"), changed, f"x\n{long.replace(' ', '  ')}\n{long}", None]
+    got = left(spark, texts)
+    assert got == dict(enumerate(texts)) | {1: "a b c d e 1", 2: f"{short}\nend", 7: "x"}
+
+
+def test_long_lines_of_numbers_go_only_as_exact_copies(spark):
+    row = lambda i: " ".join(str(i * k) for k in range(60))
+    texts = [row(i) for i in range(8)] + [row(3)]
+    assert left(spark, texts) == dict(enumerate(texts)) | {8: ""}
