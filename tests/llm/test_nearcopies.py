@@ -85,3 +85,9 @@ def test_pipeline_drops_near_copies_after_line_dedup(spark, tmp_path):
     good = quality.keep_good(docs, lab)
     left = [(r.doc_id, r.text or "") for r in linededup.dedup(good).collect()]
     assert {r.doc_id for r in got} == {min(g)[0] for g in brute(left)} and 1000 in dict(left) and 1000 not in {r.doc_id for r in got}
+
+
+def test_rows_with_repeated_or_unknown_ids(spark):
+    rows = [(1, "one two three four five six", "a"), (1, "quite other words stand in here", "b"), (2, "quite other words stand in here", "c"), (None, "only without any id at all", "d"), (None, "only without any id at all", "e"), (None, "one two three four five six", "f"), (3, "last", "g"), (3, "last", "g")]
+    got = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, rows[0][1]), (1, rows[1][1]), (0, rows[3][1]), (3, "last")])
