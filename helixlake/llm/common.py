@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.session import cut, shared_dir  # noqa: F401
@@ -66,6 +66,20 @@ def fast_encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_level_ranks(path), special_tokens={})
 
 
+def row_key(*columns: str) -> Column:
+    """A 128-bit digest of the named columns of a row, nulls told from other values; it stands for the row in joins."""
+    parts = [part for c in columns for part in (F.col(f"`{c}`").isNull().cast("string"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))]
+    return F.unhex(F.md5(F.concat_ws("\0", *parts).cast("binary")))
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with underscores before it until no column has the name, in whatever case."""
+    lower = {c.lower() for c in taken}
+    while wanted.lower() in lower:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, component), the component being its smallest node.
 
@@ -77,7 +91,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     seen = None
     for _ in range(most):
         n = both(e)
-        m = n.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        m = cut(n.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))  # so that the join may split a hub
         large = n.join(m, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

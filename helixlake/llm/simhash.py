@@ -24,14 +24,14 @@ SEED = 42
 #: First bits of the ring's segments; the last one ends at 64.
 RING = (0, 13, 26, 39, 52)
 #: Lower-cases A-Z and nothing else.
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of UTF-8 bytes: a bit is set where over half of the shingles' XXH64 values have it."""
     import xxhash
 
-    words = raw.translate(_LOWER).split()
+    words = raw.translate(LOWER).split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -142,13 +142,3 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shing
     least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = common.cut(of.join(least, "component").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The documents without those whose group has a smaller doc_id; all columns stay.
-
-    Rows that repeat a doc_id are one document and leave one row, rows without an id stay.
-    """
-    own = groups(docs, doc_id=doc_id, text=text, shingle=shingle, seed=seed)
-    kept = own.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from helixlake.llm import linededup, nearcopies, quality
 from tests.llm.test_quality import corpus
@@ -57,22 +59,40 @@ def test_copies_of_a_hub_that_are_no_copies_of_each_other(spark):
     r = random.Random(9)
     words = [f"v{i}" for i in range(5000)]
     hub = r.choices(words, k=400)
-    rows = [(i, " ".join(edited(r, hub, words, 8))) for i in range(150)] + [(150, " ".join(hub))]
+    rows = [(i, " ".join(edited(r, hub, words, 7))) for i in range(150)] + [(150, " ".join(hub))]
     assert len(brute(rows)) == 1 and len(brute(rows[:-1])) > 100
-    assert [x.doc_id for x in nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    kept = [x.doc_id for x in nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert 0 in kept and len(kept) <= 2  # a pair at 0.83 is missed with a chance of 0.003
 
 
 def test_pairs_at_the_threshold_are_found():
     r = random.Random(10)
-    factors = nearcopies._factors(nearcopies.SEED)
-    met = 0
+    met = {0.8: 0, 0.9: 0}
     for k in range(400):
         own = [f"u{k}x{i}" for i in range(400)]
-        x, y = (set(nearcopies.shingles(" ".join(t).encode())[1].tolist()) for t in (own, own[:360] + [f"n{k}x{i}" for i in range(40)]))
-        assert 0.8 <= len(x & y) / len(x | y) < 0.83
-        keys = [nearcopies.band_keys(nearcopies.shingles(" ".join(t).encode())[1], factors) for t in (own, own[:360] + [f"n{k}x{i}" for i in range(40)])]
-        met += bool(set(keys[0]) & set(keys[1]))
-    assert met >= 396
+        for at, kept in ((0.8, 355), (0.9, 380)):
+            other = own[:kept] + [f"n{k}x{i}" for i in range(400 - kept)]
+            x, y = (nearcopies.shingles(" ".join(t).encode())[1] for t in (own, other))
+            assert at - 0.005 < len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < at + 0.005
+            fps = np.stack([nearcopies.fingerprint(x), nearcopies.fingerprint(y)])
+            key, after = nearcopies.segment_keys(fps)
+            chains = [all((int(a ^ b) >> 20 * (4 - n)).bit_count() <= n * nearcopies.TAU // nearcopies.RING for n in (2, 3, 4)) for i, j, a, b in zip(*key, *after) if i == j]
+            met[at] += any(chains) and np.bitwise_count(fps[0] ^ fps[1]).sum() <= nearcopies.TAU
+    assert met[0.8] >= 388 and met[0.9] == 400
+
+
+def test_fingerprints_are_those_of_a_plain_count():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 3, 4, 5, 31, 32, 33, 1000, 140_000):
+        x = r.integers(0, 1 << 63, n, np.uint64)
+        rows = x[:, None] * nearcopies._FACTORS
+        rows ^= rows >> np.uint64(32)
+        bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=int)
+        assert (np.unpackbits(nearcopies.fingerprint(x).view(np.uint8), bitorder="little") == (bits * 2 > n)).all()
+    key, after = nearcopies.segment_keys(nearcopies.fingerprint(x)[None])
+    bits = np.unpackbits(nearcopies.fingerprint(x).view(np.uint8), bitorder="little")
+    value = lambda k: int("".join(map(str, bits[k % 120 * 20 : k % 120 * 20 + 20][::-1])), 2)
+    assert all(key[0, k] == k << 20 | value(k) and after[0, k] == value(k + 1) << 40 | value(k + 2) << 20 | value(k + 3) for k in range(120))
 
 
 def test_pipeline_drops_near_copies_after_line_dedup(spark, tmp_path):

@@ -1,9 +1,9 @@
 import corpus_pipeline
 from helixlake.llm import linededup, quality
 from tests.llm.test_linededup import brute
+from tests.llm.test_nearcopies import brute as groups_of
 from tests.llm.test_packing import brute as ids_of
 from tests.llm.test_quality import corpus
-from tests.llm.test_simhash import brute_fingerprint, brute_groups
 
 
 def test_stages_match_brute_force(spark, tmp_path):
@@ -20,8 +20,8 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert 0 < len(left) < len(rows)
     cut = brute(left, linededup.MIN_DOCS)
     left = [(i, cut[i, t][0]) for i, t in left]
-    group = brute_groups([i for i, _ in left], [brute_fingerprint(t) for _, t in left])
-    left = [(i, t) for (i, t), g in zip(left, group) if g == i]
+    first = {min(group)[0] for group in groups_of([(i, t or "") for i, t in left])}
+    left = [(i, t) for i, t in left if i in first]
     want = {i: len(x) for (i, _), x in zip(left, ids_of([t for _, t in left]))}
     assert {r.doc_id: r.doc_tokens for r in got} == want
     assert sum(r.length for r in got) == sum(want.values())

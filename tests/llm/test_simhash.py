@@ -54,9 +54,6 @@ def test_groups_match_brute_force(spark):
     want = {i: (f"{f:016x}", c) for i, f, c in zip(ids, fps, brute_groups(ids, fps))}
     got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.groups(table).collect()}
     assert got == want
-    kept = simhash.keep_one(table)
-    assert kept.columns == table.columns
-    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i in want if want[i][1] == i)
 
 
 def test_links_connect_every_close_pair(spark):
@@ -85,7 +82,6 @@ def test_edge_tables(spark):
     rows = [(1, "same words in here"), (1, "same words in here"), (None, "same words in here"), (None, None), (7, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((x.doc_id or -1, x.component_id) for x in simhash.groups(table).collect()) == [(-1, 1), (-1, 7), (1, 1), (1, 1), (7, 7)]
-    assert sorted(x.doc_id or -1 for x in simhash.keep_one(table).collect()) == [-1, -1, 1, 7]
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
