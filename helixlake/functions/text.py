@@ -84,20 +84,25 @@ ROUTE_RULES = [(["flux", "metabolic model", "fba"], "fbasim"), (["thermodynamic"
 
 
 def salvage_json(raw: Column) -> Column:
-    """(strategy, json, code): the text itself, without code fences, or between the outer braces, whichever parses first.
+    """(strategy, json, reason): direct, fenced, sliced or repaired, whichever parses first; without any, the reason says why.
 
-    Without any, code says why: EMPTY, NO_OBJECT or INVALID_SYNTAX.
+    The text itself, without code fences, between the outer braces, or so after trailing commas are gone
+    and single quotes are double. Reasons are empty, no-object and invalid-syntax.
     """
     bare = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)```(?:json)?\s*", ""), r"```\s*", ""))
-    first, last = F.instr(raw, "{"), F.length(raw) - F.instr(F.reverse(raw), "}") + 1
-    slice_ = F.when((first > 0) & (last > first) & F.contains(raw, F.lit("}")), F.substr(raw, first, last - first + 1))
+    fixed = F.trim(F.replace(F.regexp_replace(raw, r",\s*([}\]])", "$1"), F.lit("'"), F.lit('"')))
+
+    def slice_of(x: Column) -> Column:
+        first, last = F.instr(x, "{"), F.length(x) - F.instr(F.reverse(x), "}") + 1
+        return F.when((first > 0) & (last > first) & F.contains(x, F.lit("}")), F.substr(x, first, last - first + 1))
+
     ok = lambda t: F.try_parse_json(t).isNotNull()
-    result = lambda s, t, c: F.struct(F.lit(s).cast("string").alias("strategy"), t.alias("json"), F.lit(c).cast("string").alias("code"))
+    result = lambda s, t, c: F.struct(F.lit(s).cast("string").alias("strategy"), t.alias("json"), F.lit(c).cast("string").alias("reason"))
     null = F.lit(None).cast("string")
     return (
-        F.when(F.coalesce(F.trim(raw), F.lit("")) == "", result(None, null, "EMPTY"))
-        .when(ok(raw), result("direct", raw, None)).when(ok(bare), result("fence", bare, None))
-        .when(slice_.isNull(), result(None, null, "NO_OBJECT")).when(ok(slice_), result("slice", slice_, None)).otherwise(result(None, null, "INVALID_SYNTAX"))
+        F.when(F.coalesce(F.trim(raw), F.lit("")) == "", result(None, null, "empty"))
+        .when(ok(raw), result("direct", raw, None)).when(ok(bare), result("fenced", bare, None)).when(ok(slice_of(raw)), result("sliced", slice_of(raw), None))
+        .when(ok(slice_of(fixed)), result("repaired", slice_of(fixed), None)).when(slice_of(raw).isNull(), result(None, null, "no-object")).otherwise(result(None, null, "invalid-syntax"))
     )
 
 

@@ -98,22 +98,31 @@ def codon_optimised(proteins: DataFrame) -> DataFrame:
     return proteins.select("id", dna.alias("dna"), m.js_round(cai, 3).alias("cai"), m.js_round(gc, 3).alias("gc"))
 
 
-def bootstrap_interval(rows: DataFrame, by: str, value: str, resamples: int = 50) -> DataFrame:
-    """(group, low, high): 95 % percentile interval of the mean by Poisson resampling, weights from a hash of row and resample.
+def block_pairs(rows: DataFrame, by: str, key: str, size: int = 2048) -> DataFrame:
+    """``rows`` once for every pair of blocks that their own block is in, as ``own``, ``one`` and ``two``; a group has one block per ``size`` rows."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    both = rows.join(sizes, by).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks").cast("long")).cast("int"))
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return both.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("other", "blocks")
 
-    One pass of partial sums per group and resample; no group is held in one task, and it is the same on every run.
+
+def mean_pair_distance(points: DataFrame, by: str, key: str, dims: list[str]) -> DataFrame:
+    """(group, n_pairs, distance): mean Euclidean distance over all pairs of a group, 0 for a single point.
+
+    Every pair counts, so the work grows with the square of a group; blocks keep tasks bounded, and only their sums leave them.
     """
-    key = F.xxhash64(*rows.columns)
-    u = lambda r: F.pmod(F.xxhash64(key, r), F.lit(1 << 20)) / float(1 << 20)
-    # Poisson(1) by its cumulative probabilities
-    weight = lambda p: sum((F.when(p > t, 1).otherwise(0) for t in (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)), F.lit(0))
-    each = rows.select(by, F.col(value).alias("v"), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda r: weight(u(r)))).alias("r", "w"))
-    means = each.groupBy(by, "r").agg(m.ratio(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("mean"))
-    return means.groupBy(by).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-
-
-def mean_pair_distance(points: DataFrame, by: str, dims: list[str]) -> DataFrame:
-    """(group, mean squared distance) over all pairs, from sums alone: 2 n / (n - 1) times the summed variances."""
-    s = points.groupBy(by).agg(F.count("*").alias("n"), *[F.var_pop(d).alias(f"v_{d}") for d in dims])
-    total = sum((F.col(f"v_{d}") for d in dims), F.lit(0.0))
-    return s.select(by, F.when(F.col("n") > 1, 2 * total * F.col("n") / (F.col("n") - 1)).otherwise(0.0).alias("mean_squared"))
+    import numpy as np
+    import pyarrow as pa
+
+    def add(table: pa.Table) -> pa.Table:
+        own, one, two = table["own"].to_numpy(), table["one"][0].as_py(), table["two"][0].as_py()
+        x = np.stack([table[d].to_numpy() for d in dims], axis=1)
+        a, b = x[own == one], x[own == two]
+        total = sum(float(np.sqrt(((a[i : i + 256, None] - b[None]) ** 2).sum(2)).sum()) for i in range(0, len(a), 256))
+        pairs = len(a) * (len(a) - 1) / 2 if one == two else len(a) * len(b)
+        return pa.table({by: table[by].slice(0, 1), "pairs": [float(pairs)], "total": [total / 2 if one == two else total]})
+
+    kind = points.schema[by].dataType.simpleString()
+    cut = block_pairs(points.select(by, key, *dims), by, key)
+    sums = cut.groupBy(by, "one", "two").applyInArrow(add, f"{by} {kind}, pairs double, total double").groupBy(by).agg(F.sum("pairs").alias("n"), F.sum("total").alias("total"))
+    return sums.select(by, F.col("n").cast("long").alias("n_pairs"), F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("distance"))

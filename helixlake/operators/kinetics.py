@@ -131,10 +131,11 @@ def burden(course: DataFrame, tolerance: float = 0.6) -> DataFrame:
 
 
 def convergence(signal: DataFrame, setpoint: float) -> DataFrame:
-    """Per run (run, step, value): settling step, overshoot in per cent, steady error, crossings, root mean square error, stability.
+    """Per run (run, step, value): settling step, overshoot in per cent, steady error, convergence rate, crossings, root mean square error, stability.
 
-    Settled is the step after the last one more than 5 % of the setpoint off; the steady error averages the
-    last tenth, five steps at least.
+    Settled is the step after the last one more than 5 % of the setpoint off (null under five steps); the steady error averages the
+    last tenth, five steps at least. The rate is the falling slope of the log error over the first half of
+    the steps that are more than 0.001 off, 0 if there are ten or fewer. Runs of under five steps have nothing else.
     """
     e = F.col("value") - setpoint
     w = Window.partitionBy("run").orderBy("step")
@@ -145,9 +146,18 @@ def convergence(signal: DataFrame, setpoint: float) -> DataFrame:
         F.max("n").alias("n"), F.max(F.when(F.abs("e") > setpoint * 0.05, F.col("step"))).alias("last_off"), F.max("value").alias("top"),
         F.abs(F.avg(F.when(tail, F.col("e")))).alias("steady"), F.count_if(F.col("e") * F.col("before") < 0).alias("crossings"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
     )
-    settled = F.when(F.col("last_off").isNull(), F.col("n")).otherwise(F.least(F.col("last_off") + 1, F.col("n")))
-    over = F.when(F.col("top") > setpoint, (F.col("top") - setpoint) / setpoint * 100).otherwise(0.0)
-    return g.select("run", settled.alias("settling"), m.js_round(over, 1).alias("overshoot"), m.js_round("steady", 3).alias("steady_error"), "crossings", m.js_round("rmse", 4).alias("rmse"), ((F.col("steady") < 0.08) & (F.col("crossings") < F.col("n") * 0.2)).alias("stable"))
+    off = x.where(F.abs("e") > 0.001).select("run", F.log(F.abs("e") + 1e-10).alias("y"), F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy("run")).alias("many"))
+    half = off.where((F.col("many") > 10) & (F.col("k") <= F.floor(F.col("many") * 0.5)))
+    rates = half.groupBy("run").agg((-F.regr_slope("y", F.col("k").cast("double"))).alias("rate"))
+    g = g.join(rates, "run", "left")
+    short = F.col("n") < 5
+    settled = F.when(short, None).when(F.col("last_off").isNull(), F.col("n")).otherwise(F.least(F.col("last_off") + 1, F.col("n")))
+    over = F.when(~short & (F.col("top") > setpoint), (F.col("top") - setpoint) / setpoint * 100).otherwise(0.0)
+    rest = lambda c: F.when(short, 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    return g.select(
+        "run", settled.alias("settling"), m.js_round(over, 1).alias("overshoot"), m.js_round(rest(F.col("steady")), 3).alias("steady_error"), m.js_round(rest(F.col("rate")), 3).alias("convergence_rate"),
+        F.when(short, 0).otherwise(F.col("crossings")).cast("long").alias("crossings"), m.js_round("rmse", 4).alias("rmse"), (~short & (F.col("steady") < 0.08) & (F.col("crossings") < F.col("n") * 0.2)).alias("stable"),
+    )
 
 
 def equilibrium_runs(signal: DataFrame, tolerance: float, least: int) -> DataFrame:
@@ -159,36 +169,85 @@ def equilibrium_runs(signal: DataFrame, tolerance: float, least: int) -> DataFra
     return x.groupBy("run", "island").agg(F.min("step").alias("start"), F.count("*").alias("length")).where(F.col("length") >= least).drop("island")
 
 
-def gate_response(grid: DataFrame, k: float = 0.5, n: float = 2.0) -> DataFrame:
-    """AND, OR, NAND and NOT of two inputs (a, b) passed through activating Hill curves, and the largest slope noise."""
-    a, b = (m.hill_activation(F.col(c), k, n) for c in "ab")
-    return grid.select("a", "b", (a * b).alias("and_gate"), (a + b - a * b).alias("or_gate"), (1 - a * b).alias("nand_gate"), m.hill_repression(F.col("a"), k, n).alias("not_gate"))
+def gate_response(grid: DataFrame, k: float = 0.5, n: float = 2.0, step: float = 0.05) -> DataFrame:
+    """AND, OR, NAND and NOT of two inputs (a, b), each passed through a repressing Hill curve first, and every gate's noise.
+
+    NOT represses the repressed level of ``a`` once more. Noise is the larger change of the output when one
+    input rises by ``step``, to 1 at most.
+    """
+    level = lambda x: m.hill_repression(x, k, n)
+    gates = {"and": lambda x, y: x * y, "or": lambda x, y: x + y - x * y, "nand": lambda x, y: 1 - x * y, "not": lambda x, y: level(x)}
+    a, b = level(F.col("a")), level(F.col("b"))
+    up_a, up_b = (level(F.least(F.lit(1.0), F.col(c) + step)) for c in "ab")
+    noise = {f"{name}_noise": F.greatest(F.abs(f(up_a, b) - f(a, b)), F.abs(f(a, up_b) - f(a, b))) for name, f in gates.items()}
+    return grid.select("a", "b", *[f(a, b).alias(f"{name}_gate") for name, f in gates.items()], *[c.alias(name) for name, c in noise.items()])
+
+
+def concentration_sums(readings: DataFrame, *by: str) -> DataFrame:
+    """(by, s, n, total, squares) of readings (s, rate, and a weight ``w`` if there is one): all that a fit needs."""
+    w = F.col("w") if "w" in readings.columns else F.lit(1)
+    return readings.groupBy(*by, "s").agg(F.sum(w).cast("double").alias("n"), F.sum(w * F.col("rate")).alias("total"), F.sum(w * F.col("rate") * F.col("rate")).alias("squares"))
+
+
+def least_squares(s, n, total, squares, rounds: int = 200) -> tuple[float, float, float]:
+    """(vmax, km, r2) by damped least squares (Levenberg-Marquardt) from sums per concentration."""
+    y = total / n
+    v, km, damping = max(y.max(), 1e-9) * 1.2, max(np.median(s), 1e-9), 1e-2
+    error = lambda a, b: (squares - 2 * total * (a * s / (b + s)) + n * (a * s / (b + s)) ** 2).sum()
+    for _ in range(rounds):
+        j = np.stack([s / (km + s), -v * s / (km + s) ** 2], axis=1)
+        h, g = (j * n[:, None]).T @ j, j.T @ (total - n * v * s / (km + s))
+        try:
+            step = np.linalg.solve(h + damping * np.diag(np.diag(h) + 1e-12), g)
+        except np.linalg.LinAlgError:
+            break
+        a, b = max(v + step[0], 1e-9), max(km + step[1], 1e-9)
+        if error(a, b) < error(v, km):
+            done = abs(step).max() < 1e-10
+            v, km, damping = a, b, damping / 3
+            if done:
+                break
+        else:
+            damping *= 4
+            if damping > 1e12:
+                break
+    spread = squares.sum() - total.sum() ** 2 / n.sum()
+    return v, km, 1 - error(v, km) / spread if spread > 0 else 0.0
 
 
 def fit_michaelis_menten(readings: DataFrame, rounds: int = 200) -> DataFrame:
-    """(sample, vmax, km, r2) of (sample, s, rate) by damped least squares (Levenberg-Marquardt), a small group per sample."""
+    """(sample, vmax, km, r2) of (sample, s, rate): Spark sums per concentration, and a task fits on the few sums of a sample."""
     import pandas as pd
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, y = pdf["s"].to_numpy(float), pdf["rate"].to_numpy(float)
-        v, km, damping = max(y.max(), 1e-9) * 1.2, max(np.median(s), 1e-9), 1e-2
-        error = lambda a, b: ((y - a * s / (b + s)) ** 2).sum()
-        for _ in range(rounds):
-            j = np.stack([s / (km + s), -v * s / (km + s) ** 2], axis=1)
-            h, g = j.T @ j, j.T @ (y - v * s / (km + s))
-            step = np.linalg.solve(h + damping * np.diag(np.diag(h) + 1e-12), g)
-            a, b = max(v + step[0], 1e-9), max(km + step[1], 1e-9)
-            if error(a, b) < error(v, km):
-                done = abs(step).max() < 1e-10
-                v, km, damping = a, b, damping / 3
-                if done:
-                    break
-            else:
-                damping *= 4
-                if damping > 1e12:
-                    break
-        total = ((y - y.mean()) ** 2).sum()
-        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "vmax": [v], "km": [km], "r2": [1 - error(v, km) / total if total > 0 else 0.0]})
+        v, km, r2 = least_squares(*(pdf[c].to_numpy(float) for c in ("s", "n", "total", "squares")), rounds)
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "vmax": [v], "km": [km], "r2": [r2]})
+
+    kind = readings.schema["sample"].dataType.simpleString()
+    return concentration_sums(readings, "sample").groupBy("sample").applyInPandas(fit, f"sample {kind}, vmax double, km double, r2 double")
 
+
+def bootstrap_fit(readings: DataFrame, resamples: int = 50, rounds: int = 50) -> DataFrame:
+    """(sample, vmax_low, vmax_high, km_low, km_high): 95 % percentile intervals of the fit by resampling the readings.
+
+    A resample counts every reading as often as a hash of it and of the resample's number says (Poisson with
+    mean 1), so it is the same on every run, and sums per concentration are all that is shuffled.
+    """
+    import pandas as pd
+
+    key = F.xxhash64(*readings.columns)
+    u = lambda r: F.pmod(F.xxhash64(key, r), F.lit(1 << 20)) / float(1 << 20)
+    poisson = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)
+    weight = lambda p: sum((F.when(p > t, 1).otherwise(0) for t in poisson), F.lit(0))
+    each = readings.select("sample", "s", "rate", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda r: weight(u(r)))).alias("r", "w")).where("w > 0")
     kind = readings.schema["sample"].dataType.simpleString()
-    return readings.groupBy("sample").applyInPandas(fit, f"sample {kind}, vmax double, km double, r2 double")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, km, _ = least_squares(*(pdf[c].to_numpy(float) for c in ("s", "n", "total", "squares")), rounds)
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "vmax": [v], "km": [km]})
+
+    fits = concentration_sums(each, "sample", "r").groupBy("sample", "r").applyInPandas(fit, f"sample {kind}, vmax double, km double")
+    lists = fits.groupBy("sample").agg(F.sort_array(F.collect_list("vmax")).alias("v"), F.sort_array(F.collect_list("km")).alias("k"))  # as long as there are resamples
+    n = F.size("v")
+    low, high = F.floor(0.025 * n).cast("int"), F.least(n - 1, F.floor(0.975 * n).cast("int"))
+    return lists.select("sample", F.get("v", low).alias("vmax_low"), F.get("v", high).alias("vmax_high"), F.get("k", low).alias("km_low"), F.get("k", high).alias("km_high"))

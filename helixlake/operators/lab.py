@@ -69,22 +69,21 @@ def queue_state(events: DataFrame) -> DataFrame:
 
 def family_hotspots(variants: DataFrame) -> DataFrame:
     """(family, n, x, y, score) of each family in the latest round."""
-    last = variants.agg(F.max("round").alias("round"))
+    last = variants.agg(F.max("round").alias("round"))  # one row
     own = variants.join(F.broadcast(last), "round", "left_semi")
     return own.groupBy("family").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("score").alias("score"))
 
 
 def sampled_silhouette(cells: DataFrame, most: int = 200) -> DataFrame:
-    """Mean silhouette of about ``most`` cells that a hash of the cell selects, against all cells, without a matrix of pairs.
+    """(n, silhouette): mean silhouette of the ``most`` cells that come first by the digest of their id, against all cells.
 
-    Mean squared distances to a cluster follow from its sums, so the cells are read once for the sums and once for the sample.
+    Distances are Euclidean; the sample is bounded by its parameter, so every cell meets it and no other cell.
+    A cell alone in its cluster has distance 0 to it, and so has a cell to others where there is one cluster only.
     """
-    n = cells.count()
-    dims = F.posexplode("v").alias("g", "q")
-    sums = cells.select("cluster", dims).groupBy("cluster", "g").agg(F.sum("q").alias("s"), F.sum(F.col("q") * F.col("q")).alias("ss"), F.count("*").alias("k"))
-    share = min(1.0, most / max(n, 1))
-    sample = cells.where(F.pmod(F.xxhash64("cell"), F.lit(1 << 20)) < int(share * (1 << 20))).select("cell", F.col("cluster").alias("own"), dims)
-    d = sample.join(sums, "g").groupBy("cell", "own", "cluster").agg(F.sum(F.col("k") * F.col("q") * F.col("q") - 2 * F.col("q") * F.col("s") + F.col("ss")).alias("d"), F.first("k").alias("k"))
-    mean = F.when(F.col("own") == F.col("cluster"), m.ratio("d", F.col("k") - 1)).otherwise(F.col("d") / F.col("k"))
-    g = d.withColumn("m", mean).groupBy("cell").agg(F.max(F.when(F.col("own") == F.col("cluster"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("cluster"), F.col("m"))).alias("b"))
-    return g.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-6)))), F.lit(0.0)).alias("silhouette"))
+    sample = cells.orderBy(F.md5(F.col("cell").cast("string").cast("binary")), "cell").limit(most).select(F.col("cell").alias("at"), F.col("cluster").alias("own"), F.col("v").alias("w"))
+    met = cells.crossJoin(F.broadcast(sample)).where("at <> cell").select("at", "own", "cluster", m.distance(F.col("v"), F.col("w")).alias("d"))
+    mean = met.groupBy("at", "own", "cluster").agg(F.avg("d").alias("d"))
+    near = mean.groupBy("at").agg(F.max(F.when(F.col("own") == F.col("cluster"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("cluster"), F.col("d"))).alias("b"))
+    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    top = F.greatest(a, b)
+    return near.agg(F.count("*").alias("n"), F.coalesce(F.avg((b - a) / F.when(top == 0, 1.0).otherwise(top)), F.lit(0.0)).alias("silhouette"))

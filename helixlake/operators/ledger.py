@@ -57,23 +57,50 @@ def conflicts(writes: DataFrame, state: DataFrame) -> DataFrame:
     return writes.join(state.groupBy("project").agg(F.max("revision").alias("stored")), "project", "left").withColumn("conflict", F.col("revision") < F.coalesce("stored", F.lit(0)))
 
 
-def freshness(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, tool, freshness): fresh, stale when a required upstream tool has run later, awaiting when one hasn't run."""
-    last = runs.groupBy("project", "tool").agg(F.max("created").alias("created"))
-    need = edges.select(F.col("b").alias("tool"), F.col("a").alias("up"))
-    ups = last.join(need, "tool").join(last.select("project", F.col("tool").alias("up"), F.col("created").alias("up_created")), ["project", "up"], "left")
-    worst = ups.groupBy("project", "tool").agg(F.count_if(F.col("up_created").isNull()).alias("missing"), F.count_if(F.col("up_created") > F.col("created")).alias("newer"))
-    state = F.when(F.coalesce("missing", F.lit(0)) > 0, "awaiting").when(F.coalesce("newer", F.lit(0)) > 0, "stale").otherwise("fresh")
-    return last.join(worst, ["project", "tool"], "left").select("project", "tool", state.alias("freshness"))
-
-
-def snapshot(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, tool, signature): a tool's latest upstream revisions in one text, by name."""
-    last = latest(runs, ["project", "tool"], [F.desc("created"), F.desc("revision")])
-    need = edges.select(F.col("b").alias("tool"), F.col("a").alias("up"))
-    ups = last.select("project", "tool").join(need, "tool").join(last.select("project", F.col("tool").alias("up"), F.col("revision").alias("r")), ["project", "up"], "left")
-    part = F.concat_ws(":", F.lit("upstream"), "up", F.coalesce(F.col("r").cast("string"), F.lit("none")))
-    return ups.groupBy("project", "tool").agg(F.array_join(F.sort_array(F.collect_list(part)), "|").alias("signature"))
+def upstreams(runs: DataFrame, projects: DataFrame, edges: DataFrame, tools: DataFrame) -> DataFrame:
+    """(project, tool, project_ref, up, ids, signature) of every project and tool: the execution snapshot as things stand.
+
+    ``projects`` is (project, project_ref), ``tools`` the few tools, ``edges`` (a, b, place) names the upstream tools of b in
+    order. ``ids`` are the latest runs of those that have run, ``signature`` puts all in one text.
+    """
+    last = latest(runs, ["project", "tool"], [F.desc("created"), F.desc("revision")]).select("project", F.col("tool").alias("up"), F.col("revision").cast("string").alias("id"))
+    each = projects.crossJoin(F.broadcast(tools.select("tool")))  # a few tools a project
+    need = each.join(F.broadcast(edges.select(F.col("a").alias("up"), F.col("b").alias("tool"), "place")), "tool", "left").join(last, ["project", "up"], "left")
+    return snapshots(need, "tool")
+
+
+def snapshots(need: DataFrame, *by: str) -> DataFrame:
+    """Execution snapshots of rows (project, project_ref, place, up, id and ``by``), one row per upstream tool; up is null where there is none."""
+    part = F.struct("place", "up", "id")
+    own = need.groupBy("project", *by).agg(F.first("project_ref").alias("project_ref"), F.array_sort(F.collect_list(F.when(F.col("up").isNotNull(), part))).alias("parts"))
+    text = F.transform("parts", lambda p: F.concat_ws(":", F.lit("upstream"), p["up"], F.coalesce(p["id"], F.lit("none"))))
+    head = F.array(F.col("tool"), F.coalesce("project_ref", F.lit("project:none")))
+    return own.select("project", *by, "project_ref", F.col("parts.up").alias("up"), F.array_compact(F.col("parts.id")).alias("ids"), F.array_join(F.concat(head, text), "|").alias("signature"))
+
+
+def freshness(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """(project, tool, status, project_changed, blocking) of current snapshots against those kept with the latest runs.
+
+    A tool that hasn't run awaits its upstream if it has one or the project is known, else it is not-run. A run
+    whose signature differs is stale; blocking are the upstream tools whose place or latest run is another.
+    """
+    was = stored.select("project", "tool", F.col("project_ref").alias("old_ref"), F.col("up").alias("old_up"), F.col("ids").alias("old_ids"), F.col("signature").alias("old_signature"))
+    x = current.join(was, ["project", "tool"], "left")
+    moved = F.filter("up", lambda t, i: ~F.get("old_up", i).eqNullSafe(t) | ~F.get("old_ids", i).eqNullSafe(F.get("ids", i)))
+    ran, changed = F.col("old_signature").isNotNull(), F.col("old_signature") != F.col("signature")
+    waits = F.col("project_ref").isNotNull() | (F.size("up") > 0)
+    status = F.when(~ran & waits, "awaiting-upstream").when(~ran, "not-run").when(changed, "stale").otherwise("fresh")
+    blocking = F.when(~ran, F.col("up")).when(changed, moved).otherwise(F.slice("up", 1, 0))
+    return x.select("project", "tool", status.alias("status"), (ran & ~F.col("old_ref").eqNullSafe(F.col("project_ref"))).alias("project_changed"), blocking.alias("blocking"))
+
+
+def kept_with(runs: DataFrame, projects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, tool, project_ref, up, ids, signature) as the latest run of each tool saw it: its upstream runs up to its own time."""
+    last = latest(runs, ["project", "tool"], [F.desc("created"), F.desc("revision")]).select("project", "tool", F.col("created").alias("at")).join(projects, "project")
+    need = last.join(F.broadcast(edges.select(F.col("a").alias("up"), F.col("b").alias("tool"), "place")), "tool", "left")
+    seen = need.alias("n").join(runs.select("project", F.col("tool").alias("up"), "created", "revision").alias("r"), ["project", "up"]).where("created <= at")
+    ids = seen.groupBy("project", "tool", "up").agg(F.max_by(F.col("revision").cast("string"), F.struct("created", "revision")).alias("id"))
+    return snapshots(need.join(ids, ["project", "tool", "up"], "left"), "tool")
 
 
 def meta_counts(rows: DataFrame, kind: str = "status") -> DataFrame:

@@ -88,10 +88,10 @@ def queue_state(spark, sf_dir):
     return op.queue_state(e)
 
 
-@query(f"""WITH {v.CELLS}, d AS (SELECT a.cell, a.cluster AS own, b.cluster, sum(list_distance(a.v, b.v) * list_distance(a.v, b.v)) AS d, count(*) AS k FROM cells a, cells b GROUP BY ALL), m AS (SELECT cell, own, cluster, CASE WHEN own = cluster THEN d / (k - 1) ELSE d / k END AS m FROM d),
-g AS (SELECT cell, max(m) FILTER (own = cluster) AS a, min(m) FILTER (own <> cluster) AS b FROM m GROUP BY cell) SELECT count(*) AS n, {r('avg((b - a) / greatest(a, b, 1e-6))', 'silhouette')} FROM g""")
+@query(f"""WITH {v.CELLS}, s AS (SELECT cell AS c0, cluster AS own, v AS w FROM cells ORDER BY md5(cell::VARCHAR), cell LIMIT 200), d AS (SELECT c0, own, cluster, avg(list_distance(v, w)) AS d FROM cells, s WHERE c0 <> cell GROUP BY ALL),
+g AS (SELECT c0, coalesce(max(d) FILTER (own = cluster), 0.0) AS a, coalesce(min(d) FILTER (own <> cluster), 0.0) AS b FROM d GROUP BY c0) SELECT count(*) AS n, {r('avg((b - a) / CASE WHEN greatest(a, b) = 0 THEN 1.0 ELSE greatest(a, b) END)', 'silhouette')} FROM g""")
 def sampled_silhouette(spark, sf_dir):
-    return rounded(op.sampled_silhouette(v.cells(spark, sf_dir), 10**9))
+    return rounded(op.sampled_silhouette(v.cells(spark, sf_dir), 200))
 
 
 @query()

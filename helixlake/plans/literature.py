@@ -89,14 +89,14 @@ def domain_classify(spark, sf_dir):
     return _probes(spark, sf_dir).select("conv_id", "turn", x.classify_domain(F.col("q")).alias("d")).select("conv_id", "turn", "d.category", "d.signals")
 
 
-@query("""WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json\n' || props || '\n```' WHEN 2 THEN 'Answer: ' || props || ' end' WHEN 3 THEN 'no object' WHEN 4 THEN 'x {' || props || ' y' ELSE ' ' END AS raw FROM events)
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'direct' WHEN 1 THEN 'fence' WHEN 2 THEN 'slice' END AS strategy, CASE WHEN event_id % 6 IN (0, 1, 2) THEN json_extract_string(regexp_extract(raw, '\\{.*\\}'), '$.k')::BIGINT END AS k,
- CASE event_id % 6 WHEN 3 THEN 'NO_OBJECT' WHEN 4 THEN 'INVALID_SYNTAX' WHEN 5 THEN 'EMPTY' END AS code FROM e""")
+@query("""WITH e AS (SELECT event_id, props, CASE event_id % 7 WHEN 0 THEN 'direct' WHEN 1 THEN 'fenced' WHEN 2 THEN 'sliced' WHEN 6 THEN 'repaired' END AS strategy FROM events)
+SELECT event_id, strategy, strategy IS NOT NULL AS found, CASE WHEN strategy IS NOT NULL THEN json_extract_string(props, '$.k')::BIGINT END AS k, CASE event_id % 7 WHEN 3 THEN 'no-object' WHEN 4 THEN 'invalid-syntax' WHEN 5 THEN 'empty' END AS reason FROM e""")
 def json_salvage(spark, sf_dir):
-    n, p = F.col("event_id") % 6, F.col("props")
-    raw = F.when(n == 0, p).when(n == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(n == 2, F.concat(F.lit("Answer: "), p, F.lit(" end"))).when(n == 3, "no object").when(n == 4, F.concat(F.lit("x {"), p, F.lit(" y"))).otherwise(" ")
+    n, p = F.col("event_id") % 7, F.col("props")
+    broken = F.concat(F.lit("so: "), F.replace(F.replace(p, F.lit('"'), F.lit("'")), F.lit("}"), F.lit(", }")), F.lit("."))
+    raw = F.when(n == 0, p).when(n == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(n == 2, F.concat(F.lit("Answer: "), p, F.lit(" end"))).when(n == 3, "no object").when(n == 4, F.concat(F.lit("x {"), p, F.lit(" y"))).when(n == 5, " ").otherwise(broken)
     e = v.table(spark, sf_dir, "events").select("event_id", x.salvage_json(raw).alias("s"))
-    return e.select("event_id", "s.strategy", F.get_json_object("s.json", "$.k").cast("long").alias("k"), "s.code")
+    return e.select("event_id", "s.strategy", F.col("s.json").isNotNull().alias("found"), F.get_json_object("s.json", "$.k").cast("long").alias("k"), "s.reason")
 
 
 @query("SELECT page_id, substr(regexp_replace(lower(url), '[^a-z0-9_]', '_', 'g'), 1, 64) AS node, CASE WHEN length(url) <= 24 THEN url ELSE rtrim(substr(url, 1, 23)) || '…' END AS short, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")

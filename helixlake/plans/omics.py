@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from helixlake.operators import assay, omics as op
 from helixlake.plans.registry import query
 from helixlake.plans.spatial import cdf
-from helixlake.plans.tools import r, rounded
+from helixlake.plans.tools import r, rounded, values
+from helixlake.sources import constants as k
 from helixlake.sources import views as v
 
 _LONG = f"WITH {v.OMICS}, long AS (SELECT gene, 'transcriptomics' AS layer, transcript AS value FROM omics UNION ALL SELECT gene, 'proteomics', protein FROM omics UNION ALL SELECT gene, 'metabolomics', metabolite FROM omics)"
@@ -72,9 +73,20 @@ def unit_coordinates(spark, sf_dir):
     return rounded(op.unit_coordinates(v.omics(spark, sf_dir)))
 
 
-@query(f"WITH {v.OMICS} SELECT gene, {r('protein + CASE WHEN gene = 7 THEN 2.0 * 0.85 ELSE 0.0 END', 'protein')}, {r('CASE WHEN gene = 7 THEN 2.0 * 0.85 * 8 ELSE 0.0 END', 'yield_change')} FROM omics")
+_EFFECTS = values("effects", "gene, impact, metabolites", [(i, f, m) for i, (_, f, m) in enumerate(k.FLUX_EFFECTS, 1)])
+
+
+@query(f"""WITH {v.OMICS}, {_EFFECTS}, changes AS (SELECT gene, transcript + (gene % 7 - 3) AS perturbed FROM omics UNION ALL SELECT -1, 1.0),
+x AS (SELECT c.gene, c.perturbed, o.transcript, c.perturbed - o.transcript AS delta, abs(o.transcript - o.protein) AS apart, CASE WHEN abs(o.transcript - o.protein) > 1.5 THEN 0.5::DOUBLE ELSE 0.85::DOUBLE END AS scaling, e.impact::DOUBLE AS impact, e.metabolites, o.gene IS NOT NULL AS found FROM changes c LEFT JOIN omics o USING (gene) LEFT JOIN effects e USING (gene)),
+y AS (SELECT *, CASE WHEN impact IS NOT NULL THEN delta * scaling * impact * 8 ELSE delta * scaling * 3 END AS change, floor(CASE WHEN impact IS NOT NULL THEN delta * scaling * impact * 0.75::DOUBLE ELSE delta * scaling * 0.3::DOUBLE END * 100 + 0.5) / 100 AS shift FROM x)
+SELECT gene, {r('coalesce(transcript, 0.0)', 'original')}, {r('perturbed')}, {r('delta')}, {r('apart', 'discordance')}, CASE WHEN found THEN scaling END AS scaling, CASE WHEN found THEN floor(change * 10 + 0.5) / 10 ELSE 0.0 END AS yield_change, {r('CASE WHEN found THEN greatest(least(1 - abs(delta) * 0.1::DOUBLE, 0.95::DOUBLE), 0.3::DOUBLE) ELSE 0.0 END', 'confidence')},
+ CASE WHEN found THEN array_to_string(list_transform(coalesce(metabolites, ['General metabolite pool']), lambda m: m || CASE WHEN CASE WHEN impact IS NOT NULL THEN shift ELSE delta END > 0 THEN ' up' ELSE ' down' END), ', ') ELSE '' END AS shifts, CASE WHEN found THEN shift END AS shift FROM y""")
 def omics_perturbation(spark, sf_dir):
-    return rounded(op.perturb(v.omics(spark, sf_dir), 7, 2.0))
+    o = v.omics(spark, sf_dir)
+    effects = spark.createDataFrame([(i, f, m) for i, (_, f, m) in enumerate(k.FLUX_EFFECTS, 1)], "gene long, impact double, metabolites array<string>")
+    changes = o.select("gene", (F.col("transcript") + (F.col("gene") % 7 - 3)).alias("perturbed")).union(spark.createDataFrame([(-1, 1.0)], "gene long, perturbed double"))
+    out = rounded(op.perturb(o, changes, effects), "original", "perturbed", "delta", "discordance", "confidence")
+    return out.withColumn("shift", F.get("shifts", F.lit(0))["delta"]).withColumn("shifts", F.array_join(F.transform("shifts", lambda x: F.concat_ws(" ", x["metabolite"], x["direction"])), ", "))
 
 
 @query()

@@ -98,9 +98,9 @@ def codon_optimised(spark, sf_dir):
     return op.codon_optimised(v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring(F.regexp_replace(up, "[^A-Z]", ""), 1, 80).alias("seq")))
 
 
-@query(f"WITH {v.CELLS} SELECT cluster, {r('avg((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'mean_squared')} FROM (SELECT * FROM cells) a JOIN cells b USING (cluster) WHERE a.cell <> b.cell GROUP BY cluster")
+@query(f"WITH {v.CELLS} SELECT cluster, count(*) AS n_pairs, {r('avg(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))', 'distance')} FROM (SELECT * FROM cells) a JOIN cells b USING (cluster) WHERE a.cell < b.cell GROUP BY cluster")
 def pair_distance(spark, sf_dir):
-    return rounded(op.mean_pair_distance(v.cells(spark, sf_dir), "cluster", ["x", "y"]))
+    return rounded(op.mean_pair_distance(v.cells(spark, sf_dir), "cluster", "cell", ["x", "y"]))
 
 
 @query()
@@ -112,8 +112,3 @@ def cell_communities(spark, sf_dir):
 @query()
 def cluster_hulls(spark, sf_dir):
     return rounded(op.hulls(v.cells(spark, sf_dir), "cluster"))
-
-
-@query()
-def bootstrap_yield(spark, sf_dir):
-    return rounded(op.bootstrap_interval(v.assays(spark, sf_dir).select("sample", "strain", "yield"), "strain", "yield"), digits=2)

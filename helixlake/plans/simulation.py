@@ -113,8 +113,10 @@ def bioreactor_burden(spark, sf_dir):
 
 
 @query(f"""WITH {v.SIGNALS}, x AS (SELECT run, step, value, value - 10 AS e, lag(value - 10) OVER (PARTITION BY run ORDER BY step) AS before, count(*) OVER (PARTITION BY run) AS n FROM signals),
-g AS (SELECT run, max(n) AS n, max(step) FILTER (abs(e) > 0.5) AS last_off, max(value) AS top, abs(avg(e) FILTER (step > n - greatest(5, floor(n * 0.1)))) AS steady, count(*) FILTER (e * before < 0) AS crossings, sqrt(avg(e * e)) AS rmse FROM x GROUP BY run)
-SELECT run, CASE WHEN last_off IS NULL THEN n ELSE least(last_off + 1, n) END AS settling, {r('CASE WHEN top > 10 THEN (top - 10) / 10 * 100 ELSE 0.0 END', 'overshoot', 1)}, {r('steady', 'steady_error', 3)}, crossings, {r('rmse', digits=4)}, steady < 0.08 AND crossings < n * 0.2 AS stable FROM g""")
+g AS (SELECT run, max(n) AS n, max(step) FILTER (abs(e) > 0.5) AS last_off, max(value) AS top, abs(avg(e) FILTER (step > n - greatest(5, floor(n * 0.1)))) AS steady, count(*) FILTER (e * before < 0) AS crossings, sqrt(avg(e * e)) AS rmse FROM x GROUP BY run),
+o AS (SELECT run, ln(abs(e) + 1e-10) AS y, row_number() OVER (PARTITION BY run ORDER BY step) AS k, count(*) OVER (PARTITION BY run) AS many FROM x WHERE abs(e) > 0.001), d AS (SELECT run, -regr_slope(y, k::DOUBLE) AS rate FROM o WHERE many > 10 AND k <= floor(many * 0.5) GROUP BY run)
+SELECT run, CASE WHEN n < 5 THEN NULL WHEN last_off IS NULL THEN n ELSE least(last_off + 1, n) END AS settling, {r('CASE WHEN n >= 5 AND top > 10 THEN (top - 10) / 10 * 100 ELSE 0.0 END', 'overshoot', 1)}, {r('CASE WHEN n < 5 THEN 0.0 ELSE steady END', 'steady_error', 3)},
+ {r('CASE WHEN n < 5 THEN 0.0 ELSE coalesce(rate, 0.0) END', 'convergence_rate', 3)}, CASE WHEN n < 5 THEN 0 ELSE crossings END AS crossings, {r('rmse', digits=4)}, n >= 5 AND steady < 0.08 AND crossings < n * 0.2 AS stable FROM g LEFT JOIN d USING (run)""")
 def do_convergence(spark, sf_dir):
     return kinetics.convergence(v.signals(spark, sf_dir), 10.0)
 
@@ -125,17 +127,33 @@ def equilibrium_runs(spark, sf_dir):
     return kinetics.equilibrium_runs(v.signals(spark, sf_dir), 0.6, 2)
 
 
-@query(f"""WITH g AS (SELECT a / 10.0 AS a, b / 10.0 AS b FROM range(0, 11) x(a), range(0, 11) y(b)), h AS (SELECT a, b, a * a / (0.25 + a * a) AS fa, b * b / (0.25 + b * b) AS fb FROM g)
-SELECT a::DOUBLE AS a, b::DOUBLE AS b, {r('fa * fb', 'and_gate')}, {r('fa + fb - fa * fb', 'or_gate')}, {r('1 - fa * fb', 'nand_gate')}, {r('0.25 / (0.25 + a * a)', 'not_gate')} FROM h""")
+_GATES = {"and": "{x} * {y}", "or": "{x} + {y} - {x} * {y}", "nand": "1 - {x} * {y}", "not": "0.25 / (0.25 + ({x}) * ({x}))"}
+
+
+def _noise(f: str) -> str:
+    at = lambda x, y: f"({f.format(x=x, y=y)})"
+    return f"greatest(abs({at('x2', 'y')} - {at('x', 'y')}), abs({at('x', 'y2')} - {at('x', 'y')}))"
+
+
+@query(f"""WITH g AS (SELECT a / 10.0 AS a, b / 10.0 AS b FROM range(0, 11) x(a), range(0, 11) y(b)), h AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b, 0.25 / (0.25 + a * a) AS x, 0.25 / (0.25 + b * b) AS y, 0.25 / (0.25 + power(least(1.0, a + 0.05), 2)) AS x2, 0.25 / (0.25 + power(least(1.0, b + 0.05), 2)) AS y2 FROM g)
+SELECT a, b, {', '.join(r(f.format(x='x', y='y'), f'{n}_gate') for n, f in _GATES.items())}, {', '.join(r(_noise(f), f'{n}_noise') for n, f in _GATES.items())} FROM h""")
 def gate_response(spark, sf_dir):
     g = spark.range(11).select((F.col("id") / 10.0).alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda b: b / 10.0)).alias("b"))
-    return rounded(kinetics.gate_response(g), "and_gate", "or_gate", "nand_gate", "not_gate")
+    return rounded(kinetics.gate_response(g), *(f"{n}_{kind}" for n in _GATES for kind in ("gate", "noise")))
+
+
+def _readings(spark, sf_dir):
+    return v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 20).alias("sample"), F.col("l_quantity").alias("s"), (F.col("l_quantity") * 90 / (F.col("l_quantity") + 12) + F.col("l_discount")).alias("rate"))
 
 
 @query()
 def enzyme_fit(spark, sf_dir):
-    x = v.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("sample"), F.col("l_quantity").alias("s"), (F.col("l_quantity") * 90 / (F.col("l_quantity") + 12) + F.col("l_discount")).alias("rate"))
-    return kinetics.fit_michaelis_menten(x)
+    return rounded(kinetics.fit_michaelis_menten(_readings(spark, sf_dir).select("sample", "s", "rate")), digits=4)
+
+
+@query()
+def bootstrap_fit(spark, sf_dir):
+    return rounded(kinetics.bootstrap_fit(_readings(spark, sf_dir)), digits=4)
 
 
 _TARGETS = values("targets", "gene, essential, efficiency, growth_impact", design.KNOCKDOWN_TARGETS)

@@ -16,8 +16,12 @@ _LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p
 FEEDS = [("1-URGENT", "2-HIGH"), ("2-HIGH", "3-MEDIUM"), ("3-MEDIUM", "5-LOW"), ("1-URGENT", "5-LOW")]
 
 
+#: Tools of the runs view.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 def feeds(spark):
-    return spark.createDataFrame(FEEDS, "a string, b string")
+    return spark.createDataFrame([(*f, i) for i, f in enumerate(FEEDS)], "a string, b string, place int")
 
 
 @query(f"WITH {v.RUNS}, {_LATEST} SELECT project, tool, created, revision, status FROM latest")
@@ -37,17 +41,33 @@ def member_activity(spark, sf_dir):
     return ledger.member_activity(c, n, "k").select(F.col("c_custkey").alias("actor_id"), F.col("c_name").alias("actor"), F.col("n_name").alias("nation"), "last_seen")
 
 
-@query(f"""WITH {v.RUNS}, {values('feeds', 'a, b', FEEDS)}, l AS (SELECT project, tool, max(created) AS created FROM runs GROUP BY ALL),
-w AS (SELECT l.project, l.tool, count(*) FILTER (u.created IS NULL) AS missing, count(*) FILTER (u.created > l.created) AS newer FROM l JOIN feeds f ON f.b = l.tool LEFT JOIN l u ON u.project = l.project AND u.tool = f.a GROUP BY ALL)
-SELECT l.project, l.tool, CASE WHEN coalesce(missing, 0) > 0 THEN 'awaiting' WHEN coalesce(newer, 0) > 0 THEN 'stale' ELSE 'fresh' END AS freshness FROM l LEFT JOIN w ON w.project = l.project AND w.tool = l.tool""")
+_PROJECTS = "projects AS (SELECT c_custkey AS project, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey || ':' || c_mktsegment END AS project_ref, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey || ':' || CASE WHEN c_custkey % 7 = 0 THEN 'old' ELSE c_mktsegment END END AS old_ref FROM customer)"
+_NEED = "{t}.project, {t}.tool, {ref} AS project_ref, coalesce(list(f.a ORDER BY f.place) FILTER (f.a IS NOT NULL), []) AS up, coalesce(list(u.revision::VARCHAR ORDER BY f.place) FILTER (u.revision IS NOT NULL), []) AS ids, array_to_string(list_concat([{t}.tool, coalesce({ref}, 'project:none')], coalesce(list('upstream:' || f.a || ':' || coalesce(u.revision::VARCHAR, 'none') ORDER BY f.place) FILTER (f.a IS NOT NULL), [])), '|') AS signature"
+_FEEDS = values("feeds", "a, b, place", [(*f, i) for i, f in enumerate(FEEDS)])
+_CURRENT = f"{v.RUNS}, {_LATEST}, {_FEEDS}, {_PROJECTS}, {values('priorities', 'tool', [(t,) for t in PRIORITIES])}, current AS (SELECT {_NEED.format(t='t', ref='t.project_ref')} FROM (SELECT * FROM projects, priorities) t LEFT JOIN feeds f ON f.b = t.tool LEFT JOIN latest u ON u.project = t.project AND u.tool = f.a GROUP BY t.project, t.tool, t.project_ref)"
+
+
+def _current(spark, sf_dir):
+    c = v.table(spark, sf_dir, "customer")
+    ref = lambda tail: F.when(F.col("c_custkey") % 9 != 0, F.concat_ws(":", "c_custkey", tail))
+    now = c.select(F.col("c_custkey").alias("project"), ref(F.col("c_mktsegment")).alias("project_ref"))
+    then = c.select(F.col("c_custkey").alias("project"), ref(F.when(F.col("c_custkey") % 7 == 0, "old").otherwise(F.col("c_mktsegment"))).alias("project_ref"))
+    runs = v.runs(spark, sf_dir)
+    return ledger.upstreams(runs, now, feeds(spark), spark.createDataFrame([(t,) for t in PRIORITIES], "tool string")), ledger.kept_with(runs, then, feeds(spark))
+
+
+@query(f"""WITH {_CURRENT}, seen AS (SELECT l.project, l.tool, f.a, f.place, max_by(r.revision, (r.created, r.revision)) AS revision FROM latest l JOIN feeds f ON f.b = l.tool JOIN runs r ON r.project = l.project AND r.tool = f.a AND r.created <= l.created GROUP BY ALL),
+stored AS (SELECT {_NEED.format(t='l', ref='p.old_ref')} FROM latest l JOIN projects p ON p.project = l.project LEFT JOIN feeds f ON f.b = l.tool LEFT JOIN seen u ON u.project = l.project AND u.tool = l.tool AND u.a = f.a GROUP BY l.project, l.tool, p.old_ref),
+x AS (SELECT c.*, s.project_ref AS old_ref, s.up AS old_up, s.ids AS old_ids, s.signature AS old_signature FROM current c LEFT JOIN stored s ON s.project = c.project AND s.tool = c.tool)
+SELECT project, tool, CASE WHEN old_signature IS NULL AND (project_ref IS NOT NULL OR len(up) > 0) THEN 'awaiting-upstream' WHEN old_signature IS NULL THEN 'not-run' WHEN old_signature <> signature THEN 'stale' ELSE 'fresh' END AS status, old_signature IS NOT NULL AND old_ref IS DISTINCT FROM project_ref AS project_changed,
+ CASE WHEN old_signature IS NULL THEN up WHEN old_signature <> signature THEN list_transform(list_filter(range(1, len(up) + 1), lambda i: old_up[i] IS DISTINCT FROM up[i] OR old_ids[i] IS DISTINCT FROM ids[i]), lambda i: up[i]) ELSE [] END AS blocking FROM x""")
 def staleness(spark, sf_dir):
-    return ledger.freshness(v.runs(spark, sf_dir), feeds(spark))
+    return ledger.freshness(*_current(spark, sf_dir))
 
 
-@query(f"""WITH {v.RUNS}, {_LATEST}, {values('feeds', 'a, b', FEEDS)}, p AS (SELECT l.project, l.tool, 'upstream:' || f.a || ':' || coalesce(u.revision::VARCHAR, 'none') AS part FROM latest l JOIN feeds f ON f.b = l.tool LEFT JOIN latest u ON u.project = l.project AND u.tool = f.a)
-SELECT project, tool, string_agg(part, '|' ORDER BY part) AS signature FROM p GROUP BY ALL""")
+@query(f"WITH {_CURRENT} SELECT project, tool, project_ref, up, ids, signature FROM current")
 def execution_snapshot(spark, sf_dir):
-    return ledger.snapshot(v.runs(spark, sf_dir), feeds(spark))
+    return _current(spark, sf_dir)[0]
 
 
 @query(f"WITH {v.RUNS} SELECT project, max(revision) AS revision, count(*) AS n, count(*) FILTER (status = 'O') AS n_o, count(*) FILTER (status = 'F') AS n_f, count(*) FILTER (status = 'P') AS n_p FROM runs GROUP BY project")
