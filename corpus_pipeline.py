@@ -17,22 +17,29 @@ from helixlake.llm.queries import pack_documents
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. The classifier learns from the labelled documents of its own input."""
+    """Rejected documents go. The classifier learns from the labelled documents of its own input.
+
+    Null and empty texts have the score of no features and go or stay together; null ids are scored but not learnt from.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, all documents stay; ``n_chars`` follows the text."""
+    """Lines of recurring templates go, all rows stay; ``n_chars`` follows the text. Null texts stay null, equal rows are one document."""
     out = linededup.dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of every group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest id stays, null ids last.
+
+    Null and wordless texts are copies of each other; different texts of one id are different documents.
+    """
     return nearcopies.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of all documents, cut into pieces of sequences of 1024; null texts are empty, repeated rows documents of their own."""
     return pack_documents(docs)
 
 
