@@ -80,23 +80,30 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def settled(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Cut, and put into partitions of about ``rows`` rows: small tables then need few tasks, and none to be dealt out."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, rows: int = 200_000) -> DataFrame:
     """Connected components of an edge list: (node, component), the component being its smallest node.
 
-    Alternating large-star and small-star rounds; every round is cut to the shared folder, the
-    driver only sees one count and one checksum per round. Nodes without an edge aren't in the result.
+    Alternating large-star and small-star rounds; every round is cut to the shared folder and put into
+    partitions of about ``rows`` edges, and the driver only sees one count and one checksum per round.
+    Nodes without an edge aren't in the result.
     """
-    both = lambda e: e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    e = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), rows)
     seen = None
     for _ in range(most):
-        n = both(e)
-        m = cut(n.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))  # so that the join may split a hub
+        n = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("s")).select("s.x", "s.y")
+        m = settled(n.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), rows)  # a table, so that the join may split a hub
         large = n.join(m, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        e = cut(large.join(low, "u").select(F.explode(both).alias("s")).select("s.u", "s.v").where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e = e.coalesce(max(1, -(-now[0] // rows)))
         if now == seen:
             break
         seen = now

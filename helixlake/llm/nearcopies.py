@@ -185,11 +185,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, **names) ->
     """Of candidate pairs (a, b) those that are near copies: by the whole distance, then by their sets."""
     side = lambda i, f: classes.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("fp").alias(f))
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    near = common.cut(met.where(_may(F.col("na"), F.col("nb")) & _close(F.col("na"), F.col("nb"), F.col("x"), F.col("y"))).select("a", "b"))
+    near = common.settled(met.where(_may(F.col("na"), F.col("nb")) & _close(F.col("na"), F.col("nb"), F.col("x"), F.col("y"))).select("a", "b"))
     named = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = common.cut(shingle_sets(docs, classes.join(named, "id", "left_semi").select("id", "row"), **names))
+    sets = common.settled(shingle_sets(docs, classes.join(named, "id", "left_semi").select("id", "row"), **names), 10_000)
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return common.cut(near.join(left, "a").join(right, "b").where(_alike(F.col("x"), F.col("y"))).select("a", "b"))
+    return common.settled(near.join(left, "a").join(right, "b").where(_alike(F.col("x"), F.col("y"))).select("a", "b"))
 
 
 def components(docs: DataFrame, classes: DataFrame, **names) -> DataFrame:
@@ -201,10 +201,10 @@ def components(docs: DataFrame, classes: DataFrame, **names) -> DataFrame:
     met = rows.join(pivots, "key")
     stars = met.where((F.col("id") != F.col("pivot.id")) & _chains(F.col("after"), F.col("pivot.after"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
     links = verified(stars.distinct(), classes, docs, **names)
-    own = common.cut(common.components(links))
-    rows = common.cut(rows.join(own, rows.id == own.node, "left").select("key", "after", "id", F.coalesce("component", "id").alias("component")))
-    homes = rows.groupBy("key").agg(F.min(F.struct("id", "component")).alias("pivot")).select("key", F.col("pivot.component").alias("home"))
-    rows = common.cut(rows.join(common.cut(homes), "key").withColumn("home", F.col("component") == F.col("home")))
+    own = common.settled(common.components(links))
+    label = lambda t, i, to: t.join(own, F.col(i) == own.node, "left").withColumn(to, F.coalesce("component", i)).drop("node", "component")
+    homes = common.cut(label(pivots.select("key", F.col("pivot.id").alias("first")), "first", "home").select("key", "home"))
+    rows = common.cut(label(rows, "id", "own").withColumnRenamed("own", "component").join(homes, "key").withColumn("home", F.col("component") == F.col("home")))
     x, y = rows.where("NOT home").alias("x"), rows.alias("y")  # members of the pivot's component meet the others only
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.home") | (F.col("x.id") < F.col("y.id"))) & _chains(F.col("x.after"), F.col("y.after"))
     more = x.join(y, apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
