@@ -11,7 +11,7 @@ def brute(rows, min_docs):
     for r, (_, text) in enumerate(rows):
         for k, line in enumerate((text or "").split("\n")):
             tokens = ld.tokens_of(line)
-            if len(tokens) >= ld.MIN_TOKENS:
+            if tokens:
                 occ.append((r, k, ld.leaf_of(tokens), tuple(tokens)))
     leaf_docs = defaultdict(set)
     for r, _, leaf, _ in occ:
@@ -29,7 +29,7 @@ def brute(rows, min_docs):
         constant = sum(t != ld.FIELD for t in own)
         if constant < ld.MIN_CONSTANT or constant < ld.SHARE * len(own):
             own = tokens
-        made[r, k] = " ".join(own)
+        made[r, k] = " ".join(own) if own is not tokens else "= " + " ".join(tokens)
         docs[made[r, k]].add(r)
     out = {}
     for r, row in enumerate(rows):
@@ -67,6 +67,7 @@ def test_matches_plain_loops(spark):
     assert kept == Counter((i, *want[i, t]) for i, t in rows)
     assert sum(x.n_dropped for x in out) > 3000 and len({x.doc_id for x in out if x.text and "all rights" in x.text}) == 1
     assert any("served by" in (x.text or "") for x in out)
+    assert len({x.doc_id for x in out if "a b c" in (x.text or "").split("\n")}) == 1
 
 
 def test_edge_tables(spark):
