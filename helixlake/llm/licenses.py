@@ -24,6 +24,8 @@ SPELLINGS = {
     "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize",
     "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "https": "http",
 }
+#: The spellings that are replaced, by first letter, so that a line is searched once for all of them.
+_OTHER = " (" + "|".join(f"{a}({'|'.join(x[1:] for x in SPELLINGS if x[0] == a)})" for a in sorted({x[0] for x in SPELLINGS})) + ") "
 MARKS = r"^[ \t]*(\(?[0-9a-z]{1,2}[.)]|[*•-])[ \t]+"
 COPYRIGHT = r"^[ \t#*/;<!-]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved[. \t]*$)"
 BREAKS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f“”‘’–—…•©]+"
@@ -31,19 +33,25 @@ BREAKS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f“”‘’–—…•©]+"
 BROADCAST_KNOWN = 50_000
 
 
-def canonical_line(line: Column) -> Column:
-    """A line in canonical form; words are two spaces apart, so that every word has a space of its own on each side."""
+def spaced_line(line: Column) -> Column:
+    """A line in canonical form but for its spellings; words are two spaces apart, so that every word has a space of its own on each side."""
     low = F.translate(line, string.ascii_uppercase, string.ascii_lowercase)
     kept = F.when(F.regexp_like(low, F.lit(COPYRIGHT)), F.lit("")).otherwise(F.regexp_replace(low, MARKS, ""))
-    out = F.concat(F.lit("  "), F.regexp_replace(kept, BREAKS, "  "), F.lit("  "))
+    return F.concat(F.lit("  "), F.regexp_replace(kept, BREAKS, "  "), F.lit("  "))
+
+
+def alike(spaced: Column) -> Column:
+    """A spaced line with equivalent spellings made the same; few lines hold any."""
+    out = spaced
     for other, word in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {word} "))
-    return F.trim(out)
+    return F.trim(F.when(F.regexp_like(spaced, F.lit(_OTHER)), out).otherwise(spaced))
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical lines with their numbers, empty ones left out."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), canonical_line(x).alias("line")))
+    spaced = F.transform(F.split(text, "\n"), spaced_line)
+    lines = F.transform(spaced, lambda x, i: F.struct(i.alias("line_no"), alike(x).alias("line")))
     return F.filter(lines, lambda x: x["line"] != "")
 
 
