@@ -119,22 +119,23 @@ def link_vectors(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embe
     """(vec_id, n_links, component_id, kept) for every row.
 
     Rows link when their labels are equal and not null and their cosine in double precision is at least
-    ``similar``. Vectors that are null, zero, of an odd length or that hold null or non-finite components
-    link with nothing: no links, their own component, kept. Equal vectors of a label are one class until
-    the end, so copies cost nothing. Repeated ids are rows like others; null ids are never named as a component
+    ``similar``. Vectors of different lengths never link. Vectors that are null, zero or that hold null or
+    non-finite components link with nothing: no links, their own component, kept. Equal vectors of a label
+    are one class until the end, so copies cost nothing. Repeated ids are rows like others; null ids are never named as a component
     unless no member has an id, and a row without an id is never ``kept``.
     """
     base = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("v"))
-    good = vectors.of_one_length(base.where("label IS NOT NULL"), "v").withColumn("cid", F.xxhash64("label", "v"))
-    classes = common.cut(good.groupBy("label", "cid").agg(F.first("v").alias("v"), F.min("vec_id").alias("first_id"), F.count("*").alias("n")))
-    counts = common.cut(classes.groupBy("label").count())
-    most = counts.agg(F.max("count")).first()[0]
-    if most:
-        found = _components(classes, counts, most, similar, trees, leaf, margin)
-    else:
-        found = classes.select("cid", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    keyed = base.withColumn("cid", F.when(vectors.usable("v") & F.col("label").isNotNull(), F.xxhash64("label", "v")))
-    out = keyed.join(found.withColumnRenamed("component_id", "c"), "cid", "left")
+    able = base.where("label IS NOT NULL")
+    found = able.sparkSession.createDataFrame([], "h1 long, h2 long, component_id long, n_links long").withColumn("component_id", F.col("component_id").cast(base.schema["vec_id"].dataType))
+    for good in vectors.by_length(able, "v"):
+        classes = good.groupBy("label", *vectors.class_key("label", "v")).agg(F.first("v").alias("v"), F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+        classes = common.cut(classes.withColumn("cid", F.monotonically_increasing_id()))  # ids hold once they are written
+        counts = common.cut(classes.groupBy("label").count())
+        linked = _components(classes, counts, counts.agg(F.max("count")).first()[0], similar, trees, leaf, margin)
+        found = found.union(classes.select("h1", "h2", "cid").join(linked, "cid").select("h1", "h2", "component_id", "n_links"))
+    takes_part = vectors.usable("v") & F.col("label").isNotNull()
+    keyed = base.select("vec_id", *(F.when(takes_part, h).alias(f"h{i}") for i, h in enumerate(vectors.class_key("label", "v"), 1)))
+    out = keyed.join(found.withColumnRenamed("component_id", "c"), ["h1", "h2"], "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("c"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -7,8 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.llm import common
+
 #: Rows of one block; a group with more is cut into blocks that meet pairwise.
 BLOCK = 2048
+#: Different lengths of vectors that one table may hold.
+LENGTHS = 64
 
 
 def usable(vector: str) -> Column:
@@ -18,11 +22,21 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.coalesce(F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def of_one_length(rows: DataFrame, vector: str) -> DataFrame:
-    """Rows with usable vectors of the table's most common length (the larger one of equals)."""
+def by_length(rows: DataFrame, vector: str) -> list[DataFrame]:
+    """The rows with usable vectors, a table for every length that occurs: vectors of different lengths have no product.
+
+    Lengths are the dimensions of embedding models and so a handful; more than ``LENGTHS`` are an error.
+    """
     good = rows.where(usable(vector))
-    most = good.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return good.where(F.size(vector) == (most.n if most else 0))
+    lengths = [r.n for r in good.select(F.size(vector).alias("n")).distinct().limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
+    return [good.where(F.size(vector) == n) for n in sorted(lengths)]
+
+
+def class_key(*columns: str) -> list[Column]:
+    """Two independent 64-bit hashes, ``h1`` and ``h2``, of the columns that make vectors equal."""
+    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(2), *columns).alias("h2")]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -45,7 +59,7 @@ def in_blocks(rows: DataFrame, group: list[str], spread: Column, size: int = BLO
     A group of n rows is cut into k = ceil(n / size) blocks by ``spread``; the pairs (one, two), one <= two,
     cover all pairs of rows of the group, and none holds much more than two blocks. Most groups are one block.
     """
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    sizes = common.cut(rows.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))  # so that the join may split a hot group
     both = rows.alias("r").join(sizes.alias("s"), [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]).select("r.*", "s.blocks")
     both = both.withColumn("own", F.pmod(spread, F.col("blocks").cast("long")).cast("int"))
     both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
