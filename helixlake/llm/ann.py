@@ -23,8 +23,8 @@ from helixlake.llm import common, vectors
 FIT_ROWS, BRANCH, LEAF_POINTS = 16_384, 8, 48
 #: Queries compared with everything, and the mean share of their true neighbours that must lie in visited leaves.
 CALIBRATION, RECALL = 256, 0.95
-#: Most vectors, and most queries, that meet in one task's block.
-BLOCK = 4096
+#: Most vectors, and most queries, that meet in one task's block; leaves that share a bin.
+BLOCK, BIN = 4096, 16
 
 
 class Tree(NamedTuple):
@@ -119,21 +119,30 @@ def search(rows: DataFrame, queries, *, k: int = 20, vec_id: str = "vec_id", vec
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for which ``queries`` (a condition on vec_id) holds.
 
     Nearness is the largest inner product, in doubles, ties go to the smaller id; a row whose id is the
-    query's takes no part in its list. Vectors that are null, zero, of an odd length or with null or
-    non-finite components, and rows with a null id, are neither queries nor candidates. Repeated rows
-    (same id and vector) count once. Equal vectors are one class in the index, of which the ids that
+    query's takes no part in its list, nor does a vector of another length. Vectors that are null, zero or
+    with null or non-finite components, and rows with a null id, are neither queries nor candidates. Repeated
+    rows (same id and vector) count once; an id with vectors of several lengths has a list for each. Equal vectors are one class in the index, of which the ids that
     can reach a list, the smallest k and one more, are kept: the others can't be in any.
     """
     base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL")
-    good = vectors.of_one_length(base, "v").withColumn("cid", F.xxhash64("v"))
+    out = base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for good in vectors.by_length(base, "v"):
+        out = out.union(_search(good, queries, k, recall, block))
+    return out
+
+
+def _search(good: DataFrame, queries, k: int, recall: float, block: int) -> DataFrame:
+    """:func:`search` among usable vectors of one length."""
     wanted = queries(F.col("vec_id"))
     # rows of one id with several vectors are all left out of that id's lists, so look further by as many
-    again = good.where(wanted).groupBy("vec_id").agg(F.count_distinct("cid").alias("n")).agg(F.max("n")).first()[0] or 1
+    hashed = good.select("vec_id", *vectors.class_key("v"), "v")
+    again = hashed.where(wanted).groupBy("vec_id").agg(F.count_distinct("h1", "h2").alias("n")).agg(F.max("n")).first()[0] or 1
     deep = k + again
-    single = good.groupBy("cid", "vec_id").agg(F.first("v").alias("v"))
-    ranked = single.withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("vec_id"))).where(F.col("place") <= deep)
-    classes = common.cut(ranked.groupBy("cid").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("first_id")))
-    asked = common.cut(good.where(wanted).select("vec_id", "cid").distinct())
+    single = hashed.groupBy("h1", "h2", "vec_id").agg(F.first("v").alias("v"))
+    ranked = single.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("place") <= deep)
+    classes = ranked.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("first_id"))
+    classes = common.cut(classes.withColumn("cid", F.monotonically_increasing_id()))  # ids hold once they are written
+    asked = common.cut(hashed.where(wanted).select("vec_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select("vec_id", "cid"))
     probes = common.cut(classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "v"))
 
     total, questions = classes.count(), probes.count()
@@ -154,11 +163,13 @@ def search(rows: DataFrame, queries, *, k: int = 20, vec_id: str = "vec_id", vec
         for frame in frames:
             for at in range(0, frame.num_rows, 256):
                 part = frame.slice(at, 256)
-                found = [sent.value.best_first(q, leaves) for q in vectors.matrix(part.column(1))]
-                take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.array([x for f in found for x in f], np.int64))], names=["cid", "v", "leaf"])
+                found = [np.sort(sent.value.best_first(q, leaves)) for q in vectors.matrix(part.column(1))]
+                bins = [np.unique(f // BIN, return_index=True) for f in found]
+                take = pa.array(np.repeat(np.arange(len(found)), [len(b) for b, _ in bins]))
+                lists = [x for f, (_, first) in zip(found, bins) for x in np.split(f, first[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate([b for b, _ in bins])), pa.array(lists, pa.list_(pa.int64()))], names=["cid", "v", "bin", "leaves"])
 
-    visits = probes.mapInArrow(visit, T.StructType([probes.schema["cid"], probes.schema["v"], T.StructField("leaf", T.LongType())]))
+    visits = probes.mapInArrow(visit, T.StructType([probes.schema["cid"], probes.schema["v"], T.StructField("bin", T.LongType()), T.StructField("leaves", T.ArrayType(T.LongType()))]))
     near = _best(_meet(index, visits, deep, block), "qid", deep)
     ids = near.select("qid", "score", F.explode("ids").alias("id"))
     lists = common.cut(ids.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id")))).where(F.col("place") <= deep).select("qid", "score", "id"))
@@ -190,27 +201,35 @@ def _calibrate(index: DataFrame, probes: DataFrame, tree: Tree, k: int, recall:
 
 
 def _meet(index: DataFrame, visits: DataFrame, k: int, block: int) -> DataFrame:
-    """(qid, score, first_id, ids) of the k best classes of every visited leaf block; no block is larger than ``block``."""
-    held = index.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("nv"))
-    asked = visits.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
-    cuts = common.cut(held.join(asked, "leaf"))
+    """(qid, score, first_id, ids) of the k best classes of every visited block; no block is larger than ``block``.
+
+    Leaves that are near in the tree share a bin, and a query goes to a bin once, with the leaves it visits there.
+    """
+    index = index.withColumn("bin", F.expr(f"leaf div {BIN}"))
+    held = index.groupBy("bin").agg(F.ceil(F.count("*") / block).cast("int").alias("nv"))
+    asked = visits.groupBy("bin").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
+    cuts = common.cut(held.join(asked, "bin"))
     spread = lambda n: F.pmod(F.xxhash64("cid", F.lit("block")), F.col(n).cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(cuts, "leaf").withColumn("bv", spread("nv")).withColumn("bq", each("nq")).select("leaf", "bv", "bq", "v", "ids", "first_id")
-    right = visits.join(cuts, "leaf").withColumn("bq", spread("nq")).withColumn("bv", each("nv")).select("leaf", "bv", "bq", "cid", "v")
+    left = index.join(cuts, "bin").withColumn("bv", spread("nv")).withColumn("bq", each("nq")).select("bin", "bv", "bq", "leaf", "v", "ids", "first_id")
+    right = visits.join(cuts, "bin").withColumn("bq", spread("nq")).withColumn("bv", each("nv")).select("bin", "bv", "bq", "cid", "v", "leaves")
 
     def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
         empty = pa.table({"qid": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "first_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.field("element", pa.int64())))})
         if not held.num_rows or not asked.num_rows:
             return empty
-        x, first, q, qid, out = vectors.matrix(held["v"]), held["first_id"].to_numpy(), vectors.matrix(asked["v"]), asked["cid"].to_numpy(), []
+        x, first, leaf, q, qid, out = vectors.matrix(held["v"]), held["first_id"].to_numpy(), held["leaf"].to_numpy() % BIN, vectors.matrix(asked["v"]), asked["cid"].to_numpy(), []
+        lists = asked["leaves"].combine_chunks()
+        open_ = np.zeros((len(q), BIN), bool)
+        open_[np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy() % BIN] = True
         ids = held["ids"].combine_chunks()
         for at in range(0, len(q), 256):
             for i, score in enumerate(q[at : at + 256] @ x.T, at):
-                top = _top(score, first, k)
+                own = np.flatnonzero(open_[i, leaf])
+                top = own[_top(score[own], first[own], k)]
                 out.append((np.full(len(top), qid[i]), np.einsum("ij,j->i", x[top], q[i]), top))
         a, b, c = (np.concatenate(z) for z in zip(*out))
         return pa.table({"qid": a, "score": b, "first_id": first[c], "ids": ids.take(pa.array(c)).cast(pa.list_(pa.field("element", pa.int64())))})
 
-    key = ("leaf", "bv", "bq")
+    key = ("bin", "bv", "bq")
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "qid long, score double, first_id long, ids array<long>")
