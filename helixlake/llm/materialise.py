@@ -184,7 +184,9 @@ def write_shards(docs: DataFrame, to: str, tokenizer: str, pattern: str, *, key:
         yield from common.batches(rows(), pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("n_sequences", pa.int64()), ("n_tokens", pa.int64()), ("crc32", pa.int64()), ("path", pa.string())]))
 
     placed = packing.with_offsets(stream)
-    dealt = placed.mapInArrow(deal, "shard long, n long, block binary").repartition("shard").sortWithinPartitions("shard")
+    shards = -(-n // shard)
+    ranges = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # of consecutive shards, one range a task
+    dealt = placed.mapInArrow(deal, "shard long, n long, block binary").repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {max(shards, 1)} as int)")).sortWithinPartitions("shard")
     index = common.cut(dealt.mapInArrow(write, "shard long, first_slot long, n_sequences long, n_tokens long, crc32 long, path string"))
     layout = {"sequences": n, "tokens": tokens, "window": window, "bytes_per_id": wide, "shard": shard, "key": key, "end": end}
     spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.mode("overwrite").text(f"{to}/layout")
