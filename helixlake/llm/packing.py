@@ -59,8 +59,8 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
     """``global_start`` instead of ``part`` and ``local_start``: the second prefix sum, over the partition totals."""
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
-    if tokens.rdd.getNumPartitions() <= BROADCAST_PARTITIONS:
+    starts = common.cut(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start")))
+    if starts.count() <= BROADCAST_PARTITIONS:
         starts = F.broadcast(starts)
     rest = [c for c in tokens.columns if c not in ("part", "local_start", "doc_tokens", "ids")]
     return tokens.join(starts, "part").select(*rest, "doc_tokens", (F.col("part_start") + F.col("local_start")).alias("global_start"), "ids")

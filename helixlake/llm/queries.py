@@ -31,14 +31,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """Packed pieces of a document table, ids as a checksum; also the last stage of the pipeline."""
+    """Packed pieces of a document table with their ids and a checksum; also the last stage of the pipeline."""
     packed = packing.pack(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packed.withColumn("ids_crc32", F.crc32("ids"))
 
 
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"))
+    return pack_documents(read(spark, sf_dir, "documents")).drop("ids")
 
 
 @query
@@ -132,6 +132,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_dropped", F.length("text").alias("chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+
+#: White space as Python's str.split() has it.
+_BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+ORACLE["op5_line_dedup"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+numbered AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM docs WHERE text IS NOT NULL),
+worded AS (SELECT r, k, trim(regexp_replace(line, '{_BLANK}', ' ', 'g'), ' ') AS words FROM numbered),
+parsed AS (SELECT r, k, words, list_transform(string_split(words, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '{linededup.FIELD}' ELSE t END) AS tokens FROM worded WHERE words <> ''),
+placed AS (SELECT *, len(tokens) || ' ' || array_to_string(tokens[1:{linededup.DEPTH}], ' ') AS leaf, len(tokens) > {linededup.LONG} AS long FROM parsed),
+leaves AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(DISTINCT r) >= {linededup.MIN_DOCS} OR bool_or(long) AND count(DISTINCT r) >= {linededup.LONG_DOCS}),
+there AS (SELECT row_number() OVER () AS id, * FROM placed SEMI JOIN leaves USING (leaf)),
+each AS (SELECT id, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM there),
+rated AS (SELECT id, place, CASE WHEN place > {linededup.DEPTH} AND count(*) OVER (PARTITION BY leaf, place, token) < {linededup.MIN_DOCS} THEN '{linededup.FIELD}' ELSE token END AS token FROM each),
+formed AS (SELECT id, string_agg(token, ' ' ORDER BY place) AS form, count(*) AS n, count(*) FILTER (token <> '{linededup.FIELD}') AS constant FROM rated GROUP BY id),
+found AS (
+  SELECT r, k, CASE WHEN constant >= {linededup.MIN_CONSTANT} AND constant >= {linededup.SHARE} * n THEN '~ ' || form ELSE '= ' || words END AS template, {linededup.MIN_DOCS} AS least FROM there JOIN formed USING (id)
+  UNION ALL SELECT r, k, 'long ' || words, {linededup.LONG_DOCS} FROM there WHERE long),
+first AS (SELECT template, arg_min(r, row(doc_id IS NULL, doc_id, text)) AS r FROM found JOIN docs USING (r) GROUP BY template, least HAVING count(DISTINCT r) >= least),
+gone AS (SELECT DISTINCT f.r, f.k FROM found f JOIN first USING (template) WHERE f.r <> first.r),
+cut AS (SELECT n.r, string_agg(n.line, chr(10) ORDER BY n.k) FILTER (g.k IS NULL) AS text, count(g.k) AS n_dropped FROM numbered n LEFT JOIN gone g ON g.r = n.r AND g.k = n.k GROUP BY n.r),
+made AS (SELECT d.doc_id, d.text AS old, coalesce(c.n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text FROM docs d LEFT JOIN cut c USING (r))
+SELECT m.doc_id, m.n_dropped, length(m.text) AS chars_left, sha256(m.text) AS text_sha256
+FROM documents d JOIN made m ON m.doc_id IS NOT DISTINCT FROM d.doc_id AND m.old IS NOT DISTINCT FROM d.text
+"""
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -142,10 +168,3 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_vectors(read(spark, sf_dir, "embeddings"))
-
-
-@query
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # at the repository's top; it imports this module
-
-    return corpus_pipeline.run(spark, sf_dir)
