@@ -25,25 +25,47 @@ def reverse_complement(x: Column) -> Column:
     return F.reverse(F.translate(F.upper(x), "ATCG", "TAGC"))
 
 
+def _energies(s: Column) -> Column:
+    """Running sums (h, s) of enthalpy and entropy over the neighbours of a sequence of A, C, G and T: entry n is for n + 1 bases."""
+    table = lambda i: F.array(*[F.lit(float(k.NEAREST_NEIGHBOUR[a + b][i])) for a in "ACGT" for b in "ACGT"])
+    zero = F.array(F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("s"), F.lit(-1).alias("last")))
+
+    def step(acc, c):
+        last, code = F.get(acc, F.size(acc) - 1), F.position(c, F.lit("ACGT")) - 1
+        at = last["last"] * 4 + code
+        grown = F.struct((last["h"] + F.get(table(0), at)).alias("h"), (last["s"] + F.get(table(1), at)).alias("s"), code.alias("last"))
+        return F.when(last["last"] < 0, F.array(F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("s"), code.alias("last")))).otherwise(F.array_append(acc, grown))
+
+    return F.aggregate(F.split(s, ""), zero, step)
+
+
+def _melting(s: Column, n: Column, sums: Column, sodium: float, primer: float) -> Column:
+    ends = F.when(F.substring(s, 1, 1).isin("A", "T"), 1).otherwise(0) + F.when(F.substr(s, n, F.lit(1)).isin("A", "T"), 1).otherwise(0)
+    entropy = sums["s"] + ends * 4.1 + F.lit(0.368 * math.log(sodium)) * (n - 1)
+    return F.when(n < 2, 0.0).otherwise(m.js_round(F.try_divide(sums["h"] + ends * 2300.0, entropy + F.lit(1.987 * math.log(primer / 4))) - 273.15, 1))
+
+
 def melting_temp(x: Column, sodium: float = 0.05, primer: float = 250e-9) -> Column:
     """Nearest-neighbour melting temperature in degrees Celsius, one decimal; 0 under two bases."""
     s = bases(x)
-    n = F.length(s)
-    table = lambda i: F.create_map(*[F.lit(float(v)) if isinstance(v, (int, float)) else F.lit(v) for pair, val in k.NEAREST_NEIGHBOUR.items() for v in (pair, val[i])])
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(2)))
-    total = lambda i: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.coalesce(F.element_at(table(i), p), F.lit(0.0)))
-    ends = F.when(F.substring(s, 1, 1).isin("A", "T"), 1).otherwise(0) + F.when(F.substring(F.reverse(s), 1, 1).isin("A", "T"), 1).otherwise(0)
-    enthalpy = total(0) + ends * 2300.0
-    entropy = total(1) + ends * 4.1 + F.lit(0.368 * math.log(sodium)) * (n - 1)
-    return F.when(n < 2, 0.0).otherwise(m.js_round(F.try_divide(enthalpy, entropy + F.lit(1.987 * math.log(primer / 4))) - 273.15, 1))
+    table = lambda i: F.array(*[F.lit(float(k.NEAREST_NEIGHBOUR[a + b][i])) for a in "ACGT" for b in "ACGT"])
+    start = F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("s"), F.lit(-1).alias("last"))
+
+    def step(acc, c):
+        code = F.position(c, F.lit("ACGT")) - 1
+        at = acc["last"] * 4 + code
+        grown = F.struct((acc["h"] + F.get(table(0), at)).alias("h"), (acc["s"] + F.get(table(1), at)).alias("s"), code.alias("last"))
+        return F.when(acc["last"] < 0, F.struct(acc["h"].alias("h"), acc["s"].alias("s"), code.alias("last"))).otherwise(grown)
+
+    return _melting(s, F.length(s), F.aggregate(F.split(s, ""), start, step), sodium, primer)
 
 
 def self_complementary(x: Column, run: int = 6) -> Column:
     """Whether some ``run`` bases also lie on the opposite strand."""
     s = F.upper(x)
-    other = reverse_complement(s)
     places = F.when(F.length(s) >= run, F.sequence(F.lit(1), F.length(s) - (run - 1))).otherwise(F.array().cast("array<int>"))
-    return F.exists(places, lambda i: F.contains(other, F.substr(s, i, F.lit(run))))
+    runs = lambda t: F.transform(places, lambda i: F.substr(t, i, F.lit(run)))
+    return F.arrays_overlap(runs(s), runs(reverse_complement(s)))
 
 
 def identity(a: Column, b: Column) -> Column:
@@ -63,12 +85,21 @@ def fragments(rows: DataFrame, max_length: int = 800, overlap: int = 30) -> Data
     return f.select("id", "fragment", start.alias("start"), F.length(piece).alias("length"), gc_content(piece).alias("gc"), piece.alias("seq"))
 
 
-def primers(rows: DataFrame, target: float = 62.0, shortest: int = 18, longest: int = 25) -> DataFrame:
-    """(id, fragment, binding, tm): of the first 18 to 25 bases of each fragment those whose melting point is nearest the target; the shortest wins ties."""
-    c = rows.select("id", "fragment", "seq", F.explode(F.sequence(F.lit(shortest), F.lit(longest))).alias("n")).where(F.length("seq") >= shortest)
-    c = c.withColumn("binding", F.substr("seq", F.lit(1), F.col("n"))).withColumn("tm", melting_temp(F.col("binding")))
-    best = F.min_by(F.struct("binding", "tm"), F.struct(F.abs(F.col("tm") - target), "n"))
-    return c.groupBy("id", "fragment").agg(best.alias("b")).select("id", "fragment", "b.binding", "b.tm")
+def primers(rows: DataFrame, target: float = 62.0, shortest: int = 18, longest: int = 25, sodium: float = 0.05, primer: float = 250e-9) -> DataFrame:
+    """(id, fragment, binding, tm): of the first 18 to 25 bases of each fragment those whose melting point is nearest the target; the shortest wins ties.
+
+    Running sums over the first bases serve all lengths, and a fragment never leaves its row.
+    """
+    head = F.substring("seq", 1, longest)
+
+    def candidate(sums, i):
+        n = i + shortest
+        tm = _melting(head, n, sums, sodium, primer)
+        return F.struct(F.abs(tm - target).alias("off"), n.alias("n"), tm.alias("tm"))
+
+    best = F.array_min(F.transform(F.slice(_energies(head), shortest, longest - shortest + 1), candidate))
+    c = rows.where(F.length("seq") >= shortest).select("id", "fragment", "seq", best.alias("b"))
+    return c.select("id", "fragment", F.substr("seq", F.lit(1), F.col("b.n")).alias("binding"), "b.tm")
 
 
 def mispriming(binding: Column, target: Column, start: Column, end: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import text as x
@@ -45,19 +45,21 @@ def keywords(articles: DataFrame, top: int = 12) -> DataFrame:
     return listed.unionByName(frequent_words(articles, top).select("id", "word", F.lit("frequent").alias("kind")))
 
 
+def _words(text) -> Column:
+    """Lower-case words of 5 characters or more that are no stop words; other signs are taken out of the whole text at once."""
+    clean = F.lower(F.regexp_replace(text, r"[^a-zA-Z0-9\-\s]", ""))
+    return F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) > 4) & ~w.isin(*k.STOP_WORDS))
+
+
 def frequent_words(articles: DataFrame, top: int = 12) -> DataFrame:
     """(id, word, n, rank): an abstract's most frequent words of 5 characters or more, ties by the word."""
-    stop = F.array(*map(F.lit, k.STOP_WORDS))
-    w = articles.select("id", F.explode(F.split("abstract", r"\s+")).alias("w")).select("id", F.lower(F.regexp_replace("w", r"[^a-zA-Z0-9\-]", "")).alias("word"))
-    n = w.where((F.length("word") > 4) & ~F.array_contains(stop, F.col("word"))).groupBy("id", "word").agg(F.count("*").alias("n"))
+    n = articles.select("id", F.explode(_words("abstract")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= top)
 
 
 def corpus_words(articles: DataFrame, top: int = 12) -> DataFrame:
     """The corpus' most frequent words by the number of articles they are in."""
-    stop = F.array(*map(F.lit, k.STOP_WORDS))
-    words = F.array_distinct(F.transform(F.split("abstract", r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^a-zA-Z0-9\-]", ""))))
-    w = articles.select(F.explode(words).alias("word")).where((F.length("word") > 4) & ~F.array_contains(stop, F.col("word")))
+    w = articles.select(F.explode(F.array_distinct(_words("abstract"))).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
 
 
@@ -72,16 +74,17 @@ def source_counts(articles: DataFrame) -> DataFrame:
     return articles.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.length("title") > 0).alias("n_titled"))
 
 
-def by_source(evidence: DataFrame) -> DataFrame:
-    """(source, ids): evidence grouped by source, ids in order."""
-    return evidence.groupBy(x.label(F.col("source"), "Unlabeled source").alias("source")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+def by_source(evidence: DataFrame, block: int = 1024) -> DataFrame:
+    """(source, block, ids): evidence grouped by source, ids in order; a source's ids are cut into blocks of ``block`` successive numbers."""
+    own = evidence.withColumn("source", x.label(F.col("source"), "Unlabeled source")).withColumn("block", F.expr(f"id div {block}"))
+    return own.groupBy("source", "block").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def tsv_links(rows: DataFrame, text: str = "text") -> DataFrame:
-    """(id, name) of lines ``id<TAB>name``, the id without its prefix."""
-    line = rows.select(F.explode(F.split(text, "\n")).alias("line")).where(F.contains("line", F.lit("\t")))
+def tsv_links(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, name) of lines ``id<TAB>name``, the id without its prefix, and the columns to ``keep``; other lines are left out."""
+    line = rows.select(*keep, F.explode(F.split(text, "\n")).alias("line")).where(F.contains("line", F.lit("\t")))
     parts = F.split("line", "\t")
-    return line.select(F.regexp_replace(F.trim(parts[0]), "^[a-z]+:", "").alias("id"), F.trim(parts[1]).alias("name"))
+    return line.select(*keep, F.regexp_replace(F.trim(parts[0]), "^[a-z]+:", "").alias("id"), F.trim(parts[1]).alias("name"))
 
 
 def evidence_for(query_words: DataFrame, evidence: DataFrame, limit: int = 5) -> DataFrame:

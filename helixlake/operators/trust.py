@@ -95,14 +95,15 @@ def contract_status(payloads: DataFrame) -> DataFrame:
 
 
 def golden_prefix(status: DataFrame) -> DataFrame:
-    """(project, reached, next_place): how far (project, place, ok) is satisfied without a gap from place 1."""
-    run = F.min(F.col("ok").cast("int")).over(Window.partitionBy("project").orderBy("place"))
-    s = status.withColumn("run", run)
+    """(project, reached, next_place): how far (project, place, ok) is satisfied without a gap from place 1; a missing place is a gap."""
+    own = Window.partitionBy("project").orderBy("place")
+    good = F.col("ok") & (F.row_number().over(own) == F.col("place"))
+    s = status.withColumn("good", good).withColumn("run", F.min(F.col("good").cast("int")).over(own))
     return s.groupBy("project").agg(F.coalesce(F.max(F.when(F.col("run") == 1, F.col("place"))), F.lit(0)).alias("reached")).withColumn("next_place", F.col("reached") + 1)
 
 
 def coverage(labels: DataFrame, *keys: str) -> DataFrame:
-    """(key, value, n): counts by each key alone, in one pass with grouping sets."""
+    """(key, value, n): counts by each key alone, in one pass over a row per key."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in keys]))
     return labels.select(each.alias("e")).groupBy("e.key", "e.value").agg(F.count("*").alias("n"))
 

@@ -71,10 +71,10 @@ def campaign_reads(spark, sf_dir):
     return op.campaign_reads(s, 1_000_000.0)
 
 
-@query("""WITH f AS (SELECT p_brand AS family, p_size AS round, p_partkey::DOUBLE AS x, p_retailprice AS y, p_size * 1.0 AS score FROM part WHERE p_size <= 20), l AS (SELECT max(round) AS round FROM f)
+@query("""WITH f AS (SELECT p_brand AS family, p_size AS round, p_partkey::DOUBLE AS x, p_retailprice AS y, p_size * 1.0 AS score FROM part), l AS (SELECT max(round) AS round FROM f)
 SELECT family, count(*) AS n, floor(avg(x) * 1000 + 0.5) / 1000 AS x, floor(avg(y) * 1000 + 0.5) / 1000 AS y, floor(avg(score) * 1000 + 0.5) / 1000 AS score FROM f JOIN l USING (round) GROUP BY family""")
 def family_hotspots(spark, sf_dir):
-    p = v.table(spark, sf_dir, "part").where("p_size <= 20").select(F.col("p_brand").alias("family"), F.col("p_size").alias("round"), F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_size") * 1.0).alias("score"))
+    p = v.table(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), F.col("p_size").alias("round"), F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_size") * 1.0).alias("score"))
     return rounded(op.family_hotspots(p), digits=3)
 
 

@@ -63,9 +63,9 @@ def source_counts(spark, sf_dir):
     return op.source_counts(v.articles(spark, sf_dir))
 
 
-@query("SELECT coalesce(nullif(trim(role), ''), 'Unlabeled source') AS source, list_sort(list(conv_id * 1000 + turn)) AS ids FROM conversations WHERE conv_id % 10 = 0 GROUP BY ALL")
+@query("SELECT coalesce(nullif(trim(role), ''), 'Unlabeled source') AS source, (conv_id * 1000 + turn) // 1024 AS block, list_sort(list(conv_id * 1000 + turn)) AS ids FROM conversations GROUP BY ALL")
 def evidence_by_source(spark, sf_dir):
-    c = v.table(spark, sf_dir, "conversations").where("conv_id % 10 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"))
+    c = v.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("source"))
     return op.by_source(c)
 
 
@@ -99,16 +99,16 @@ def json_salvage(spark, sf_dir):
     return e.select("event_id", "s.strategy", F.col("s.json").isNotNull().alias("found"), F.get_json_object("s.json", "$.k").cast("long").alias("k"), "s.reason")
 
 
-@query("SELECT page_id, substr(regexp_replace(lower(url), '[^a-z0-9_]', '_', 'g'), 1, 64) AS node, CASE WHEN length(url) <= 24 THEN url ELSE rtrim(substr(url, 1, 23)) || '…' END AS short, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
+@query("SELECT page_id, substr(regexp_replace(lower(url), '[^a-z0-9_]', '_', 'g'), 1, 64) AS node, CASE WHEN length(url) <= 24 THEN url ELSE rtrim(substr(url, 1, 23)) || '…' END AS short, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
 def text_functions(spark, sf_dir):
     p = v.table(spark, sf_dir, "pages")
-    return p.select("page_id", x.node_id(F.col("url")).alias("node"), x.truncated(F.col("url"), 24).alias("short"), x.escape_html(F.substring("html", 1, 200)).alias("safe"))
+    return p.select("page_id", x.node_id(F.col("url")).alias("node"), x.truncated(F.col("url"), 24).alias("short"), x.escape_html(F.col("html")).alias("safe"))
 
 
-@query(f"""WITH {v.ARTICLES}, t AS (SELECT id, regexp_split_to_array(trim(title), '\\s+') AS w FROM articles WHERE id % 7 = 0) SELECT id, array_to_string(w, ' ') AS text FROM t""")
+@query(f"""WITH {v.ARTICLES}, t AS (SELECT id, regexp_split_to_array(trim(title), '\\s+') AS w FROM articles) SELECT id, array_to_string(w, ' ') AS text FROM t""")
 def inverted_index_decode(spark, sf_dir):
     w = F.split(F.trim("title"), r"\s+")
-    a = v.articles(spark, sf_dir).where("id % 7 = 0").select("id", w.alias("w"))
+    a = v.articles(spark, sf_dir).select("id", w.alias("w"))
     each = a.select("id", F.posexplode("w").alias("at", "term")).groupBy("id", "term").agg(F.collect_list("at").alias("at"))
     index = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("m"))
     return index.select("id", x.inverted_index_text(F.col("m")).alias("text"))
@@ -140,14 +140,14 @@ def _tm(seq: str) -> str:
     return f"CASE WHEN length({seq}) < 2 THEN 0.0 ELSE floor(({tm}) * 10 + 0.5) / 10 END"
 
 
-@query(f"WITH {v.DNA}, p AS (SELECT id, substr(seq, 1, 25) AS p FROM dna) SELECT id, {_tm('p')} AS tm FROM p")
+@query(f"WITH {v.DNA}, p AS (SELECT id, seq AS p FROM dna) SELECT id, {_tm('p')} AS tm FROM p")
 def melting_temp(spark, sf_dir):
-    return v.dna(spark, sf_dir).select("id", s.melting_temp(F.substring("seq", 1, 25)).alias("tm"))
+    return v.dna(spark, sf_dir).select("id", s.melting_temp(F.col("seq")).alias("tm"))
 
 
-@query(f"WITH {v.DNA}, p AS (SELECT id, substr(seq, 1, 60) AS p FROM dna) SELECT id, len(list_filter(range(1, greatest(length(p) - 4, 1)), lambda i: contains(reverse(translate(p, 'ATCG', 'TAGC')), substr(p, i, 6)))) > 0 AS dimer FROM p")
+@query(f"WITH {v.DNA}, p AS (SELECT id, seq AS p, reverse(translate(seq, 'ATCG', 'TAGC')) AS q, range(1, greatest(length(seq) - 4, 1)) AS pos FROM dna) SELECT id, list_has_any(list_transform(pos, lambda i: substr(p, i, 6)), list_transform(pos, lambda i: substr(q, i, 6))) AS dimer FROM p")
 def self_dimers(spark, sf_dir):
-    return v.dna(spark, sf_dir).select("id", s.self_complementary(F.substring("seq", 1, 60)).alias("dimer"))
+    return v.dna(spark, sf_dir).select("id", s.self_complementary(F.col("seq")).alias("dimer"))
 
 
 _FRAG = f"""WITH {v.DNA}, c AS (SELECT id, seq, greatest(2, ceil(length(seq) / 770.0))::INTEGER AS k FROM dna WHERE length(seq) > 0), z AS (SELECT *, ceil(length(seq) / k::DOUBLE)::INTEGER AS size FROM c),

@@ -59,26 +59,27 @@ def pathway_stats(spark, sf_dir):
     return rounded(records.graph_stats(_nodes(spark, sf_dir)), digits=9)
 
 
-@query("SELECT regexp_replace(trim('hsa:' || n_nationkey), '^[a-z]+:', '') AS id, n_name AS name FROM nation")
+@query("SELECT p_partkey AS page, regexp_replace(trim('hsa:' || n_nationkey), '^[a-z]+:', '') AS id, n_name || ' ' || p_partkey AS name FROM part, nation WHERE n_regionkey = p_partkey % 5")
 def tsv_links(spark, sf_dir):
-    n = v.table(spark, sf_dir, "nation").select(F.concat(F.lit("hsa:"), F.col("n_nationkey").cast("string"), F.lit("\t"), F.col("n_name")).alias("line"))
-    return literature.tsv_links(n.agg(F.array_join(F.collect_list("line"), "\n").alias("text")))
+    n = v.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))  # a region's few nations make a page
+    line = lambda e: F.concat(F.lit("hsa:"), e["n_nationkey"].cast("string"), F.lit("\t"), e["n_name"], F.lit(" "), F.col("p_partkey").cast("string"))
+    p = v.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("r")).join(F.broadcast(n), F.col("r") == F.col("n_regionkey"))  # 5 regions
+    return literature.tsv_links(p.select(F.col("p_partkey").alias("page"), F.array_join(F.transform("rows", line), "\n").alias("text")), keep=("page",))
 
 
-@query("SELECT doc_id AS id, substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 60) || ' ' || lang AS abstract FROM documents WHERE length(trim(substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 60))) > 5")
+@query("SELECT doc_id AS id, array_to_string(list_filter([regexp_replace(text, '[^a-zA-Z ]', '', 'g'), lang], lambda x: trim(x) <> ''), ' ') AS abstract FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
 def abstract_xml(spark, sf_dir):
-    first = F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 60)
-    d = v.table(spark, sf_dir, "documents").where(F.length(F.trim(first)) > 5)
-    xml = F.concat(F.lit("<A><AbstractText>"), first, F.lit("</AbstractText><B/><AbstractText>"), F.col("lang"), F.lit("</AbstractText></A>"))
+    d = v.table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    xml = F.concat(F.lit("<A><AbstractText>"), F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit("</AbstractText><B/><AbstractText>"), F.col("lang"), F.lit("</AbstractText></A>"))
     return d.select(F.col("doc_id").alias("id"), x.abstract_xml(xml).alias("abstract"))
 
 
-_E = "e AS (SELECT doc_id AS id, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '))) AS word FROM documents), w AS (SELECT item_id AS query, unnest(list_distinct(list_slice(string_split(lower(text), ' '), 1, 12))) AS word FROM benchmark)"
+_E = "e AS (SELECT doc_id AS id, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '))) AS word FROM documents), w AS (SELECT item_id AS query, unnest(list_distinct(string_split(lower(text), ' '))) AS word FROM benchmark)"
 
 
 @query(f"WITH {_E}, s AS (SELECT query, id, count(*) AS score FROM w JOIN e USING (word) GROUP BY ALL) SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM s) WHERE rank <= 5")
 def evidence_retrieval(spark, sf_dir):
-    b = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 12)).alias("words"))
+    b = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
     d = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return literature.evidence_for(b, d)
 
@@ -90,12 +91,12 @@ def _weights():
 _W, _C = _weights()
 
 
-@query(f"""WITH p AS (SELECT doc_id AS id, string_split(substr(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g'), 1, 80), '') AS a FROM documents),
+@query(f"""WITH p AS (SELECT doc_id AS id, string_split(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g'), '') AS a FROM documents),
 q AS (SELECT id, list_filter(a, lambda z: z <> '') AS a FROM p), d AS (SELECT id, coalesce(array_to_string(list_transform(a, lambda z: coalesce(({_C})[z], 'NNN')), ''), '') AS dna, list_filter(a, lambda z: ({_W})[z] IS NOT NULL) AS k FROM q)
 SELECT id, dna, {r(f'CASE WHEN len(k) > 0 THEN exp(list_sum(list_transform(k, lambda z: ln(({_W})[z]))) / len(k)) ELSE 0.0 END', 'cai', 3)}, {r("coalesce((length(dna) - length(translate(dna, 'GC', ''))) * 100.0 / nullif(length(dna), 0), 0.0)", 'gc', 3)} FROM d""")
 def codon_optimised(spark, sf_dir):
     up = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    return op.codon_optimised(v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring(F.regexp_replace(up, "[^A-Z]", ""), 1, 80).alias("seq")))
+    return op.codon_optimised(v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(up, "[^A-Z]", "").alias("seq")))
 
 
 @query(f"WITH {v.CELLS} SELECT cluster, count(*) AS n_pairs, {r('avg(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))', 'distance')} FROM (SELECT * FROM cells) a JOIN cells b USING (cluster) WHERE a.cell < b.cell GROUP BY cluster")

@@ -155,7 +155,7 @@ def contract_status(spark, sf_dir):
     return trust.contract_status(p).select("id", "reasons", "ok")
 
 
-@query("""WITH s AS (SELECT o_custkey AS project, (o_orderkey % 6)::INTEGER + 1 AS place, bool_or(o_orderstatus <> 'P') AS ok FROM orders GROUP BY ALL), r AS (SELECT *, min(ok::INTEGER) OVER (PARTITION BY project ORDER BY place) AS run FROM s)
+@query("""WITH s AS (SELECT o_custkey AS project, (o_orderkey % 6)::INTEGER + 1 AS place, bool_or(o_orderstatus <> 'P') AS ok FROM orders GROUP BY ALL), q AS (SELECT project, place, ok AND row_number() OVER (PARTITION BY project ORDER BY place) = place AS ok FROM s), r AS (SELECT *, min(ok::INTEGER) OVER (PARTITION BY project ORDER BY place) AS run FROM q)
 SELECT project, coalesce(max(place) FILTER (run = 1), 0) AS reached, coalesce(max(place) FILTER (run = 1), 0) + 1 AS next_place FROM r GROUP BY project""")
 def golden_prefix(spark, sf_dir):
     s = v.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("project"), ((F.col("o_orderkey") % 6).cast("int") + 1).alias("place")).agg(F.bool_or(F.col("o_orderstatus") != "P").alias("ok"))
@@ -218,9 +218,10 @@ def coverage_counts(spark, sf_dir):
     return trust.coverage(v.assays(spark, sf_dir), "strain", "condition")
 
 
-@query("""WITH l AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0), c AS (SELECT doc_id, quality, CASE WHEN doc_id % 10 = 1 THEN 1 - toxic ELSE toxic END AS toxic FROM labels WHERE doc_id % 4 <> 0)
+@query("""WITH l AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0), c AS (SELECT doc_id, quality, CASE WHEN doc_id % 10 = 1 THEN 1 - toxic ELSE toxic END AS toxic FROM labels WHERE doc_id % 4 <> 0 OR doc_id % 3 = 0)
 SELECT coalesce(l.doc_id, c.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'no case' WHEN l.doc_id IS NULL THEN 'no label' ELSE 'toxic differs' END AS problem FROM l FULL JOIN c ON c.doc_id = l.doc_id WHERE c.doc_id IS NULL OR l.doc_id IS NULL OR l.toxic <> c.toxic""")
 def label_reconciliation(spark, sf_dir):
     x = v.table(spark, sf_dir, "labels")
-    cases = x.where("doc_id % 4 <> 0").withColumn("toxic", F.when(F.col("doc_id") % 10 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    cases = x.where("doc_id % 4 <> 0 OR doc_id % 3 = 0")  # an id is on one side at least
+    cases = cases.withColumn("toxic", F.when(F.col("doc_id") % 10 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     return trust.reconcile(x.where("doc_id % 3 <> 0"), cases, "doc_id", ["quality", "toxic"])
