@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation", "records", "lab", "control", "formulas", "agent", "columns"]
+MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation", "records", "lab", "control", "formulas", "agent", "columns", "state"]
 
 
 def load():
