@@ -121,9 +121,9 @@ def sections(answers: DataFrame) -> DataFrame:
 
 def sentences(texts: DataFrame) -> DataFrame:
     """(id, paragraph, place, sentence) of (id, text): paragraphs part at empty lines, sentences before capitals and digits."""
-    paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
     each = texts.select("id", F.posexplode(paragraphs).alias("paragraph", "p"))
-    own = F.filter(F.transform(F.split("p", r"(?<=[.!?])\s+(?=[A-Z0-9])"), F.trim), lambda s: s != "")
+    own = F.filter(F.transform(F.split("p", r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda x: F.trim(x)), lambda s: s != "")
     return each.select("id", "paragraph", F.posexplode(own).alias("place", "sentence"))
 
 

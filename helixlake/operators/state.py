@@ -175,7 +175,7 @@ def metric_texts(runs: DataFrame) -> DataFrame:
         "fbasim": [show("growth %.3f", "a"), show("%.1f%% carbon efficiency", "b"), state("feasible", "infeasible")],
         "dyncon": [show("%.2f g/L titer", "a"), show("DO RMSE %.3f", "b"), state("stable controller", "unstable controller")],
     }
-    out = F.slice(F.transform(F.split("summary", "·"), F.trim), 1, 3)
+    out = F.slice(F.transform(F.split("summary", "·"), lambda x: F.trim(x)), 1, 3)
     for tool, parts in lists.items():
         out = F.when(F.col("tool") == tool, F.filter(F.array(*parts), lambda x: x.isNotNull())).otherwise(out)
     return runs.select("run", out.alias("metrics"))
