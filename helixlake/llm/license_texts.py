@@ -34,8 +34,19 @@ _CLAUSES_BSD = (
 )
 _GRANT_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 
-#: (licence, text)
-KNOWN: list[tuple[str, str]] = [
+#: Titles that a text may have on a line of its own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+}
+
+#: (licence, text) of whole texts without their titles.
+_TEXTS: list[tuple[str, str]] = [
     (
         "MIT",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without '
@@ -72,6 +83,10 @@ KNOWN: list[tuple[str, str]] = [
         "AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, "
         "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
+]
+
+#: (licence, line) of notices that stand on a line of their own.
+_NOTICES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -86,3 +101,31 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
+
+#: (licence, text), whole texts with and without a title and notices.
+KNOWN: list[tuple[str, str]] = [*_TEXTS, *((name, f"{title}\n{text}") for name, text in _TEXTS for title in TITLES.get(name, [])), *_NOTICES]
+
+#: (licence, digest of its canonical text) of longer whole texts as commonly distributed, some with and without an appendix.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "1210a794ee9c5ec1b9b9563e0c49b2e5dae22cb7aae677c56a3beeb613d47838"),
+    ("Apache-2.0", "272ff21c52fb7967453241cc09147a1dfcb4552355904fa7864f2364a32114fd"),
+    ("Apache-2.0", "4037172c67889accd9129ee08548be202a5ee97c1c74766c2078b10586462c71"),
+    ("Apache-2.0", "7bea06fccfc24430435c268e34d3f6bf83047a15bba121f72721203ce4d411e4"),
+    ("Apache-2.0", "9cb0a96f3d7f70c793d2f9859eadcc3558d7e79276b6ffe1b803b154dbe1a769"),
+    ("Apache-2.0", "a4412992302ca9a7da85aa9168e695c28668b7140a7e7fa559caa582141aedf1"),
+    ("Apache-2.0", "fc972778b4f997bc1d3cd1563b2c26cd582c583ef503ce10db8b718fbc030a1b"),
+    ("Artistic-1.0", "3088f8cc496d6d0d45c610c6dfefbe927d60c5c8cd039cebb94c51c00d1798b4"),
+    ("BlueOak-1.0.0", "f3debb427d3f3698038a86d6d7e50586ae7147d0a987db6d9f9128e09235efbf"),
+    ("CC0-1.0", "453394e4cd36379c611c6e2427ab394975ec8d7b919ef9acbd0c24d78f3f136e"),
+    ("GFDL-1.2", "d5b41bc34f83bf08f0d13fb25e8be7da5e6763d67b1feb337675bbc7ae72a046"),
+    ("GFDL-1.3", "87e6d6e07f98564ffcfb6bd51621c881a95607eb4399b35208b3f21f8465e112"),
+    ("GPL-1.0", "a91269a7d671478bb334839d18fa2cc2aaf7dc1c50b97c8f70102afad8822156"),
+    ("GPL-2.0", "7984f14b8ed4f9f943cb2b353627c5c0aed9bb5e166e7c8221c4dfdb75e436ec"),
+    ("GPL-3.0", "23c9074c0773360f77b7f1af6749f41bd273803600cbea6977f1567af6d93c43"),
+    ("LGPL-2.0", "e59b4bd6792b8cc03455a4c0625581f7943a5d5bdd614781629acf0b87097afc"),
+    ("LGPL-2.1", "ec9f0aadb92eece5ba581c2f9d72c1b41bf46acc146ddf2937b4943832bb250c"),
+    ("LGPL-3.0", "d018c7b199681f52bb188e25de97e8bc7539b0ae44f7b7e5d2bc870b25b598bd"),
+    ("MPL-1.1", "2d31331685503d07337e1d4dc5c78687f8c1d5f894060315626c39105c09cd24"),
+    ("MPL-2.0", "bf96c5309c0115505b8c6596b6e18021848f4098e002b5ee1949f168b9c225e0"),
+    ("Unlicense", "a782c22f8697e5f699413daf99a70bd246f9de384f146da06c45810ba5528696"),
+]

@@ -72,9 +72,12 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, doc_id: str = "doc_
     themselves and ``notices`` joins their licences, each once, by commas (empty without any). Texts that
     are null or have no words have a null digest. Equal rows give equal rows; ids may be null or repeat.
     """
+    spark = docs.sparkSession
+    digests = known_digests(spark.createDataFrame(license_texts.KNOWN, "license string, text string") if known is None else known)
     if known is None:
-        known = docs.sparkSession.createDataFrame(license_texts.KNOWN, "license string, text string")
-    digests = common.cut(known_digests(known))
+        more = spark.createDataFrame(license_texts.DIGESTS, "license string, digest string").select("digest", "license")
+        digests = digests.union(more).groupBy("digest").agg(F.min("license").alias("license"))
+    digests = common.cut(digests)
     if digests.count() <= BROADCAST_KNOWN:
         digests = F.broadcast(digests)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

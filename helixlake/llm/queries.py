@@ -53,11 +53,12 @@ def _license_sql() -> str:
     for other, word in licenses.SPELLINGS.items():
         line = f"replace({line}, ' {other} ', ' {word} ')"
     values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_texts.KNOWN)
+    digests = ", ".join(f"('{k}', '{d}')" for k, d in license_texts.DIGESTS)
     return f"""
 WITH known_lines AS (SELECT k, license, i, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS n
     FROM (SELECT row_number() OVER () AS k, license, t, 0 AS i FROM (VALUES {values}) v(license, t))),
 known_norm AS (SELECT k, license, n, trim({line}) AS line FROM known_lines),
-known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256(string_agg(line, '  ' ORDER BY n)) AS digest FROM known_norm WHERE line <> '' GROUP BY k, license) GROUP BY digest),
+known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256(string_agg(line, '  ' ORDER BY n)) AS digest FROM known_norm WHERE line <> '' GROUP BY k, license UNION ALL SELECT * FROM (VALUES {digests}) d(license, digest)) GROUP BY digest),
 doc_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 norm AS (SELECT doc_id, n, trim({line}) AS line FROM doc_lines),
 whole AS (SELECT doc_id, sha256(string_agg(line, '  ' ORDER BY n)) AS digest FROM norm WHERE line <> '' GROUP BY doc_id),

@@ -59,7 +59,26 @@ def test_recall_against_brute_force(spark):
 def test_edge_tables(spark):
     assert ann.search(frame(spark, []), every).count() == 0
     assert ann.search(frame(spark, [(0, [1.0, 2.0])]), every).count() == 0
-    odd = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (5, [float("inf"), 1.0]), (10, [0.0, 0.0])]
+    odd = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 0.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (5, [float("inf"), 1.0]), (10, [0.0, 0.0])]
     assert got(ann.search(frame(spark, odd), every)) == {0: [(1, 1.0), (2, -1.0)]}
     twice = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0])]
     assert {(r.query_id, r.vec_id) for r in ann.search(frame(spark, twice), every, k=1).collect()} == {(0, 1)}
+
+
+def test_recall_of_registered_parameters_without_structure(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 64))
+    rows = [(i, [float(np.float32(a)) for a in v]) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    own = got(ann.search(frame(spark, rows), lambda vec_id: F.pmod(vec_id, F.lit(20)) == 0))
+    x = np.array([v for _, v in rows])
+    share = []
+    for q in own:
+        score = x @ x[q]
+        score[q] = -2
+        share.append(len({i for i, _ in own[q]} & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
+    assert len(own) == 150 and np.mean(share) >= 0.9
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (5, [1.0, 1.0, 0.0]), (6, [2.0, 0.0, 0.0]), (10, [3.0])]
+    assert got(ann.search(frame(spark, rows), every)) == {0: [(1, 0.5)], 5: [(6, 2.0)]}

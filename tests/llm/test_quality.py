@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from helixlake.llm import quality
 
@@ -62,3 +64,42 @@ def test_edge_tables(spark):
     none = labels.limit(0)
     assert {r.score for r in quality.classify(docs, none).collect()} == {0.5}
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def plain_ftrl(rows, f, bias):
+    """The updates coordinate by coordinate, with dictionaries; the bias isn't regularised."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i == bias else (f.l1, f.l2)
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((f.beta + math.sqrt(ni)) / f.alpha + l2)
+
+    for _ in range(f.epochs):
+        for features, label in rows:
+            w = {i: weight(i) for i in features}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * x for i, x in features.items())))))
+            for i, x in features.items():
+                g = (p - label) * x
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / f.alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    rows, bits, shards = corpus(90, 7), 14, 3
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    order = {r.doc_id: (r.o, r.s) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit("train")).alias("o")).withColumn("s", F.pmod(F.shiftrightunsigned("o", 32), F.lit(shards))).collect()}
+    features = {i: {int(k): float(np.float32(v)) for k, v in zip(*quality.vector(t.encode(), bits))} for i, t, _ in rows}
+    total, count = {}, 0
+    for shard in range(shards):
+        own = sorted((order[i][0], i, y) for i, _, y in rows if order[i][1] == shard and zlib.crc32(str(i).encode()) % 5)
+        count += len(own)
+        for k, w in plain_ftrl([(features[i], y) for _, i, y in own], quality.Ftrl(), 1 << bits).items():
+            total[k] = total.get(k, 0.0) + len(own) * w
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels, bits=bits, shards=shards).collect()}
+    for i, t, _ in rows:
+        exact = dict(zip(*(a.tolist() for a in quality.vector(t.encode(), bits))))
+        want = 1 / (1 + math.exp(-sum(total.get(k, 0.0) / count * v for k, v in exact.items())))
+        assert abs(got[i] - want) < 1e-9
