@@ -46,7 +46,7 @@ def test_edge_tables(spark):
 @pytest.mark.parametrize("name", sorted(TEXTS))
 def test_titled_texts_and_altered_ones(spark, name):
     texts = [f"{title}\n\nCopyright (c) 2020 Some One\n\n{TEXTS[name]}" for title in license_texts.TITLES[name]]
-    altered = TEXTS[name].replace(" in ", " on ", 1)
+    altered = TEXTS[name].replace(" or ", " nor ", 1)
     assert altered != TEXTS[name]
     got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(list(enumerate([*texts, altered])), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [name] * len(texts) and got[len(texts)] is None
