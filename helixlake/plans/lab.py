@@ -94,7 +94,10 @@ def sampled_silhouette(spark, sf_dir):
     return rounded(op.sampled_silhouette(v.cells(spark, sf_dir), 200))
 
 
-@query()
+_B36 = "".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', ((h // {36**i}) % 36 + 1)::INTEGER, 1)" + (" || " if i else "") for i in range(6, -1, -1))
+
+
+@query(f"WITH {v.RUNS}, k AS (SELECT project, tool, revision, tool || '|' || project || '|' || revision AS s FROM runs), f AS (SELECT project, tool, revision, {_fnv('s')} AS h FROM k) SELECT project, tool, revision, 'prov_' || CASE WHEN h = 0 THEN '0' ELSE ltrim({_B36}, '0') END AS provenance_id FROM f")
 def provenance_entries(spark, sf_dir):
     o = v.runs(spark, sf_dir)
     return o.select("project", "tool", "revision", hashing.entry_id(F.col("tool"), F.col("project").cast("string"), F.col("revision").cast("string")).alias("provenance_id"))

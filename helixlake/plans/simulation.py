@@ -253,7 +253,13 @@ def stream_equilibria(spark, sf_dir):
     return streams.drain(streams.equilibria(t, 0.005, 3))
 
 
-@query()
+_MOVES = values("moves", "state, event, next_state", streams.MOVES)
+
+
+@query(f"""WITH RECURSIVE {_MOVES}, ev AS (SELECT user_id AS project, event_id AS seq, ['start', 'pass', 'fail', 'loop', 'finish'][event_id % 5 + 1] AS event, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f(project, n, seq, event, state, iteration, moved) AS (SELECT DISTINCT project, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, 'idle', 1::BIGINT, false FROM ev
+ UNION ALL SELECT f.project, ev.n, ev.seq, ev.event, coalesce(m.next_state, f.state), f.iteration + CASE WHEN ev.event = 'loop' AND m.next_state IS NOT NULL THEN 1 ELSE 0 END, m.next_state IS NOT NULL FROM f JOIN ev ON ev.project = f.project AND ev.n = f.n + 1 LEFT JOIN moves m ON m.state = f.state AND m.event = ev.event)
+SELECT project, seq, event, state, iteration, moved FROM f WHERE n > 0""")
 def stream_workflow(spark, sf_dir):
     names = F.array(*map(F.lit, ["start", "pass", "fail", "loop", "finish"]))
     e = streams.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("project"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("event"))
