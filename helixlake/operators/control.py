@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixlake.functions import hashing
 from helixlake.operators import trust
 from helixlake.sources import constants as k
 
@@ -207,3 +208,17 @@ def experiment_records(runs: DataFrame) -> DataFrame:
     authority = F.when(F.col("simulated"), "simulated").when(experiment, "experiment-backed").when(linked, "evidence-linked").otherwise("contextual")
     status = F.when((F.col("tool") == "dbtlflow") & (F.col("feedback_source") == "committed"), "committed").when(F.col("simulated"), "simulated").otherwise("recorded")
     return runs.select("run", F.when(experiment, "experiment").otherwise("analysis").alias("category"), F.concat(F.upper("tool"), F.lit(" run")).alias("title"), authority.alias("authority"), status.alias("status"))
+
+
+def provenance_entries(contexts: DataFrame) -> DataFrame:
+    """Contexts (tool, activity, surface, actor, inputs, outputs, evidence, upstream, started, completed) with their ``provenance_id``, id lists without blanks and repeats.
+
+    The id ends in the FNV-1a of the context as JSON text, in base 36, so equal contexts have equal ids; missing lists are empty in it, other missing values null.
+    """
+    lists = {"inputAssumptionIds": "inputs", "outputAssumptionIds": "outputs", "evidenceIds": "evidence", "upstreamProvenanceIds": "upstream"}
+    none = F.array().cast("array<string>")
+    fields = [F.col("tool").alias("toolId"), F.col("activity").alias("activityType"), "surface", "actor", *[F.coalesce(c, none).alias(name) for name, c in lists.items()], F.col("started").alias("startedAt"), F.col("completed").alias("completedAt")]
+    material = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    code = F.lower(F.conv(hashing.fnv1a(material).cast("string"), 10, 36))
+    clean = {c: F.array_distinct(F.filter(F.coalesce(c, none), lambda x: F.trim(x) != "")) for c in lists.values()}
+    return contexts.withColumn("provenance_id", F.concat_ws(":", F.lit("provenance"), "tool", "activity", code)).withColumns(clean)

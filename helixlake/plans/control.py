@@ -196,3 +196,23 @@ def experiment_records(spark, sf_dir):
     return control.experiment_records(v.table(spark, sf_dir, "orders").select(
         n.alias("run"), F.get(F.array(*map(F.lit, k.TOOLS)), (n % 14).cast("int")).alias("tool"), (n % 5 == 0).alias("simulated"), F.when(c % 3 == 0, "s").otherwise("").alias("source"), F.when(c % 4 == 0, "r").alias("analyze_ref"), F.when(n % 2 == 0, "committed").otherwise("draft").alias("feedback_source"),
     ))
+
+
+def _fnv36(s: str) -> str:
+    h = f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({s}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+    digits = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', ((h // {36**i}) % 36 + 1)::INTEGER, 1)" for i in range(6, -1, -1))
+    return f"(SELECT CASE WHEN h = 0 THEN '0' ELSE ltrim({digits}, '0') END FROM (SELECT {h} AS h))"
+
+
+@query(f"""WITH c AS (SELECT o_orderkey AS run, {_list(k.TOOLS)}[o_orderkey % 14 + 1] AS tool, CASE WHEN o_orderkey % 2 = 0 THEN '"export"' ELSE 'null' END AS surface, CASE WHEN o_orderkey % 3 = 0 THEN '["a","b' || (o_orderkey % 5) || '","a"," "]' ELSE '[]' END AS inputs, CASE WHEN o_orderkey % 3 = 0 THEN ['a', 'b' || (o_orderkey % 5)] ELSE [] END AS kept, o_orderdate::VARCHAR AS started, CASE WHEN o_orderkey % 4 = 0 THEN '"' || o_orderdate::VARCHAR || '"' ELSE 'null' END AS completed FROM orders),
+j AS (SELECT *, '{{"toolId":"' || tool || '","activityType":"simulation","surface":' || surface || ',"actor":null,"inputAssumptionIds":' || inputs || ',"outputAssumptionIds":[],"evidenceIds":["e' || (run % 7) || '"],"upstreamProvenanceIds":[],"startedAt":"' || started || '","completedAt":' || completed || '}}' AS material FROM c)
+SELECT run, 'provenance:' || tool || ':simulation:' || {_fnv36('material')} AS provenance_id, kept AS inputs FROM j""")
+def provenance_ids(spark, sf_dir):
+    n, date = F.col("o_orderkey"), F.col("o_orderdate").cast("string")
+    none = F.lit(None).cast("array<string>")
+    c = v.table(spark, sf_dir, "orders").select(
+        n.alias("run"), F.get(F.array(*map(F.lit, k.TOOLS)), (n % 14).cast("int")).alias("tool"), F.lit("simulation").alias("activity"), F.when(n % 2 == 0, "export").alias("surface"), F.lit(None).cast("string").alias("actor"),
+        F.when(n % 3 == 0, F.array(F.lit("a"), F.concat(F.lit("b"), (n % 5).cast("string")), F.lit("a"), F.lit(" "))).alias("inputs"), none.alias("outputs"), F.array(F.concat(F.lit("e"), (n % 7).cast("string"))).alias("evidence"), none.alias("upstream"),
+        date.alias("started"), F.when(n % 4 == 0, date).alias("completed"),
+    )
+    return control.provenance_entries(c).select("run", "provenance_id", "inputs")
