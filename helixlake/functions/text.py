@@ -89,8 +89,9 @@ def salvage_json(raw: Column) -> Column:
     The text itself, without code fences, between the outer braces, or so after trailing commas are gone
     and single quotes are double. Reasons are empty, no-object and invalid-syntax.
     """
-    bare = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)```(?:json)?\s*", ""), r"```\s*", ""))
-    fixed = F.trim(F.replace(F.regexp_replace(raw, r",\s*([}\]])", "$1"), F.lit("'"), F.lit('"')))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    bare = strip(F.regexp_replace(F.regexp_replace(raw, r"(?i)```(?:json)?\s*", ""), r"```\s*", ""))
+    fixed = F.replace(F.regexp_replace(raw, r",\s*([}\]])", "$1"), F.lit("'"), F.lit('"'))
 
     def slice_of(x: Column) -> Column:
         first, last = F.instr(x, "{"), F.length(x) - F.instr(F.reverse(x), "}") + 1
@@ -100,7 +101,7 @@ def salvage_json(raw: Column) -> Column:
     result = lambda s, t, c: F.struct(F.lit(s).cast("string").alias("strategy"), t.alias("json"), F.lit(c).cast("string").alias("reason"))
     null = F.lit(None).cast("string")
     return (
-        F.when(F.coalesce(F.trim(raw), F.lit("")) == "", result(None, null, "empty"))
+        F.when(F.coalesce(strip(raw), F.lit("")) == "", result(None, null, "empty"))
         .when(ok(raw), result("direct", raw, None)).when(ok(bare), result("fenced", bare, None)).when(ok(slice_of(raw)), result("sliced", slice_of(raw), None))
         .when(ok(slice_of(fixed)), result("repaired", slice_of(fixed), None)).when(slice_of(raw).isNull(), result(None, null, "no-object")).otherwise(result(None, null, "invalid-syntax"))
     )

@@ -118,7 +118,7 @@ def mean_pair_distance(points: DataFrame, by: str, key: str, dims: list[str]) ->
         own, one, two = table["own"].to_numpy(), table["one"][0].as_py(), table["two"][0].as_py()
         x = np.stack([table[d].to_numpy() for d in dims], axis=1)
         a, b = x[own == one], x[own == two]
-        total = sum(float(np.sqrt(((a[i : i + 256, None] - b[None]) ** 2).sum(2)).sum()) for i in range(0, len(a), 256))
+        total = sum(float(np.sqrt(((a[i : i + 256, None] - b[None]) ** 2).sum(2)).sum()) for i in range(0, len(a), 256)) + 0.0
         pairs = len(a) * (len(a) - 1) / 2 if one == two else len(a) * len(b)
         return pa.table({by: table[by].slice(0, 1), "pairs": [float(pairs)], "total": [total / 2 if one == two else total]})
 
