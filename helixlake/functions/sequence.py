@@ -60,12 +60,17 @@ def melting_temp(x: Column, sodium: float = 0.05, primer: float = 250e-9) -> Col
     return _melting(s, F.length(s), F.aggregate(F.split(s, ""), start, step), sodium, primer)
 
 
+def _runs(t: Column, run: int) -> Column:
+    """Every ``run`` successive letters as one number, ten bits a letter; letters are read once, as positions in a text are found by counting."""
+    letters = F.array(F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("long") % 1024))  # in a list, so that the inner function gets it ready
+    number = lambda a, i: sum((F.get(a, i + j) * (1 << 10 * (run - 1 - j)) for j in range(1, run)), F.get(a, i) * (1 << 10 * (run - 1)))
+    return F.flatten(F.transform(letters, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - run), lambda i: number(a, i))))
+
+
 def self_complementary(x: Column, run: int = 6) -> Column:
-    """Whether some ``run`` bases also lie on the opposite strand."""
+    """Whether some ``run`` bases, 6 at most, also lie on the opposite strand."""
     s = F.upper(x)
-    places = F.when(F.length(s) >= run, F.sequence(F.lit(1), F.length(s) - (run - 1))).otherwise(F.array().cast("array<int>"))
-    runs = lambda t: F.transform(places, lambda i: F.substr(t, i, F.lit(run)))
-    return F.arrays_overlap(runs(s), runs(reverse_complement(s)))
+    return F.when(F.length(s) >= run, F.arrays_overlap(_runs(s, run), _runs(reverse_complement(s), run))).otherwise(F.when(s.isNotNull(), False))
 
 
 def identity(a: Column, b: Column) -> Column:
