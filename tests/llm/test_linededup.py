@@ -31,9 +31,18 @@ def brute(rows, min_docs):
             own = tokens
         made[r, k] = " ".join(own) if own is not tokens else "= " + " ".join(tokens)
         docs[made[r, k]].add(r)
+    long = defaultdict(set)
+    for r, (_, text) in enumerate(rows):
+        for line in (text or "").split("\n"):
+            if len(line.split()) > ld.LONG:
+                long[" ".join(line.split())].add(r)
     out = {}
     for r, row in enumerate(rows):
         gone = set()
+        for k, line in enumerate((row[1] or "").split("\n")):
+            have = long.get(" ".join(line.split()), ())
+            if len(have) >= ld.LONG_DOCS and min(have, key=lambda x: (rows[x][0] is None, rows[x][0] or 0)) != r:
+                gone.add(k)
         for k in range(len((row[1] or "").split("\n"))):
             t = made.get((r, k))
             if t and len(docs[t]) >= min_docs:
