@@ -197,14 +197,15 @@ def components(docs: DataFrame, classes: DataFrame, **names) -> DataFrame:
     every = _segments(classes)
     several = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     rows = common.cut(every.join(several, "key", "left_semi"))  # so that the joins below may split a hot bucket
-    pivots = common.cut(rows.groupBy("key").agg(F.min(F.struct("id", "after")).alias("pivot")))
+    pivots = common.cut(rows.groupBy("key").agg(F.min(F.struct("id", "after")).alias("pivot"), F.count("*").alias("members")))
     met = rows.join(pivots, "key")
     stars = met.where((F.col("id") != F.col("pivot.id")) & _chains(F.col("after"), F.col("pivot.after"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
     links = verified(stars.distinct(), classes, docs, **names)
     own = common.settled(common.components(links))
     label = lambda t, i, to: t.join(own, F.col(i) == own.node, "left").withColumn(to, F.coalesce("component", i)).drop("node", "component")
-    homes = common.cut(label(pivots.select("key", F.col("pivot.id").alias("first")), "first", "home").select("key", "home"))
-    rows = common.cut(label(rows, "id", "own").withColumnRenamed("own", "component").join(homes, "key").withColumn("home", F.col("component") == F.col("home")))
+    # a bucket of two is its pivot and one more, which have met
+    homes = common.cut(label(pivots.where("members > 2").select("key", F.col("pivot.id").alias("first")), "first", "home").select("key", "home"))
+    rows = common.cut(label(rows.join(homes, "key"), "id", "own").withColumnRenamed("own", "component").withColumn("home", F.col("component") == F.col("home")))
     x, y = rows.where("NOT home").alias("x"), rows.alias("y")  # members of the pivot's component meet the others only
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.home") | (F.col("x.id") < F.col("y.id"))) & _chains(F.col("x.after"), F.col("y.after"))
     more = x.join(y, apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
