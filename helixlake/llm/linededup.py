@@ -90,11 +90,14 @@ def generalised(distinct: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
 
     Tokens are counted by (leaf, position, token), never by leaf alone: a leaf may hold a third of all lines.
     """
+    shared = common.cut(distinct.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf"))  # alone, a line has no variable token
     able = distinct.where(F.size(F.split("line", " ")) >= MIN_CONSTANT)
-    each = able.select("leaf", "hash", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("at") >= depth)
-    each = common.cut(each.select("leaf", "hash", "n", "at", F.xxhash64("token").alias("token")))
+    several = common.cut(able.join(shared, "leaf", "left_semi").repartition("leaf", "hash"))
+    each = several.select("leaf", "hash", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("at") >= depth)
+    each = each.select("leaf", "hash", "n", "at", F.xxhash64("token").alias("token"))
     rare = common.cut(each.groupBy("leaf", "at", "token").agg(F.sum("n").alias("total")).where(F.col("total") < min_docs).select("leaf", "at", "token"))
-    fields = each.join(rare, ["leaf", "at", "token"], "left_semi").groupBy("leaf", "hash").agg(F.collect_list("at").alias("fields"))
+    # a line that is there so often has no rare token
+    fields = each.where(F.col("n") < min_docs).join(rare, ["leaf", "at", "token"], "left_semi").groupBy("leaf", "hash").agg(F.collect_list("at").alias("fields"))
     formed = able.select("leaf", "hash", "line").join(fields, ["leaf", "hash"], "left")
 
     def form(frames):
