@@ -27,7 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, all rows stay; ``n_chars`` follows the text. Null texts stay null, equal rows are one document."""
     out = linededup.dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.select([F.length("text").cast("long").alias(name) if name.lower() == "n_chars" else column for name, column in zip(docs.columns, common.quoted(docs.columns))])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +66,19 @@ def fast_encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_level_ranks(path), special_tokens={})
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """The columns of these names, whatever signs they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """The columns called c0, c1, ...: functions over Arrow batches can't be given all names."""
+    return df.select([c.alias(f"c{i}") for i, c in enumerate(quoted(df.columns))])
+
+
 def row_key(*columns: str) -> Column:
     """A 128-bit digest of the named columns of a row, nulls told from other values; it stands for the row in joins."""
-    parts = [part for c in columns for part in (F.col(f"`{c}`").isNull().cast("string"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))]
+    parts = [part for c in quoted(columns) for part in (c.isNull().cast("string"), F.coalesce(c.cast("string"), F.lit("")))]
     return F.unhex(F.md5(F.concat_ws("\0", *parts).cast("binary")))
 
 

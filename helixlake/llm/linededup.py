@@ -148,16 +148,16 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, count: str | None = None) -> DataFrame:
     """All rows and columns of ``docs``, with the lines of recurring templates cut out of ``text``.
 
-    ``count`` names a column to hold the number of dropped lines; one of that name is replaced. Null and
+    ``count`` names a column to hold the number of dropped lines; one of that name, in whatever case, is replaced. Null and
     empty texts stay as they are; a text all of whose lines go becomes empty. Equal rows are one document.
     An empty table gives an empty one, and columns of any name are carried.
     """
     gone = dropped_lines(docs, doc_id=doc_id, text=text, min_docs=min_docs, depth=depth)
-    base = docs.drop(count) if count and count in docs.columns else docs
+    base = docs.select(common.quoted(c for c in docs.columns if not count or c.lower() != count.lower()))
     names = base.columns
     key = common.free_name("row", names)
     numbers = common.free_name("lines", [*names, key])
-    joined = base.withColumn(key, common.row_key(doc_id, text)).join(gone.select(F.col("row").alias(key), F.col("lines").alias(numbers)), key, "left").select(*(F.col(f"`{c}`") for c in names), numbers)
+    joined = base.withColumn(key, common.row_key(doc_id, text)).join(gone.select(F.col("row").alias(key), F.col("lines").alias(numbers)), key, "left").select(*common.quoted(names), numbers)
     at = names.index(text)
     schema = T.StructType([*base.schema.fields, *([T.StructField(count, T.LongType())] if count else [])])
 
@@ -174,4 +174,4 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_do
                 columns.append(pa.array([len(x or ()) for x in found], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *([count] if count else [])])
 
-    return joined.mapInArrow(rewrite, schema)
+    return common.plain_names(joined).mapInArrow(rewrite, schema)

@@ -3,7 +3,7 @@
 Two texts are near copies where their sets of five-word shingles have a Jaccard similarity of 0.8 or
 more. Sets at 0.8 differ in 15 % of their SimHash bits, about ten of 64, and a key of 64 bits can't
 promise to find that. So the fingerprint is a ring of ``RING`` segments of ``SEGMENT`` bits. A pair is
-a candidate where it agrees on a whole segment and where every chain of two to four segments that
+a candidate where its sets' sizes may be similar, where it agrees on a whole segment and where every chain of two to four segments that
 starts there stays within its share of the whole budget, ``TAU`` of all bits; then the whole distance
 must stay within ``TAU``, and the sets themselves decide. By the pigeonring, some start has all its
 chains within budget; that its first segment agrees in full is more than it promises, and is what a
@@ -30,6 +30,8 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 #: Segments of the ring, and their bits.
 RING, SEGMENT = 120, 20
+#: Sizes of sets are put into bands, each up to BAND times the one before: four steps of what sizes of similar sets differ by.
+BAND, MOST_BANDS = (SIMILAR[1] / SIMILAR[0]) ** 4, 16
 #: Bits of 2,400 that may differ: 364 is the mean at 0.8, 17.6 the standard deviation.
 TAU = 424
 #: Sets of fewer shingles skip the check of the whole distance, which is wider for them than the sets' similarity says.
@@ -117,6 +119,16 @@ def sketches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     return own.mapInArrow(scan, T.StructType([*own.schema.fields[:2], T.StructField("words", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.ArrayType(T.LongType()))]))
 
 
+def size_bands(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band of every size, and that of the largest size that may still be similar to it: the same or the next.
+
+    Of two sets that may be similar, the larger one's band is one of the smaller one's two.
+    """
+    band = lambda x: np.minimum(np.log(x) / np.log(BAND), MOST_BANDS - 1).astype(np.int64)
+    n = np.maximum(n, 1).astype(float)
+    return band(n), band(n * (SIMILAR[1] / SIMILAR[0]) * (1 + 1e-9))
+
+
 def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every start in the ring, a key of its number and its segment, and the three segments that follow in one number."""
     bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : RING * SEGMENT].reshape(-1, SEGMENT)
@@ -127,17 +139,21 @@ def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _segments(classes: DataFrame) -> DataFrame:
-    """(key, after, id) per class and start."""
+    """(key, after, id) per class and start, for each of the one or two bands in which similar sizes lie."""
 
     def expand(frames):
         for frame in frames:
             for at in range(0, frame.num_rows, 512):
                 part = frame.slice(at, 512)
-                ids, fps = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
+                ids, fps = part.column(0).to_numpy(), part.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
                 key, after = segment_keys(fps)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32).ravel()), pa.array(after.ravel()), pa.array(np.repeat(ids, RING))], names=["key", "after", "id"])
+                own, upper = size_bands(part.column(1).to_numpy())
+                both = np.concatenate([np.arange(len(ids)), np.flatnonzero(upper > own)])
+                band = np.concatenate([own, upper[upper > own]])
+                key = key[both] | (band << (RING.bit_length() + SEGMENT))[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32).ravel()), pa.array(after[both].ravel()), pa.array(np.repeat(ids[both], RING))], names=["key", "after", "id"])
 
-    return classes.select("id", "fp").mapInArrow(expand, "key int, after long, id long")
+    return classes.select("id", "n", "fp").mapInArrow(expand, "key int, after long, id long")
 
 
 def _chains(x: Column, y: Column) -> Column:
@@ -230,4 +246,4 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     kept = common.cut(named.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias("row")))
     key = common.free_name("row", docs.columns)
     keyed = docs.withColumn(key, common.row_key(*docs.columns))
-    return keyed.join(kept.withColumnRenamed("row", key), key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    return keyed.join(kept.withColumnRenamed("row", key), key, "left_semi").dropDuplicates([key]).select(common.quoted(docs.columns))

@@ -163,11 +163,11 @@ def logit(raw: bytes, model: Model) -> float:
 def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
     """All columns and ``into``, the probability that the label is 1; null and empty texts get the bias's.
 
-    A column already called ``into`` is replaced.
+    A column already called ``into``, in whatever case, is replaced. An empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model.weights)  # 2**bits + 1 doubles, whatever the input
     bits = model.bits
-    base = docs.drop(into) if into in docs.columns else docs
+    base = docs.select(common.quoted(c for c in docs.columns if c.lower() != into.lower()))
 
     @F.pandas_udf(T.DoubleType())
     def of(texts):
@@ -178,16 +178,18 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "sco
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, **params) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``; no input of a score but the text."""
+    """(doc_id, held_out, score, predicted) for every row of ``docs``; no input of a score but the text.
+
+    Null and empty texts get the bias's score, null ids are scored and never held out or learnt from,
+    repeated rows are scored each, whole texts of any length are read. An empty table gives an empty one.
+    """
     model = fit(docs, labels, label=label, doc_id=doc_id, text=text, **params)
     own = score(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
     return own.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, **params) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns, whatever their names."""
     model = fit(docs, labels, label=label, doc_id=doc_id, text=text, **params)
-    into = "score"
-    while into in docs.columns:
-        into += "_"
-    return score(docs, model, text=text, into=into).where(F.col(into) >= threshold).select(docs.columns)
+    into = common.free_name("score", docs.columns)
+    return score(docs, model, text=text, into=into).where(F.col(into) >= threshold).select(common.quoted(docs.columns))

@@ -111,3 +111,13 @@ def test_rows_with_repeated_or_unknown_ids(spark):
     rows = [(1, "one two three four five six", "a"), (1, "quite other words stand in here", "b"), (2, "quite other words stand in here", "c"), (None, "only without any id at all", "d"), (None, "only without any id at all", "e"), (None, "one two three four five six", "f"), (3, "last", "g"), (3, "last", "g")]
     got = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, rows[0][1]), (1, rows[1][1]), (0, rows[3][1]), (3, "last")])
+
+
+def test_sizes_of_similar_sets_share_a_band():
+    sizes = np.unique(np.concatenate([np.arange(1, 6000), 2 ** np.arange(13, 30), 5 ** np.arange(1, 12), 4 * 5 ** np.arange(1, 11)]))
+    own, upper = nearcopies.size_bands(sizes)
+    assert ((upper == own) | (upper == own + 1)).all() and own.max() < nearcopies.MOST_BANDS
+    for i, n in enumerate(sizes[:6000]):
+        for m in (n, n + 1, 5 * n // 4 - 1, 5 * n // 4):
+            if n <= m and 5 * n >= 4 * m:
+                assert nearcopies.size_bands(np.array([m]))[0][0] in (own[i], upper[i])
