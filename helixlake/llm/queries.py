@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import ann, bpe, chat, common, license_texts, licenses, linededup, materialise, neardup, packing, quality, simhash
+from helixlake.llm import ann, bpe, chat, codes, common, fim, langid, license_texts, licenses, linededup, materialise, neardup, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -169,3 +169,61 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def _sha256(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLE["op11_fill_in_middle"] = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM docs),
+drawn AS (SELECT *, len(units) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2, CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM cut),
+placed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '{fim.PREFIX}') OR contains(text, '{fim.SUFFIX}') OR contains(text, '{fim.MIDDLE}') OR h3 % 100 >= {fim.RATE} THEN 'plain' WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+three AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{fim.PREFIX}' || p || '{fim.SUFFIX}' || s || '{fim.MIDDLE}' || m ELSE '{fim.SUFFIX}' || s || '{fim.PREFIX}' || p || '{fim.MIDDLE}' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM three
+"""
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = codes.compress(read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql() -> str:
+    """The rounds written out: every part against every entry of its codebook."""
+    steps = []
+    for k in range(codes.ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, min(far * 256 + e) AS best FROM (SELECT x.r, x.p, b.e, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS far FROM parts x JOIN b{k} b ON b.p = x.p) GROUP BY r, p)""")
+        if k < codes.ROUNDS:
+            steps.append(f"""m{k} AS MATERIALIZED (SELECT p, e, list(CAST(floor_mean AS BIGINT) ORDER BY d) AS v FROM (SELECT x.p, a.best % 256 AS e, d, (sum(x.v[d]) - ((sum(x.v[d]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean FROM parts x JOIN a{k} a ON a.r = x.r AND a.p = x.p, unnest(generate_series(1, x.w)) g(d) GROUP BY x.p, a.best % 256, d) GROUP BY p, e)""")
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e)""")
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {codes.SCALE}) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, len(v) // {codes.PARTS} AS w, v[p * (len(v) // {codes.PARTS}) + 1:(p + 1) * (len(v) // {codes.PARTS})] AS v FROM kept, range({codes.PARTS}) g(p)),
+b0 AS (SELECT p, r - 1 AS e, v FROM parts WHERE r <= {codes.ENTRIES}),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a{last} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), book"""
+
+
+ORACLE["op13_vector_codes"] = _codes_sql()

@@ -23,15 +23,19 @@ def usable(vector: str) -> Column:
 
 
 def by_length(rows: DataFrame, vector: str) -> list[DataFrame]:
-    """The rows with usable vectors, a table for every length that occurs: vectors of different lengths have no product.
+    """The rows with usable vectors, a table for every length that occurs: vectors of different lengths have no product."""
+    return tables_by_length(rows.where(usable(vector)), vector)
+
+
+def tables_by_length(rows: DataFrame, vector: str) -> list[DataFrame]:
+    """A table for every length of vectors.
 
     Lengths are the dimensions of embedding models and so a handful; more than ``LENGTHS`` are an error.
     """
-    good = rows.where(usable(vector))
-    lengths = [r.n for r in good.select(F.size(vector).alias("n")).distinct().limit(LENGTHS + 1).collect()]
+    lengths = [r.n for r in rows.select(F.size(vector).alias("n")).distinct().limit(LENGTHS + 1).collect()]
     if len(lengths) > LENGTHS:
         raise ValueError(f"vectors of more than {LENGTHS} different lengths")
-    return [good.where(F.size(vector) == n) for n in sorted(lengths)]
+    return [rows.where(F.size(vector) == n) for n in sorted(lengths)]
 
 
 def class_key(*columns: str) -> list[Column]:
