@@ -76,7 +76,7 @@ def test_pairs_at_the_threshold_are_found():
             assert at - 0.005 < len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < at + 0.005
             fps = np.stack([nearcopies.fingerprint(x), nearcopies.fingerprint(y)])
             key, after = nearcopies.segment_keys(fps)
-            chains = [all((int(a ^ b) >> 20 * (4 - n)).bit_count() <= n * nearcopies.TAU // nearcopies.RING for n in (2, 3, 4)) for i, j, a, b in zip(*key, *after) if i == j]
+            chains = [all((int(a ^ b) >> nearcopies.SEGMENT * (3 - n)).bit_count() <= n * nearcopies.TAU // nearcopies.RING for n in (2, 3)) for i, j, a, b in zip(*key, *after) if i == j]
             met[at] += any(chains) and np.bitwise_count(fps[0] ^ fps[1]).sum() <= nearcopies.TAU
     assert met[0.8] >= 388 and met[0.9] == 400
 
@@ -91,8 +91,9 @@ def test_fingerprints_are_those_of_a_plain_count():
         assert (np.unpackbits(nearcopies.fingerprint(x).view(np.uint8), bitorder="little") == (bits * 2 > n)).all()
     key, after = nearcopies.segment_keys(nearcopies.fingerprint(x)[None])
     bits = np.unpackbits(nearcopies.fingerprint(x).view(np.uint8), bitorder="little")
-    value = lambda k: int("".join(map(str, bits[k % 120 * 20 : k % 120 * 20 + 20][::-1])), 2)
-    assert all(key[0, k] == k << 20 | value(k) and after[0, k] == value(k + 1) << 40 | value(k + 2) << 20 | value(k + 3) for k in range(120))
+    ring, size = nearcopies.RING, nearcopies.SEGMENT
+    value = lambda k: int("".join(map(str, bits[k % ring * size : k % ring * size + size][::-1])), 2)
+    assert all(key[0, k] == k << size | value(k) and after[0, k] == value(k + 1) << size | value(k + 2) for k in range(ring))
 
 
 def test_pipeline_drops_near_copies_after_line_dedup(spark, tmp_path):
