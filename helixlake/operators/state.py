@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions import mathx as m
+from helixlake.functions import shapes
+from helixlake.operators import commits, ledger
+from helixlake.session import cut
 from helixlake.sources import constants as k
+from helixlake.sources import state_shapes
 
+#: Runs of an earlier store that can be indexed.
+_RUNS = shapes.List(shapes.Record({"id": shapes.Text(), "toolId": shapes.Text(), "createdAt": shapes.Number()}, needs=("id", "toolId")))
 TABLES = ("state", "run_index", "experiments", "history", "audit")
 #: Names that a symbol column of a dataset may have.
 SYMBOL_ALIASES = ["geneSymbol", "gene_symbol", "symbol", "gene_name", "feature_name"]
@@ -21,49 +27,129 @@ def project_scope(rows: DataFrame, default: str = "workbench-default") -> Column
     return F.coalesce(*named, F.lit(default))
 
 
-def committed(spark: SparkSession, root: str) -> int:
-    """The last committed version, 0 where nothing is committed."""
-    try:
-        return spark.read.schema("version long").parquet(f"{root}/commits").agg(F.max("version")).first()[0] or 0
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return 0
-        raise
+def _newest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of each key the rows of its last version."""
+    last = rows.groupBy(*by).agg(F.max("version").alias("last"))
+    return rows.join(last, by).where("version = last").drop("last", "version")
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    """A table as of the last commit, None before the first."""
-    version = committed(spark, root)
-    return spark.read.parquet(f"{root}/v{version}/{table}") if version else None
+    """A table as of the last commit, None before the first.
+
+    Of a project's states, runs and experiments those of its last write count, of a revision's history the last
+    row; all audit rows do. A project whose last write had no run has no rows of an earlier one.
+    """
+    rows = commits.rows_since(spark, root, table)
+    if rows is None or table == "audit":
+        return rows.drop("version") if rows is not None else None
+    if table == "history":
+        return _newest(rows, ["project", "revision"])
+    if table == "state":
+        return _newest(rows, ["project"])
+    last = commits.rows_since(spark, root, "state").groupBy("project").agg(F.max("version").alias("version"))
+    return rows.join(last, ["project", "version"], "left_semi").drop("version")
+
+
+def refused(states: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """The states (project, revision, ...) of which a newer revision is stored."""
+    if stored is None:
+        return states.limit(0)
+    return ledger.conflicts(states, stored.select("project", "revision")).where("conflict").select(states.columns)
+
+
+def _tables(states: DataFrame, runs: DataFrame, bad: DataFrame | None, action: str, detail: str) -> dict[str, DataFrame]:
+    audit = lambda s, status, text: s.select("project", "actor", "revision", F.lit(action).alias("action"), F.lit(status).alias("status"), F.lit(text).alias("detail"), "at")
+    good = states if bad is None else states.join(bad.select("project"), "project", "left_anti")
+    own = runs.join(good.select("project", "revision", "actor"), "project")
+    counts = runs.groupBy("project").agg(F.count("*").alias("n_runs"))
+    history = good.join(counts, "project", "left").select("project", "revision", "actor", F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"), "at", "body")
+    category = F.when(F.col("tool").isin(*k.EXPERIMENT_TOOLS), "experiment").otherwise("analysis")
+    log = audit(good, "ok", detail)
+    return {
+        "state": good, "history": history, "run_index": own.select("project", "revision", "run", "tool", "at"),
+        "experiments": own.select("project", "revision", "actor", "run", "tool", category.alias("category"), "at"),
+        "audit": log if bad is None else log.union(audit(bad, "refused", "a newer revision is stored")),
+    }
+
+
+def write_states(root: str, states: DataFrame, runs: DataFrame, action: str, detail: str, *, seen: int | None = None) -> int:
+    """Write projects' states (project, revision, actor, at, body), a row each, and their runs (project, run, tool, at, ...); return the version.
+
+    A state replaces its project's, and the project's rows of the run index and of the experiment records; history
+    keeps a row a project and revision, the audit log one a write. A project whose stored revision is newer is refused: its
+    rows are left out, and the audit log says so. All becomes visible at once. ``seen`` is the version that the writer has
+    read; where others have committed since, revisions are compared again if they wrote one of these projects.
+    """
+    spark = states.sparkSession
+
+    def make(version: int) -> dict[str, DataFrame]:
+        stored = read_until(spark, root, version)
+        return _tables(states, runs, None if stored is None else cut(refused(states, stored)), action, detail)
+
+    def stale(since: int) -> bool:
+        between = commits.rows_since(spark, root, "state", since)
+        return between is not None and not between.join(states.select("project"), "project", "left_semi").isEmpty()
+
+    return commits.commit(spark, root, make, seen=seen, stale=stale)
 
 
-def write_states(root: str, states: DataFrame, runs: DataFrame, action: str, detail: str) -> int:
-    """Write projects' states (project, revision, actor, at, body) and their runs (project, run, tool, at, ...) as one version and return its number.
+def read_until(spark: SparkSession, root: str, version: int) -> DataFrame | None:
+    """(project, revision) as of a version, None before the first."""
+    rows = commits.rows_since(spark, root, "state") if version else None
+    return None if rows is None else _newest(rows.where(F.col("version") <= version), ["project"]).select("project", "revision")
 
-    States are replaced by project; so are a project's rows of the run index and its experiment records; history
-    keeps a row per project and revision, the audit log one per write. All tables of the version are written before the
-    one-row commit record that makes readers see them, so a write that fails midway leaves the last version as it was.
+
+def compact(spark: SparkSession, root: str) -> int:
+    """One version with all rows as they are, so that readers need none before it."""
+
+    def make(version: int) -> dict[str, DataFrame] | None:
+        return {t: read_table(spark, root, t) for t in TABLES} if version else None
+
+    return commits.commit(spark, root, make, whole=True)
+
+
+def migrate(root: str, sources: list[tuple[str, DataFrame]], default: str = "workbench-default", at: int = 0) -> int:
+    """Take over states of earlier stores, once: into an empty log only. ``sources`` are (action, table (project, body)), tried in order.
+
+    The first source with a body that is a JSON object is taken; its other rows get an audit row that says the
+    migration failed, and so do all rows of the sources before it. Blank projects are the default one; of several bodies of a project the
+    one with the highest revision counts. Returns the version, 0 where a version was there already or nothing was to be written.
     """
-    spark = states.sparkSession
-    last = committed(spark, root)
-    to = f"{root}/v{last + 1}"
-    names = states.select("project").distinct()
-
-    def put(table: str, new: DataFrame, keep) -> None:
-        old = spark.read.parquet(f"{root}/v{last}/{table}") if last else None
-        (keep(old).unionByName(new) if old is not None else new).write.mode("overwrite").parquet(f"{to}/{table}")
-
-    others = lambda old: old.join(names, "project", "left_anti")
-    own = runs.join(states.select("project", "revision", "actor"), "project")
-    put("state", states, others)
-    put("run_index", own.select("project", "revision", "run", "tool", "at"), others)
-    put("experiments", own.select("project", "revision", "actor", "run", "tool", F.when(F.col("tool").isin(*k.EXPERIMENT_TOOLS), "experiment").otherwise("analysis").alias("category"), "at"), others)
-    counts = runs.groupBy("project").agg(F.count("*").alias("n_runs"))
-    history = states.join(counts, "project", "left").select("project", "revision", "actor", F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"), "at", "body")
-    put("history", history, lambda old: old.join(history.select("project", "revision"), ["project", "revision"], "left_anti"))
-    put("audit", states.select("project", "actor", "revision", F.lit(action).alias("action"), F.lit("ok").alias("status"), F.lit(detail).alias("detail"), "at"), lambda old: old)
-    spark.range(1).select(F.lit(last + 1).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/commits")
-    return last + 1
+    spark = sources[0][1].sparkSession
+
+    def make(version: int) -> dict[str, DataFrame] | None:
+        logs = []
+        for action, rows in sources:
+            body = F.try_parse_json("body")
+            own = rows.select(F.coalesce(F.nullif(F.trim("project"), F.lit("")), F.lit(default)).alias("project"), "body", F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False)).alias("fit"), F.greatest(F.lit(0), F.coalesce(F.try_variant_get(body, "$.revision", "long"), F.lit(0))).alias("revision"))
+            own = cut(own)
+            bad = own.where("NOT fit")
+            logs.append(bad.select("project", F.lit("system").alias("actor"), F.lit(0).cast("long").alias("revision"), F.lit(action).alias("action"), F.lit("failed").alias("status"), F.lit("no valid state").alias("detail"), F.lit(at).alias("at")))
+            if own.where("fit").isEmpty():
+                continue
+            states = ledger.latest(own.where("fit"), ["project"], [F.desc("revision"), F.asc("body")]).select("project", "revision", F.lit("system").alias("actor"), F.lit(at).alias("at"), "body")
+            runs = states.select("project", F.explode(_RUNS.clean(shapes.child(F.try_parse_json("body"), "runArtifacts"))).alias("r"))
+            out = _tables(states, runs.select("project", F.col("r.id").alias("run"), F.col("r.toolId").alias("tool"), F.coalesce("r.createdAt", F.lit(at)).cast("int").alias("at")), None, action, "migrated an earlier state")
+            break
+        else:
+            out = {}
+        audit = ([out["audit"]] if out else []) + logs
+        if not out and all(x.isEmpty() for x in logs):
+            return None
+        for other in audit[1:]:
+            audit[0] = audit[0].union(other)
+        return out | {"audit": audit[0]}
+
+    return commits.commit(spark, root, make, only_first=True)
+
+
+def clean_states(states: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """(key, value, dropped) of stored states as JSON texts: the state with all its fields, null where the text is no object, and (path, reason) of all that isn't kept."""
+    parsed = states.select(key, F.try_parse_json(body).alias("parsed"))
+    own = parsed.select(key, shapes.sanitised(F.col("parsed"), state_shapes.STATE).alias("s"))
+    control = F.col("s.value.workflowControl")
+    shown = control.withField("isDemoOnly", control["isDemoOnly"] | (control["status"] == "demoOnly"))
+    return own.select(key, F.when(F.col("s.value").isNotNull(), F.col("s.value").withField("schemaVersion", F.lit(1.0)).withField("workflowControl", shown)).alias("value"), F.col("s.dropped").alias("dropped"))
 
 
 def experiment_list(records: DataFrame, limit: int = 24) -> DataFrame:

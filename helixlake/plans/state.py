@@ -50,6 +50,58 @@ def state_history(spark, sf_dir):
     return op.read_table(spark, _written(spark, sf_dir), "history").select("project", "revision", "actor", "n_runs")
 
 
+def _rivals(spark, sf_dir) -> str:
+    """Two writers that have both seen version 1 of all projects, and write every second and every third of them; then all rows in one version."""
+    root = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    c, o = v.table(spark, sf_dir, "customer"), v.table(spark, sf_dir, "orders")
+    n = F.col("c_custkey")
+    runs = o.select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("run"), _pick(k.TOOLS, F.col("o_orderkey") % 14).alias("tool"), F.lit(1).alias("at"))
+
+    def write(own, actor, revision, seen):
+        states = own.select(n.alias("project"), revision.cast("long").alias("revision"), F.lit(actor).alias("actor"), F.lit(1).alias("at"), F.lit("{}").alias("body"))
+        op.write_states(root, states, runs.join(states.select("project"), "project", "left_semi"), "sync", "project state updated", seen=seen)
+
+    write(c, "first", n % 5, 0)
+    write(c.where("c_custkey % 2 = 0"), "second", n % 5 + 1, 1)
+    write(c.where("c_custkey % 3 = 0"), "third", F.when(n % 4 == 0, n % 5 + 1).otherwise(n % 5), 1)
+    op.compact(spark, root)
+    return root
+
+
+_RIVALS = "WITH w AS (SELECT c_custkey AS project, c_custkey % 5 AS r, c_custkey % 2 = 0 AS second, c_custkey % 3 = 0 AS third, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS more FROM customer), x AS (SELECT *, third AND second AND more = 0 AS refused FROM w)"
+
+
+@query(f"{_RIVALS} SELECT project, CASE WHEN third AND NOT refused THEN r + more WHEN second THEN r + 1 ELSE r END AS revision, CASE WHEN third AND NOT refused THEN 'third' WHEN second THEN 'second' ELSE 'first' END AS actor FROM x")
+def rival_writes(spark, sf_dir):
+    return op.read_table(spark, _rivals(spark, sf_dir), "state").select("project", "revision", "actor")
+
+
+@query(f"{_RIVALS} SELECT project, 'first' AS actor, r AS revision, 'ok' AS status FROM x UNION ALL SELECT project, 'second', r + 1, 'ok' FROM x WHERE second UNION ALL SELECT project, 'third', r + more, CASE WHEN refused THEN 'refused' ELSE 'ok' END FROM x WHERE third")
+def rival_audit(spark, sf_dir):
+    return op.read_table(spark, _rivals(spark, sf_dir), "audit").select("project", "actor", "revision", "status")
+
+
+_LEGACY = """l AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'workbench-default' ELSE 'p' || o_custkey END AS project, o_orderkey AS n, o_orderkey % 7 IN (0, 1) AS bad FROM orders)"""
+
+
+@query(f"""WITH {_LEGACY} SELECT 'state' AS part, project, max(n) AS revision, 1 AS n, 'system' AS actor FROM l WHERE NOT bad GROUP BY project
+UNION ALL SELECT 'run', project, max(n), 1, 'dbtlflow' FROM l WHERE NOT bad GROUP BY project UNION ALL SELECT 'failed', project, 0, count(*), 'system' FROM (SELECT project FROM l WHERE bad UNION ALL SELECT 'workbench-default' FROM customer) GROUP BY project""")
+def migrated_states(spark, sf_dir):
+    """Of two earlier stores, one without a valid state, what is taken over; a second migration changes nothing."""
+    root = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    n = F.col("o_orderkey")
+    good = F.concat(F.lit('{"revision": '), n.cast("string"), F.lit(', "runArtifacts": [{"id": "r'), n.cast("string"), F.lit('", "toolId": "dbtlflow", "createdAt": 3}, {"id": 4}, "x"]}'))
+    rows = v.table(spark, sf_dir, "orders").select(F.when(n % 11 == 0, " ").otherwise(F.concat(F.lit("p"), F.col("o_custkey").cast("string"))).alias("project"), F.when(n % 7 == 0, "no json").when(n % 7 == 1, "[1]").otherwise(good).alias("body"))
+    old = v.table(spark, sf_dir, "customer").select(F.lit(None).cast("string").alias("project"), F.lit("null").alias("body"))
+    for _ in range(2):
+        op.migrate(root, [("canonical", old), ("json", rows)])
+    part = lambda t, name, *c: op.read_table(spark, root, t).select(F.lit(name).alias("part"), "project", *c)
+    states = part("state", "state", "revision", F.lit(1).cast("long").alias("n"), "actor")
+    runs = part("run_index", "run", F.substring("run", 2, 20).cast("long").alias("revision"), F.lit(1).cast("long").alias("n"), F.col("tool").alias("actor"))
+    failed = op.read_table(spark, root, "audit").where("status = 'failed'").groupBy("project", "revision", "actor").agg(F.count("*").alias("n"))
+    return states.union(runs).union(failed.groupBy("project", "revision", "actor", "n").agg(F.lit("failed").alias("part")).select("part", "project", "revision", "n", "actor"))
+
+
 @query("SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 4 = 0 THEN ' ' WHEN c_custkey % 4 = 1 THEN c_name END), ''), CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, 'workbench-default') AS project FROM customer")
 def project_scopes(spark, sf_dir):
     n = F.col("c_custkey")
@@ -218,3 +270,46 @@ def corpus_errors(spark, sf_dir):
         F.when(n % 5 == 0, F.array().cast("array<string>")).when(n % 5 == 1, F.array(F.lit("a-b"), F.lit("a-b"))).when(n % 5 == 2, F.array(F.lit("A b"))).otherwise(F.array(F.lit("ok"))).alias("tags"), F.when(n % 23 == 0, "gold").otherwise("real").alias("tier"), F.lit("blocked").alias("status"), F.lit("a rationale").alias("r"),
     ).withColumn("rationale", F.lit("a rationale of some length"))
     return op.corpus_errors(c, k.CORPUS_CATEGORIES, k.CORPUS_STATUSES).groupBy("case", "error").agg(F.count("*").alias("n"))
+
+
+def _bodies(spark, sf_dir):
+    """States of orders as JSON, with fields of the wrong kind, unknown names and values, and items that lack something."""
+    n = F.col("o_orderkey")
+    t = lambda x: F.lit(x)
+    pick = lambda words, m: F.get(F.array(*map(F.lit, words)), (n % m).cast("int"))
+    key = n.cast("string")
+    whole = F.concat(
+        t('{"revision": '), (n % 5 - 1).cast("string"), t(', "junk": true, "project": {"id": "p'), key, t('", "title": '), pick(['"Title"', "7", "null"], 3), t(', "status": '), pick(['"active"', '"paused"', "5"], 3), t(', "isDemo": '), pick(["true", "0", '""', '"x"', "[]"], 5),
+        t('}, "toolRuns": [{"id": "r'), key, t('", "toolId": "pathd", "isSimulated": '), (n % 2).cast("string"), t(', "extra": {}}, {"id": 5, "toolId": "x"}, "x"], "toolPayloads": {"pathd": {"z": [1.0, {"b": 1, "a": 2}], "validity": "real", "toolId": "pathd", "updatedAt": '), key,
+        t('}, "odd": {}, "fbasim": {"validity": "fake", "toolId": "fbasim", "updatedAt": 1}}, "selectedEvidenceIds": ["e'), key, t('", 2, null], "workflowControl": {"status": "'), pick(["demoOnly", "ready"], 2), t('", "iteration": -3}}'),
+    )
+    return v.table(spark, sf_dir, "orders").select("o_orderkey", F.when(n % 13 == 0, "[]").when(n % 13 == 1, "no json").otherwise(whole).alias("body"))
+
+
+@query("""SELECT o_orderkey, bad AS invalid, CASE WHEN NOT bad THEN greatest(0, n % 5 - 1)::DOUBLE END AS revision, CASE WHEN NOT bad THEN ['Title', 'Synthetic Biology Program', 'Synthetic Biology Program'][n % 3 + 1] END AS title, CASE WHEN NOT bad THEN ['active', 'draft', 'draft'][n % 3 + 1] END AS status, CASE WHEN NOT bad THEN n % 5 IN (0, 3, 4) END AS is_demo,
+ CASE WHEN NOT bad THEN ['r' || n] END AS runs, CASE WHEN NOT bad THEN n % 2 = 1 END AS simulated, CASE WHEN NOT bad THEN '{"toolId":"pathd","updatedAt":' || n || ',"validity":"real","z":[1,{"a":2,"b":1}]}' END AS payload, CASE WHEN NOT bad THEN 1 ELSE NULL END AS n_payloads, CASE WHEN NOT bad THEN ['e' || n] END AS selected, CASE WHEN NOT bad THEN n % 2 = 0 END AS demo_only, CASE WHEN NOT bad THEN 0.0::DOUBLE END AS iteration
+FROM (SELECT o_orderkey, o_orderkey AS n, o_orderkey % 13 < 2 AS bad FROM orders)""")
+def clean_states(spark, sf_dir):
+    s = op.clean_states(_bodies(spark, sf_dir), "o_orderkey")
+    x, p = F.col("value"), F.col("value.project")
+    there = x.isNotNull()
+    return s.select("o_orderkey", (~there).alias("invalid"), x["revision"].alias("revision"), p["title"].alias("title"), p["status"].alias("status"), p["isDemo"].alias("is_demo"), x["toolRuns"]["id"].alias("runs"), F.get(x["toolRuns"]["isSimulated"], F.lit(0)).alias("simulated"), F.element_at(x["toolPayloads"], "pathd").alias("payload"), F.when(there, F.size(x["toolPayloads"])).cast("int").alias("n_payloads"), x["selectedEvidenceIds"].alias("selected"), x["workflowControl"]["isDemoOnly"].alias("demo_only"), x["workflowControl"]["iteration"].alias("iteration"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey AS n FROM orders) SELECT o_orderkey, r.path AS path, r.reason AS reason FROM (SELECT o_orderkey, unnest(CASE WHEN n % 13 = 0 THEN [{'path': '$', 'reason': 'kind'}] WHEN n % 13 = 1 THEN [] ELSE list_filter([{'path': '$.junk', 'reason': 'unknown'},
+ CASE WHEN n % 3 <> 0 THEN {'path': '$.project.title', 'reason': 'kind'} END, CASE WHEN n % 3 = 1 THEN {'path': '$.project.status', 'reason': 'value'} WHEN n % 3 = 2 THEN {'path': '$.project.status', 'reason': 'kind'} END, {'path': '$.toolRuns[0].extra', 'reason': 'unknown'}, {'path': '$.toolRuns[1]', 'reason': 'incomplete'}, {'path': '$.toolRuns[2]', 'reason': 'kind'},
+ {'path': '$.toolPayloads.odd', 'reason': 'unknown'}, {'path': '$.toolPayloads.fbasim', 'reason': 'incomplete'}, {'path': '$.selectedEvidenceIds[1]', 'reason': 'kind'}, {'path': '$.selectedEvidenceIds[2]', 'reason': 'kind'}], lambda x: x IS NOT NULL) END) AS r FROM o)""")
+def dropped_fields(spark, sf_dir):
+    return op.clean_states(_bodies(spark, sf_dir), "o_orderkey").select("o_orderkey", F.explode("dropped").alias("d")).select("o_orderkey", "d.path", "d.reason")
+
+
+@query("""SELECT '{"a":{"x":' || o_custkey % 50 || ',"y":"1.0, \\"q\\" é"},"b":[1,2.5,null]}' AS payload, count(*) AS n, false AS invalid FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY ALL UNION ALL SELECT NULL, count(*), true FROM orders WHERE o_orderkey % 4 = 3 HAVING count(*) > 0""")
+def same_payloads(spark, sf_dir):
+    """Payloads of orders, written with other orders of names, spaces and forms of numbers, that are the same."""
+    from helixlake.functions.shapes import canonical_json
+
+    n, x = F.col("o_orderkey"), (F.col("o_custkey") % 50).cast("string")
+    text = r'"y": "1.0, \"q\" \u00e9"'.replace("\\\\", "\\")
+    forms = [F.concat(F.lit('{"b":[1,2.5,null],"a":{"x":'), x, F.lit(", " + text + "}}")), F.concat(F.lit('{ "a" : {' + text + ', "x":'), x, F.lit('.0}, "b":[ 1.0, 2.50, null ] }')), F.concat(F.lit('{"a":{"x":'), x, F.lit("e0, " + text + '},"b":[1e0,25e-1,null]}'))]
+    raw = F.when(n % 4 == 0, forms[0]).when(n % 4 == 1, forms[1]).when(n % 4 == 2, forms[2]).otherwise(F.lit('{"a":1,"a":2}'))
+    return v.table(spark, sf_dir, "orders").select(canonical_json(raw).alias("payload")).groupBy("payload").agg(F.count("*").alias("n"), F.first(F.col("payload").isNull()).alias("invalid"))
