@@ -25,12 +25,20 @@ def dealt(rows: DataFrame, by: list[str], order: list[str], part: str = "part")
 
 def numbered(rows: DataFrame, by: list[str], order: list[str], into: str = "place") -> DataFrame:
     """``into``: the number of each row within its key from 1, by ``order``; rows that are equal in it come in any order."""
+    one = _name("one", [*rows.columns, into])
+    out = summed(rows.withColumn(one, F.lit(1)), by, order, one, into).drop(one)
+    return out.withColumn(into, F.col(into) + 1)
+
+
+def summed(rows: DataFrame, by: list[str], order: list[str], amount: str, into: str) -> DataFrame:
+    """``into``: the sum of ``amount`` over the rows of the key that come before by ``order``."""
     part = _name("part", [*rows.columns, into])
     before, local = _name("before", [*rows.columns, part, into]), _name("local", [*rows.columns, part, into])
     own = dealt(rows, by, order, part)
     earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.groupBy(*by, part).agg(F.count("*").alias(local)).select(*by, part, F.coalesce(F.sum(local).over(earlier), F.lit(0)).alias(before))
-    own = own.withColumn(local, F.row_number().over(Window.partitionBy(*by, part).orderBy(*order)))
+    starts = own.groupBy(*by, part).agg(F.sum(amount).alias(local)).select(*by, part, F.coalesce(F.sum(local).over(earlier), F.lit(0)).alias(before))
+    run = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn(local, F.coalesce(F.sum(amount).over(run), F.lit(0)))
     return _with(own, cut(starts), [*by, part]).select(*rows.columns, (F.col(local) + F.col(before)).alias(into))
 
 

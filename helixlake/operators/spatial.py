@@ -368,3 +368,36 @@ def cluster_ordinals(obs: DataFrame) -> DataFrame:
     first = clean.where("label IS NOT NULL").groupBy("label").agg(F.min("ord").alias("first"))
     numbered = first.withColumn("cluster", F.row_number().over(Window.orderBy("first")) - 1).drop("first")  # a row per label
     return clean.join(numbered, "label", "left").withColumn("cluster", F.coalesce("cluster", F.lit(0)))
+
+
+def runtime_views(has_places: Column, has_embedding: Column, has_clusters: Column) -> Column:
+    """Which views of a dataset there are, by name; the table always is."""
+    own = {"spatial-2d": has_places, "spatial-3d": has_places, "umap": has_embedding, "trajectory": has_clusters, "table": F.lit(True)}
+    return F.create_map(*[x for name, there in own.items() for x in (F.lit(name), F.coalesce(there, F.lit(False)))])
+
+
+def query_response(cells: DataFrame, gene: int, requested: str = "spatial-2d", k: int = 6) -> DataFrame:
+    """One row an artifact out of one scan of its cells (artifact, cell, cluster, v, x, y): sizes, selection, cluster summaries, coexpressed genes, views.
+
+    The scan makes a row of sums for every artifact, cluster and gene; all parts are made of these. ``cluster_summaries`` are by
+    size, the largest first, and the first of them is selected; ``coexpression`` are the ``k`` genes that correlate most with ``gene``.
+    """
+    from helixlake.operators.agent import view_mode
+    from helixlake.session import cut
+
+    value = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    placed = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    each = cells.select("artifact", "cluster", (placed("x") & placed("y")).alias("placed"), value(F.get("v", F.lit(gene))).alias("own"), F.posexplode("v").alias("gene", "raw")).withColumn("value", value(F.col("raw")))
+    sums = cut(each.groupBy("artifact", "cluster", "gene").agg(F.count("*").alias("n"), F.count_if("placed").alias("placed"), F.sum("own").alias("sx"), F.sum("value").alias("sy"), F.sum(F.col("own") * F.col("own")).alias("sxx"), F.sum(F.col("value") * F.col("value")).alias("syy"), F.sum(F.col("own") * F.col("value")).alias("sxy")))
+    by_cluster = sums.groupBy("artifact", "cluster").agg(F.max("n").alias("size"), F.max("placed").alias("placed"), F.max_by("sx", "n").alias("s"))
+    summary = F.struct(F.negate("size").alias("o"), "cluster", "size", (F.col("s") / F.col("size")).alias("mean"))
+    heads = by_cluster.groupBy("artifact").agg(F.sum("size").alias("n_cells"), F.sum("placed").alias("n_placed"), F.count("cluster").alias("n_clusters"), F.array_sort(F.collect_list(summary)).alias("c"))  # clusters of one dataset
+    moments = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    genes = sums.groupBy("artifact", "gene").agg(*[F.sum(c).cast("double").alias(c) for c in moments])
+    r = genes.select("artifact", "gene", m.pearson(*(F.col(c) for c in moments)).alias("r"))
+    ranked = r.where(F.col("gene") != gene).withColumn("rank", F.row_number().over(Window.partitionBy("artifact").orderBy(F.desc(F.abs("r")), "gene"))).where(F.col("rank") <= k)
+    close = ranked.groupBy("artifact").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gene", "r"))), lambda x: F.struct(x["gene"].alias("gene"), x["r"].alias("r"))).alias("coexpression"))  # k rows
+    views = runtime_views(F.col("n_placed") > 0, F.lit(False), F.col("n_clusters") > 0)
+    j = heads.join(close, "artifact", "left").withColumn("views", views)
+    clusters = F.transform("c", lambda x: F.struct(x["cluster"].alias("cluster"), x["size"].alias("size"), x["mean"].alias("mean_gene")))
+    return j.select("artifact", "n_cells", "n_placed", F.struct(F.lit(gene).alias("gene"), F.get("c", F.lit(0))["cluster"].alias("cluster"), view_mode(F.lit(requested), F.col("views")).alias("view")).alias("selection"), clusters.alias("cluster_summaries"), "coexpression", "views")

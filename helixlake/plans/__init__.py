@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation", "records", "lab", "control", "formulas", "agent", "columns", "state", "sessions", "loops", "sources"]
+MODULES = ["evolution", "spatial", "omics", "workbench", "literature", "simulation", "records", "lab", "control", "formulas", "agent", "columns", "state", "sessions", "loops", "sources", "proteins", "exchange"]
 
 
 def load():
