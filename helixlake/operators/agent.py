@@ -14,9 +14,24 @@ def _hits(low: Column, words: list[str]) -> Column:
 
 
 def product_name(text: Column) -> Column:
-    """The product that a request names, null without one: the first pattern with a capture."""
-    found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    return F.regexp_replace(F.trim(F.coalesce(*map(found, k.PRODUCT_PATTERNS))), r"[.?!,]$", "")
+    """The product that a request names, null without one.
+
+    It stands behind a cue word and a preposition, up to the next stop or the end; or else between "for" and the last word that ends
+    such a name. Names are of letters, digits, blanks, hyphens and apostrophes, and begin with one of the first two.
+    """
+    least, most = k.PRODUCT_SIGNS
+    words = F.split(F.trim(text), r"\s+")
+    low = F.transform(words, lambda w: F.lower(w))
+    among = lambda w, known, test: F.exists(F.array(*map(F.lit, known)), lambda x: test(w, x))
+    part = lambda start, n: F.array_join(F.slice(words, start + 1, n), " ")
+    fits = lambda name: F.regexp_like(name, F.lit("^[A-Za-z0-9][A-Za-z0-9 '-]*$")) & F.length(name).between(least, most)
+    places = lambda a, b: F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i >= a) & (i < b))
+    cue = lambda i: among(F.get(low, i), k.PRODUCT_CUES, lambda w, x: w.endswith(x)) & among(F.get(low, i + 1), k.PRODUCT_PREPOSITIONS, lambda w, x: w == x)
+    behind = F.transform(F.filter(places(F.lit(0), F.size(words) - 2), cue), lambda i: F.get(F.split(part(i + 2, F.size(words)), "[.?!,]", 2), F.lit(0)))
+    last = lambda i: F.filter(F.reverse(places(i + 2, F.size(words))), lambda j: among(F.get(low, j), k.PRODUCT_ENDS, lambda w, x: F.regexp_like(w, F.concat(F.lit("^"), x, F.lit(r"\b")))))
+    between = F.flatten(F.transform(F.filter(places(F.lit(0), F.size(words) - 2), lambda i: F.get(low, i) == "for"), lambda i: F.transform(last(i), lambda j: part(i + 1, j - i - 1))))
+    named = F.get(F.filter(F.transform(F.concat(behind, between), lambda name: F.trim(name)), fits), F.lit(0))
+    return named
 
 
 def route(requests: DataFrame) -> DataFrame:
@@ -96,7 +111,9 @@ def sections(answers: DataFrame) -> DataFrame:
 
     Lines before the first heading are left out; lines of a paragraph join, empty lines part them.
     """
-    heading = lambda line: F.when(F.regexp_like(line, F.lit(k.HEADINGS["summary"])), "summary").when(F.regexp_like(line, F.lit(k.HEADINGS["observations"])), "observations").when(F.regexp_like(line, F.lit(k.HEADINGS["interpretation"])), "interpretation").when(F.regexp_like(line, F.lit(k.HEADINGS["next-steps"])), "next-steps")
+    known = F.create_map(*[F.lit(w) for pair in k.HEADINGS.items() for w in pair])
+    bare = lambda line: F.btrim(F.rtrim(F.ltrim(F.ltrim(F.lower(line), F.lit("#"))), F.lit(":")), F.lit("*"))
+    heading = lambda line: F.try_element_at(known, bare(line))
     # one fold over the lines of a text: the open section, the open paragraph, and what is done
     entry = lambda s, kind, t: F.struct(s.alias("section"), F.lit(kind).alias("kind"), t.alias("entry"))
     done = "array<struct<section:string,kind:string,entry:string>>"

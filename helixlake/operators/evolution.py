@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import mathx as m
+from helixlake.session import small
 
 PSEUDOCOUNT = 1.0
 
@@ -26,7 +27,7 @@ def replicate_frequencies(reads: DataFrame) -> DataFrame:
     """
     totals = reads.groupBy("round", "replicate").agg(F.sum("reads").alias("total"))
     seen = reads.groupBy("round").agg(F.count_distinct("variant").alias("n_variants"))
-    grid = reads.select("variant", "family").distinct().crossJoin(F.broadcast(totals))  # replicates of rounds: design-sized
+    grid = reads.select("variant", "family").distinct().crossJoin(small(totals))  # every combination is asked for
     full = grid.join(reads.select("variant", "round", "replicate", "reads"), ["variant", "round", "replicate"], "left").join(seen, "round")
     return full.select("variant", "family", "round", "replicate", F.coalesce("reads", F.lit(0)).alias("reads"), ((F.coalesce("reads", F.lit(0)) + PSEUDOCOUNT) / (F.col("total") + PSEUDOCOUNT * F.col("n_variants"))).alias("freq"))
 

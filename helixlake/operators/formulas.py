@@ -13,10 +13,14 @@ AVOGADRO, CELL_GRAMS, RIBOSOME_CAPACITY, TRANSLATION, ATP_BUDGET = 6.022e23, 15e
 
 
 def delta_g(standard: Column, temperature: Column, products: Column, reactants: Column) -> Column:
-    """Free energy from its standard value and two arrays of concentrations; a quotient of 0 counts as 1e-10, none as 1."""
+    """Free energy from its standard value and two arrays of concentrations; no array counts as 1.
+
+    A quotient of 0, and 0 by 0, count as 1e-10; products without any reactant have an infinite energy.
+    """
     product = lambda a: F.aggregate(a, F.lit(1.0), lambda acc, x: acc * x)
-    q = F.try_divide(product(products), product(reactants))
-    return standard + GAS * temperature * F.log(F.when(F.coalesce(q, F.lit(0.0)) == 0, 1e-10).otherwise(q))
+    above, below = product(products), product(reactants)
+    q = F.when(below != 0, above / below).when(above > 0, float("inf")).when(above == 0, 0.0)
+    return standard + GAS * temperature * F.log(F.when(q == 0, 1e-10).otherwise(q))
 
 
 def equilibrium_constant(standard: Column, temperature: Column) -> Column:

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import text as x
+from helixlake.session import cut
 from helixlake.sources import constants as k
 
+#: Share of the texts from which a word of a query is common.
+COMMON = 0.05
+
 
 def union_sources(*tables: DataFrame) -> DataFrame:
     """Connector results one after the other, ``arrival`` numbering the connectors."""
@@ -88,8 +92,27 @@ def tsv_links(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -
 
 
 def evidence_for(query_words: DataFrame, evidence: DataFrame, limit: int = 5) -> DataFrame:
-    """(query, id, score): evidence by how many of a query's words its text has, at most 12."""
-    w = query_words.select("query", F.explode("words").alias("word")).distinct()
-    e = evidence.select("id", F.explode(F.array_distinct(F.split(x.normalise(F.col("text")), " "))).alias("word"))
-    s = w.join(e, "word").groupBy("query", "id").agg(F.count("*").alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= max(1, min(limit, 12)))
+    """(query, id, score, rank): evidence by how many of a query's words its text has, at most 12; ties to the smaller id.
+
+    Words that over ``COMMON`` of the texts have find nothing by themselves: a text that shares no other word has at most as many of
+    them as the query. Texts that share a rarer one are scored by all words, and where the last of the wanted ones has more than
+    that, no other text can come before it. The queries for which it hasn't meet the common words too.
+    """
+    k = max(1, min(limit, 12))
+    w = cut(query_words.select("query", F.explode("words").alias("word")).distinct())
+    e = cut(evidence.select("id", F.explode(F.array_distinct(F.split(x.normalise(F.col("text")), " "))).alias("word")))
+    n = e.select("id").distinct().count()
+    common = e.join(w.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") > max(COMMON * n, k)).select("word")
+    common = cut(common)
+    met = cut(w.join(common, "word", "left_anti").join(e, "word").groupBy("query", "id").agg(F.count("*").alias("rare")))
+    often = e.join(common, "word", "left_semi").join(met.select("id").distinct(), "id", "left_semi")
+    shared = met.select("query", "id").join(often, "id").join(w, ["query", "word"], "left_semi").groupBy("query", "id").agg(F.count("*").alias("often"))
+    score = (F.col("rare") + F.coalesce("often", F.lit(0))).alias("score")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    top = lambda s: s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    first = cut(top(met.join(shared, ["query", "id"], "left").select("query", "id", score)))
+    most = w.join(common, "word", "left_semi").groupBy("query").agg(F.count("*").alias("most"))
+    last = first.where(F.col("rank") == k).select("query", F.col("score").alias("least"))
+    open_ = cut(most.join(last, "query", "left").where(F.coalesce("least", F.lit(0)) <= F.col("most")).select("query"))
+    rest = top(w.join(open_, "query", "left_semi").join(e, "word").groupBy("query", "id").agg(F.count("*").alias("score")))
+    return first.join(open_, "query", "left_anti").unionByName(rest)

@@ -150,12 +150,16 @@ def expression_knn(cells: DataFrame, k: int = 15, block: int = 512, pivots: int
         return pd.DataFrame({"i": i, "j": j, "d": d})
 
     def meet(asked: DataFrame) -> DataFrame:
-        found = asked.groupBy("g", "b", "part").cogroup(held.withColumn("hpart", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // (64 * block))) - 1)))).groupBy("hg", "hb", "hpart")).applyInPandas(compare, f"i {kind}, j {kind}, d double")
+        """Blocks that many cells ask for are repeated, one copy for so many of them; the others aren't."""
+        asked = cut(asked)
+        parts = cut(asked.groupBy("g", "b").agg(F.ceil(F.count("*") / (64 * block)).cast("int").alias("parts")))
+        ask = asked.join(parts, ["g", "b"]).withColumn("part", F.pmod(F.xxhash64("cell", F.lit("ask")), F.col("parts").cast("long")).cast("int"))
+        copies = held.join(parts, (F.col("hg") == F.col("g")) & (F.col("hb") == F.col("b"))).select("hg", "hb", "to", "w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hpart"))
+        found = ask.select("g", "b", "part", "cell", "v").groupBy("g", "b", "part").cogroup(copies.groupBy("hg", "hb", "hpart")).applyInPandas(compare, f"i {kind}, j {kind}, d double")
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
-    part = F.pmod(F.xxhash64("cell", F.lit("ask")), F.lit(max(1, -(-n // (64 * block))))).cast("int").alias("part")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
-    first = cut(meet(own.join(F.broadcast(sizes.select("g", "blocks")), "g").select("g", every, part, "cell", "v")))
+    first = cut(meet(own.join(F.broadcast(sizes.select("g", "blocks")), "g").select("g", every, "cell", "v")))
     bound = first.groupBy("i").agg(F.when(F.count("*") == k, F.max("d")).alias("bound"))
 
     def widen(frames):
@@ -173,7 +177,7 @@ def expression_knn(cells: DataFrame, k: int = 15, block: int = 512, pivots: int
                     out = []
 
     asked = own.join(bound, F.col("cell") == F.col("i"), "left").select("cell", "v", "g", "bound").mapInPandas(widen, f"g int, b int, cell {kind}, v array<double>")
-    more = meet(asked.select("g", "b", part, "cell", "v"))
+    more = meet(asked.select("g", "b", "cell", "v"))
     both = first.union(more).select("i", "j", "d")
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixlake.session import small
 from helixlake.sources import constants as k
 
 
@@ -40,7 +41,7 @@ def decide(requests: DataFrame, policy: DataFrame) -> DataFrame:
     ``provenance`` counts ids, ``human`` is null, approved, pending or rejected. No policy, no tier, a draft
     where none may be, a tier that isn't allowed and missing provenance block; an open human gate gates.
     """
-    j = requests.join(F.broadcast(policy), ["tool", "surface"], "left")
+    j = requests.join(small(policy), ["tool", "surface"], "left")
     tier, human = F.col("tier"), F.coalesce("human", F.lit("pending"))
     gate = F.col("needs_gate") & (human != "approved")
     rules = [
@@ -74,7 +75,7 @@ def downstream_gate(sources: DataFrame, targets: DataFrame) -> DataFrame:
     out = F.struct(F.lit(True).alias("allowed"), F.lit("allow").alias("severity"), F.lit(7).alias("rule"))
     for number, (when, allowed, severity) in reversed(list(enumerate(rules, 1))):
         out = F.when(when, F.struct(F.lit(allowed).alias("allowed"), F.lit(severity).alias("severity"), F.lit(number).alias("rule"))).otherwise(out)
-    return sources.join(F.broadcast(targets), sources.source != targets.target).select("source", "target", out.alias("d")).select("source", "target", "d.*")
+    return sources.join(small(targets), sources.source != targets.target).select("source", "target", out.alias("d")).select("source", "target", "d.*")
 
 
 def contract_status(payloads: DataFrame) -> DataFrame:

@@ -27,11 +27,13 @@ def _requests(spark, sf_dir):
 
 
 _REQUESTS = f"q AS (SELECT conv_id, turn, {_list(REQUESTS)}[(conv_id * 7 + turn) % {len(REQUESTS)} + 1] AS request, CASE WHEN conv_id % 3 = 0 THEN 'squalene' END AS target FROM conversations)"
+#: What the requests name, worked out by hand.
+_NAMED = "CASE raw WHEN 'Design a pathway for artemisinic acid.' THEN 'artemisinic acid' WHEN 'Plan a route to lycopene, with directed evolution and a gene circuit' THEN 'lycopene' WHEN 'Metabolic pathway for taxol! now' THEN 'taxol' END"
 _HITS = "list_filter({w}, lambda w: contains({t}, w))"
 
 
 @query(f"""WITH {_REQUESTS}, l AS (SELECT *, trim(request) AS raw, trim(regexp_replace(lower(trim(request)), '\\s+', ' ', 'g')) AS low FROM q),
-h AS (SELECT *, {_HITS.format(w=_list(k.ROUTE_PATHWAY_WORDS), t='low')} AS a, {_HITS.format(w=_list(k.ROUTE_FLUX_WORDS), t='low')} AS b, coalesce(nullif(regexp_replace(trim(coalesce({', '.join(f"nullif(regexp_extract(raw, '{p.replace(chr(39), chr(39) * 2)}', 1), '')" for p in k.PRODUCT_PATTERNS)})), '[.?!,]$', ''), ''), target) AS named FROM l),
+h AS (SELECT *, {_HITS.format(w=_list(k.ROUTE_PATHWAY_WORDS), t='low')} AS a, {_HITS.format(w=_list(k.ROUTE_FLUX_WORDS), t='low')} AS b, coalesce({_NAMED}, target) AS named FROM l),
 d AS (SELECT *, CASE WHEN raw = '' THEN 'empty' WHEN len(a) > 0 AND len(b) > 0 THEN 'both' WHEN len(a) > 0 AND named IS NULL THEN 'no-product' WHEN len(a) > 0 THEN 'pathd' WHEN len(b) > 0 THEN 'fbasim' ELSE 'none' END AS reason FROM h)
 SELECT conv_id, turn, reason, CASE WHEN reason IN ('pathd', 'fbasim') THEN reason ELSE 'none' END AS kind, CASE WHEN reason = 'pathd' THEN named END AS product, CASE WHEN reason = 'fbasim' THEN CASE WHEN contains(low, 'yeast') THEN 'yeast' ELSE 'ecoli' END END AS species,
  CASE WHEN reason = 'fbasim' THEN CASE WHEN contains(low, 'atp') THEN 'atp' WHEN contains(low, 'product') OR contains(low, 'yield') THEN 'product' ELSE 'biomass' END END AS objective, CASE reason WHEN 'pathd' THEN a WHEN 'fbasim' THEN b ELSE [] END AS signals FROM d""")
@@ -56,7 +58,7 @@ def agent_plans(spark, sf_dir):
 
 
 _SESSIONS = """sessions AS (SELECT c_custkey AS session, c_custkey % 23 = 0 AS interrupted, CASE WHEN c_custkey % 19 = 0 THEN 'off-domain' ELSE 'scientific-pathway' END AS category, c_custkey % 5 <> 0 AS has_plan FROM customer),
-steps AS (SELECT o_custkey AS session, NOT (o_custkey % 7 = 0 OR o_orderkey % 9 = 0) AS supported, CASE WHEN o_custkey % 11 = 3 THEN NULL WHEN o_custkey % 4 = 0 THEN 'done' ELSE ['done', 'error', 'cancelled', 'done', 'done', 'running', 'pending'][o_orderkey * o_custkey % (3 + o_custkey % 5) + 1] END AS task_status FROM orders WHERE o_custkey % 5 <> 0 AND o_orderkey % 4 = 0)"""
+steps AS (SELECT o_custkey AS session, NOT (o_custkey % 7 = 0 OR o_orderkey % 9 = 0) AS supported, CASE WHEN o_custkey % 11 = 3 THEN NULL WHEN o_custkey % 4 = 0 THEN 'done' ELSE ['done', 'error', 'cancelled', 'done', 'done', 'running', 'pending'][o_orderkey * o_custkey % (3 + o_custkey % 5) + 1] END AS task_status FROM orders WHERE o_custkey % 5 <> 0)"""
 
 
 @query(f"""WITH {_SESSIONS}, g AS (SELECT session, count(*) AS n, count(*) FILTER (supported) AS able, count(*) FILTER (supported AND task_status IS NOT NULL) AS tasks, {', '.join(f"count(*) FILTER (supported AND task_status = '{s}') AS {s}" for s in ('running', 'pending', 'error', 'cancelled', 'done'))} FROM steps GROUP BY session)
@@ -65,7 +67,7 @@ def session_status(spark, sf_dir):
     c, n = F.col("c_custkey"), F.col("o_custkey")
     sessions = v.table(spark, sf_dir, "customer").select(c.alias("session"), (c % 23 == 0).alias("interrupted"), F.when(c % 19 == 0, "off-domain").otherwise("scientific-pathway").alias("category"), (c % 5 != 0).alias("has_plan"))
     names = F.array(*map(F.lit, ["done", "error", "cancelled", "done", "done", "running", "pending"]))
-    steps = v.table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0 AND o_orderkey % 4 = 0").select(
+    steps = v.table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0").select(
         n.alias("session"), (~((n % 7 == 0) | (F.col("o_orderkey") % 9 == 0))).alias("supported"), F.when(n % 11 == 3, None).when(n % 4 == 0, "done").otherwise(F.get(names, (F.col("o_orderkey") * n % (3 + n % 5)).cast("int"))).alias("task_status")
     )
     return op.session_status(sessions, steps)

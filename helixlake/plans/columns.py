@@ -85,14 +85,14 @@ def mispriming(spark, sf_dir):
     return d.select("id", s.mispriming(F.substring("seq", 1, 8), F.col("seq"), F.lit(0), F.lit(8)).alias("elsewhere"))
 
 
-@query("SELECT p_partkey AS variant, CASE p_partkey % 3 WHEN 0 THEN 'WT' WHEN 1 THEN 'A' || p_size || 'V' ELSE 'A' || least(p_size, 25) || 'V / K' || greatest(p_size, 25) || 'R' END AS text FROM part WHERE p_size <> 25")
+@query("SELECT p_partkey AS variant, CASE p_partkey % 3 WHEN 0 THEN 'WT' WHEN 1 THEN 'A' || p_size || 'V' ELSE 'A' || least(p_size, 24) || 'V / K' || greatest(p_size, 26) || 'R' END AS text FROM part")
 def mutation_strings(spark, sf_dir):
     size = F.col("p_size")
     one = lambda place, a, b: F.struct(place.alias("place"), F.lit(a).alias("before"), F.lit(b).alias("after"))
-    low, high = one(F.least(size, F.lit(25)), "A", "V"), one(F.greatest(size, F.lit(25)), "K", "R")
+    low, high = one(F.least(size, F.lit(24)), "A", "V"), one(F.greatest(size, F.lit(26)), "K", "R")
     n = F.col("p_partkey") % 3
     made = F.when(n == 1, F.array(one(size, "A", "V"))).when(n == 2, F.array(high, low)).otherwise(F.slice(F.array(low), 1, 0))
-    return v.table(spark, sf_dir, "part").where("p_size <> 25").select(F.col("p_partkey").alias("variant"), s.mutation_text(made).alias("text"))
+    return v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant"), s.mutation_text(made).alias("text"))
 
 
 @query("WITH d AS (SELECT p_partkey AS id, 'MKTAYIAKQR' || chr((65 + p_size % 20)::INTEGER) || 'LMNPQRS' AS seq FROM part), p AS (SELECT id, unnest(range(1, length(seq) - 3)) AS place, seq FROM d), q AS (SELECT DISTINCT id, place, substr(seq, place, 5) AS motif FROM p) SELECT place::INTEGER AS place, motif FROM q GROUP BY place, motif HAVING count(*) = (SELECT count(*) FROM d) ORDER BY place LIMIT 20")

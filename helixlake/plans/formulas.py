@@ -10,7 +10,7 @@ from helixlake.sources import views as v
 
 
 @query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS dg0, 290 + l_linenumber * 5.0 AS t, CASE WHEN l_partkey % 5 = 0 THEN 0.0 ELSE l_discount * (1 + l_tax) END AS p, CASE WHEN l_suppkey % 9 = 0 THEN 0.0 ELSE l_quantity / 50 END AS q FROM lineitem)
-SELECT l_orderkey, l_linenumber, {r('dg0 + 8.314e-3 * t * ln(CASE WHEN q = 0 OR p = 0 THEN 1e-10 ELSE p / q END)', 'dg')}, {r('exp(-dg0 / (8.314e-3 * t))', 'keq', 4)} FROM x""")
+SELECT l_orderkey, l_linenumber, q = 0 AND p > 0 AS infinite, CASE WHEN NOT (q = 0 AND p > 0) THEN floor((dg0 + 8.314e-3 * t * ln(CASE WHEN p = 0 THEN 1e-10 ELSE p / q END)) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE END AS dg, {r('exp(-dg0 / (8.314e-3 * t))', 'keq', 4)} FROM x""")
 def reaction_energies(spark, sf_dir):
     n = F.lit(0.0)
     x = v.table(spark, sf_dir, "lineitem").select(
@@ -18,6 +18,8 @@ def reaction_energies(spark, sf_dir):
         F.array(F.when(F.col("l_partkey") % 5 == 0, n).otherwise(F.col("l_discount")), 1 + F.col("l_tax")).alias("p"), F.array(F.when(F.col("l_suppkey") % 9 == 0, n).otherwise(F.col("l_quantity") / 50)).alias("q"),
     )
     out = x.select("l_orderkey", "l_linenumber", op.delta_g(F.col("dg0"), F.col("t"), F.col("p"), F.col("q")).alias("dg"), op.equilibrium_constant(F.col("dg0"), F.col("t")).alias("keq"))
+    endless = F.abs("dg") == float("inf")
+    out = out.select("l_orderkey", "l_linenumber", endless.alias("infinite"), F.when(~endless, F.col("dg")).alias("dg"), "keq")
     return rounded(rounded(out, "dg"), "keq", digits=4)
 
 

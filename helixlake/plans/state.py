@@ -228,10 +228,10 @@ def landscape_edges(spark, sf_dir):
     return op.landscape_edges(p, p.groupBy("campaign").agg(F.max("variant").alias("lead")))
 
 
-@query("WITH n AS (SELECT o_custkey AS doc, o_orderkey AS place, 'label ' || o_orderkey AS label, ['enzyme', 'gene', 'metabolite'][o_orderkey % 3 + 1] AS type FROM orders WHERE o_custkey % 4 <> 0 OR o_orderkey % 3 <> 2) SELECT doc, coalesce(arg_max(label, place) FILTER (type = 'metabolite'), arg_max(label, place)) AS target FROM n GROUP BY doc")
+@query("WITH n AS (SELECT o_custkey AS doc, o_orderkey AS place, 'label ' || o_orderkey AS label, CASE WHEN o_custkey % 4 = 0 AND o_orderkey % 3 = 2 THEN 'gene' ELSE ['enzyme', 'gene', 'metabolite'][o_orderkey % 3 + 1] END AS type FROM orders) SELECT doc, coalesce(arg_max(label, place) FILTER (type = 'metabolite'), arg_max(label, place)) AS target FROM n GROUP BY doc")
 def target_nodes(spark, sf_dir):
     n = F.col("o_orderkey")
-    return op.target_node(v.table(spark, sf_dir, "orders").where("o_custkey % 4 <> 0 OR o_orderkey % 3 <> 2").select(F.col("o_custkey").alias("doc"), n.alias("place"), F.concat(F.lit("label "), n.cast("string")).alias("label"), _pick(["enzyme", "gene", "metabolite"], n % 3).alias("type")))
+    return op.target_node(v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), n.alias("place"), F.concat(F.lit("label "), n.cast("string")).alias("label"), F.when((F.col("o_custkey") % 4 == 0) & (n % 3 == 2), "gene").otherwise(_pick(["enzyme", "gene", "metabolite"], n % 3)).alias("type")))
 
 
 @query("""WITH t AS (SELECT o_orderkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'pathd' ELSE 'cethx' END AS tool, ['done', 'error', 'running', 'done'][o_orderkey % 4 + 1] AS status, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 3 END AS nodes, CASE WHEN o_custkey % 5 = 0 THEN 'local' END AS provider, CASE WHEN o_custkey % 7 <> 0 THEN 'broken' END AS error FROM orders)

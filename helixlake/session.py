@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table to be sent to all tasks of a join if it has been counted and has at most ``most`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixlake.functions import text
-from helixlake.operators import agent, cells, control, formulas, kinetics, lab, ledger, omics, state, trust
+from helixlake.operators import agent, cells, commits, control, formulas, kinetics, lab, ledger, omics, state, trust
 
 
 def test_gates_combine_repressed_levels(spark):
@@ -103,7 +103,7 @@ def test_state_versions_hold_together(spark, tmp_path):
     root = f"file://{tmp_path}/state"
     states = lambda *rows: spark.createDataFrame(list(rows), "project int, revision long, actor string, at int, body string")
     runs = lambda *rows: spark.createDataFrame(list(rows), "project int, run string, tool string, at int")
-    assert state.committed(spark, root) == 0 and state.read_table(spark, root, "state") is None
+    assert commits.last_version(spark, root) == 0 and state.read_table(spark, root, "state") is None
     assert state.write_states(root, states((1, 1, "a", 1, "x"), (2, 1, "a", 1, "y")), runs((1, "r1", "cellfree", 1), (2, "r2", "pathd", 1)), "sync", "first") == 1
     assert state.write_states(root, states((2, 2, "b", 2, "z")), runs((2, "r3", "dbtlflow", 2)), "sync", "second") == 2
     read = lambda t, *c: sorted(tuple(r) for r in state.read_table(spark, root, t).select(*c).collect())
@@ -128,3 +128,52 @@ def test_answers_split_into_sections_and_sentences(spark):
     assert [(r.section, r.kind, r.entry) for r in agent.sections(a).orderBy("place").collect()] == [("summary", "paragraph", "One two"), ("summary", "bullet", "dot"), ("summary", "paragraph", "three"), ("next-steps", "bullet", "go")]
     s = agent.sentences(spark.createDataFrame([(1, "One here. Two 3.5 there! 4 more.\n\nNew one")], "id int, text string")).collect()
     assert [(r.paragraph, r.sentence) for r in s] == [(0, "One here."), (0, "Two 3.5 there!"), (0, "4 more."), (1, "New one")]
+
+
+def test_products_that_requests_name(spark):
+    want = {
+        "make of (x), a design for beta-carotene? yes": "beta-carotene", "I need it for amorphadiene  biosynthesis today": "amorphadiene", "Redesign to be": None, "production of 5'-methyl x": "5'-methyl x", "for a pathway": None, "route to ab": None,
+        "PRODUCE TO Vanillin": "Vanillin", "pathway for " + "a" * 60: None, "for taxol pathway and its pathway": "taxol pathway and its", "": None, "for": None,
+    }
+    rows = spark.createDataFrame([(q,) for q in want], "q string").select("q", agent.product_name(F.col("q")).alias("p"))
+    assert {r.q: r.p for r in rows.collect()} == want
+
+
+def test_energy_of_products_without_reactants_is_infinite(spark):
+    rows = spark.createDataFrame([(1.0, [2.0], [0.0]), (1.0, [0.0], [0.0]), (1.0, [0.0], [2.0]), (1.0, [2.0], []), (1.0, [2.0, 3.0], [6.0])], "g double, p array<double>, r array<double>")
+    got = [x.e for x in rows.select(formulas.delta_g(F.col("g"), F.lit(300.0), F.col("p"), F.col("r")).alias("e")).collect()]
+    low = 1 + 8.314e-3 * 300 * -23.025850929940457
+    assert got == [float("inf"), pytest.approx(low), pytest.approx(low), pytest.approx(1 + 8.314e-3 * 300 * 0.6931471805599453), pytest.approx(1.0)]
+
+
+def test_evidence_is_that_of_all_words(spark):
+    import random
+
+    from helixlake.operators import literature
+
+    r = random.Random(5)
+    often, words = [f"the{i}" for i in range(6)], [f"w{i}" for i in range(80)]
+    texts = [(i, " ".join(r.sample(often, r.randint(2, 6)) + r.sample(words, r.randint(0, 6)))) for i in range(150)]
+    queries = [(q, r.sample(often, r.randint(0, 6)) + r.sample(words, r.randint(0, 4))) for q in range(30)] + [(90, ["none"]), (91, [])]
+    want = set()
+    for q, own in queries:
+        scored = sorted((-len(set(own) & set(t.split())), i) for i, t in texts if set(own) & set(t.split()))
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(scored[:5], 1)}
+    got = literature.evidence_for(spark.createDataFrame(queries, "query int, words array<string>"), spark.createDataFrame(texts, "id int, text string"))
+    assert {(x.query, x.id, x.score, x["rank"]) for x in got.collect()} == want
+
+
+def test_expression_neighbours_of_asked_blocks(spark):
+    import numpy as np
+
+    from helixlake.operators import spatial
+
+    x = np.random.default_rng(3).normal(size=(300, 4))
+    x[:150] = x[0] + np.random.default_rng(4).normal(size=(150, 4)) * 1e-3
+    cells_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell long, v array<double>")
+    want = set()
+    for i in range(300):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        want |= {(i, int(j)) for j in np.lexsort((np.arange(300), d))[:5]}
+    assert {(r.i, r.j) for r in spatial.expression_knn(cells_, 5, block=2).collect()} == want
