@@ -10,8 +10,8 @@ chains within budget; that its first segment agrees in full is more than it prom
 pair may miss: of 1,500 pairs each it missed 0.013 at 0.80, 0.003 at 0.82 and 0.0007 at 0.85.
 
 In a bucket all members meet its smallest one, the pivot. Those that are near copies of it are
-connected, so only pairs across what is connected so far are compared after that: the components are
-the same as if all pairs of all buckets had been compared.
+connected, so only pairs across what is connected so far are compared after that, by their whole
+fingerprints at once: the components are the same as if all pairs of all buckets had been compared.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SIMILAR = (4, 5)
 RING, SEGMENT = 166, 22
 #: Sizes of sets are put into bands, each up to BAND times the one before: four steps of what sizes of similar sets differ by.
 BAND, MOST_BANDS = (SIMILAR[1] / SIMILAR[0]) ** 4, 16
+#: Bits for a set's size beside two segments; larger sizes are the largest of these.
+SIZE_BITS = 19
 #: Bits of 3,712 that may differ: 562 is the mean at 0.8, 21.8 the standard deviation.
 TAU = 640
 #: Sets of fewer shingles skip the check of the whole distance, which is wider for them than the sets' similarity says.
@@ -149,15 +151,20 @@ def _segments(classes: DataFrame) -> DataFrame:
                 own, upper = size_bands(part.column(1).to_numpy())
                 both = np.concatenate([np.arange(len(ids)), np.flatnonzero(upper > own)])
                 band = np.concatenate([own, upper[upper > own]])
+                after = after << SIZE_BITS | np.minimum(part.column(1).to_numpy().astype(np.int64), (1 << SIZE_BITS) - 1)[:, None]
                 key = key[both] | (band << (RING.bit_length() + SEGMENT))[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(after[both].ravel()), pa.array(np.repeat(ids[both], RING))], names=["key", "after", "id"])
 
     return classes.select("id", "n", "fp").mapInArrow(expand, "key long, after long, id long")
 
 
+def _size(after: Column) -> Column:
+    return after.bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+
+
 def _chains(x: Column, y: Column) -> Column:
-    """Chains of two and three segments from an equal one stay within their share of the budget."""
-    differs, ok = x.bitwiseXOR(y), F.lit(True)
+    """The sizes may be similar, and chains of two and three segments from an equal one stay within their share of the budget."""
+    ok, differs = _may(_size(x), _size(y)), F.shiftright(x.bitwiseXOR(y), SIZE_BITS)
     for length in (2, 3):
         ok = ok & (F.bit_count(F.shiftright(differs, SEGMENT * (3 - length))) <= length * TAU // RING)
     return ok
@@ -221,9 +228,12 @@ def components(docs: DataFrame, classes: DataFrame, **names) -> DataFrame:
     # a bucket of two is its pivot and one more, which have met
     homes = common.cut(label(pivots.where("members > 2").select("key", F.col("pivot.id").alias("first")), "first", "home").select("key", "home"))
     rows = common.cut(label(rows.join(homes, "key"), "id", "own").withColumnRenamed("own", "component").withColumn("home", F.col("component") == F.col("home")))
-    x, y = rows.where("NOT home").alias("x"), rows.alias("y")  # members of the pivot's component meet the others only
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.home") | (F.col("x.id") < F.col("y.id"))) & _chains(F.col("x.after"), F.col("y.after"))
-    more = x.join(y, apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    open_ = common.cut(rows.where("NOT home").select("key").distinct())  # most buckets hold no other component
+    whole = rows.join(open_, "key", "left_semi").join(classes.select("id", "fp"), "id")
+    x, y = whole.where("NOT home").alias("x"), whole.alias("y")  # members of the pivot's component meet the others only
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.home") | (F.col("x.id") < F.col("y.id")))
+    near = _chains(F.col("x.after"), F.col("y.after")) & _close(_size(F.col("x.after")), _size(F.col("y.after")), F.col("x.fp"), F.col("y.fp"))
+    more = x.join(y, apart & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     return common.components(links.union(verified(more, classes, docs, **names)))
 
 
