@@ -122,7 +122,8 @@ def search(rows: DataFrame, queries, *, k: int = 20, vec_id: str = "vec_id", vec
     query's takes no part in its list, nor does a vector of another length. Vectors that are null, zero or
     with null or non-finite components, and rows with a null id, are neither queries nor candidates. Repeated
     rows (same id and vector) count once; an id with vectors of several lengths has a list for each. Equal vectors are one class in the index, of which the ids that
-    can reach a list, the smallest k and one more, are kept: the others can't be in any.
+    can reach a list, the smallest k and one more, are kept: the others can't be in any. A query visits as many
+    leaves as calibration says, and more where these hold too few for a list. An empty table gives an empty one.
     """
     base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id IS NOT NULL")
     out = base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -158,12 +159,25 @@ def _search(good: DataFrame, queries, k: int, recall: float, block: int) -> Data
 
     index = common.cut(classes.select("cid", "v", "ids", "first_id").mapInArrow(place, T.StructType([*(classes.schema[c] for c in ("cid", "v", "ids", "first_id")), T.StructField("leaf", T.LongType())])))
     leaves = _calibrate(index, probes.where(_share("cid", CALIBRATION, questions, "calibrate")), tree, k, recall)
+    every = int((tree.leaf >= 0).sum())
+    held = np.zeros(every, np.int64)
+    for r in index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).toLocalIterator():  # a row for each leaf of the tree
+        held[r.leaf] = r.n
+    sizes = classes.sparkSession.sparkContext.broadcast(held)
+
+    def reached(q: np.ndarray) -> np.ndarray:
+        """The leaves that a query visits: as many as calibration says, and on until they hold what a list needs."""
+        found = np.asarray(sent.value.best_first(q, leaves))
+        if sizes.value[found].sum() < deep:
+            found = np.asarray(sent.value.best_first(q, every))
+            found = found[: int(np.searchsorted(np.cumsum(sizes.value[found]), deep)) + 1]
+        return found
 
     def visit(frames):
         for frame in frames:
             for at in range(0, frame.num_rows, 256):
                 part = frame.slice(at, 256)
-                found = [np.sort(sent.value.best_first(q, leaves)) for q in vectors.matrix(part.column(1))]
+                found = [np.sort(reached(q)) for q in vectors.matrix(part.column(1))]
                 bins = [np.unique(f // BIN, return_index=True) for f in found]
                 take = pa.array(np.repeat(np.arange(len(found)), [len(b) for b, _ in bins]))
                 lists = [x for f, (_, first) in zip(found, bins) for x in np.split(f, first[1:])]

@@ -308,6 +308,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, doc_id: str = "doc
 
     Null texts count as empty (no ids, empty text), null and repeated ids are carried, other columns
     aren't read. Every match of the pattern is encoded by itself; there are no special tokens.
+    An empty table gives an empty one.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = common.arrow_type(own, "doc_id")

@@ -70,7 +70,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, doc_id: str = "doc_
 
     ``license`` is that of the entire text or null, ``n_notices`` counts the lines that are known texts by
     themselves and ``notices`` joins their licences, each once, by commas (empty without any). Texts that
-    are null or have no words have a null digest. Equal rows give equal rows; ids may be null or repeat.
+    are null or have no words have a null digest. Equal rows give equal rows; ids may be null or repeat; whole
+    texts of any length are read. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     digests = known_digests(spark.createDataFrame(license_texts.KNOWN, "license string, text string") if known is None else known)
@@ -81,7 +82,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, doc_id: str = "doc_
     if digests.count() <= BROADCAST_KNOWN:
         digests = F.broadcast(digests)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lines = base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), canonical_lines(F.col("text")).alias("lines"))
+    lines = base.select("doc_id", common.row_key("doc_id", "text").alias("row"), canonical_lines(F.col("text")).alias("lines"))
     whole = F.array_join(F.transform("lines", lambda x: x["line"]), "  ")
     made = lines.select("doc_id", "row", F.when(F.size("lines") > 0, digest(whole)).alias("digest"), F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), digest(x["line"]).alias("digest"))).alias("lines"))
     made = common.cut(made.join(digests, "digest", "left").select("doc_id", "row", "digest", "license", "lines"))

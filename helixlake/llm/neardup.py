@@ -122,7 +122,7 @@ def link_vectors(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embe
     ``similar``. Vectors of different lengths never link. Vectors that are null, zero or that hold null or
     non-finite components link with nothing: no links, their own component, kept. Equal vectors of a label
     are one class until the end, so copies cost nothing. Repeated ids are rows like others; null ids are never named as a component
-    unless no member has an id, and a row without an id is never ``kept``.
+    unless no member has an id, and a row without an id is never ``kept``. An empty table gives an empty one.
     """
     base = rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     able = base.where("label IS NOT NULL")

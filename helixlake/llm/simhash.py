@@ -133,7 +133,7 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shing
 
     Null texts count as empty, and empty texts link like any others. Rows with a null doc_id keep it
     and belong to the component of their fingerprint; they never name one unless no id does.
-    Repeated rows are returned as often as they come.
+    Repeated rows are returned as often as they come. An empty table gives an empty one.
     """
     fps = common.cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, seed=seed))
     classes = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))

@@ -82,3 +82,13 @@ def test_recall_of_registered_parameters_without_structure(spark):
 def test_vectors_of_several_lengths(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (5, [1.0, 1.0, 0.0]), (6, [2.0, 0.0, 0.0]), (10, [3.0])]
     assert got(ann.search(frame(spark, rows), every)) == {0: [(1, 0.5)], 5: [(6, 2.0)]}
+
+
+def test_lists_are_full_even_where_leaves_are_small(spark, monkeypatch):
+    whole, real = ann.fit, table(9, 300)[:300]
+    monkeypatch.setattr(ann, "fit", lambda x: whole(x, leaf_points=3))
+    monkeypatch.setattr(ann, "_calibrate", lambda *a: 1)
+    out = got(ann.search(frame(spark, real), every))
+    assert set(out) == {i for i, _ in real if i % 5 == 0} and {len(x) for x in out.values()} == {20}
+    few = real[:7]
+    assert {len(x) for x in got(ann.search(frame(spark, few), every)).values()} == {6}
