@@ -34,6 +34,8 @@ LANGUAGES = 256
 REJECT = 0.002
 #: ... less this.
 SLACK = 0.05
+#: Clusters of less than this share of a language's sampled documents teach nothing.
+SHARE = 0.1
 #: Lengths are told apart by powers of two of the number of letters and spaces.
 BANDS = 24
 
@@ -112,11 +114,24 @@ def band(n: int) -> int:
     return min(BANDS - 1, int(n).bit_length())
 
 
-def clustered(x: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
-    """Centroids of length 1 by k-means with the cosine; they start from the row nearest to the mean, and the farthest one each."""
+def clustered(x: np.ndarray, clusters: int, share: float = SHARE) -> np.ndarray:
+    """Centroids of length 1 by k-means with the cosine.
+
+    Rows in clusters of less than ``share`` of all are left out and the rest is clustered again: texts under the wrong
+    language, or with much of another one, are few, and would otherwise have centroids of their own.
+    """
+    while True:
+        centres, at = _means(x, clusters)
+        few = np.bincount(at, minlength=len(centres)) < share * len(x)
+        if not few.any():
+            return centres
+        x = x[~few[at]]
+
+
+def _means(x: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids, and the number of each row's; they start from the row nearest to the mean, and the farthest one each."""
     unit = lambda v: v / max(float(np.sqrt(v @ v)), 1e-30)
-    near = x @ unit(x.mean(axis=0))
-    chosen = [int(near.argmax())]
+    chosen = [int((x @ unit(x.mean(axis=0))).argmax())]
     near = x @ x[chosen[0]]
     while len(chosen) < min(clusters, len(x)):
         chosen.append(int(near.argmin()))
@@ -126,7 +141,8 @@ def clustered(x: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
         at = (x @ centres.T).argmax(axis=1)
         for k in np.unique(at):
             centres[k] = unit(x[at == k].mean(axis=0))
-    return centres
+    used = np.unique(at := (x @ centres.T).argmax(axis=1))
+    return centres[used], np.searchsorted(used, at)
 
 
 def least_cosines(cosines: np.ndarray, bands: np.ndarray, share: float = REJECT, slack: float = SLACK) -> np.ndarray:

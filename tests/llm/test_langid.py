@@ -54,7 +54,7 @@ def test_scores_are_those_of_plain_loops(spark):
     learnt = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 3 != 1]
     df = sum((langid.counts(t, 12)[0] > 0).astype(int) for t, _ in learnt)
     assert np.allclose(model.idf, [math.log((1 + len(learnt)) / (1 + n)) + 1 for n in df])
-    assert model.langs == ["aa"] * 3 + ["bb"] * 3 + ["cc"] * 3 and np.allclose((model.centroids**2).sum(axis=1), 1, atol=1e-5)
+    assert set(model.langs) == {"aa", "bb", "cc"} and model.langs == sorted(model.langs) and len(model.langs) <= 9 and np.allclose((model.centroids**2).sum(axis=1), 1, atol=1e-5)
     out = {r.doc_id: r.language for r in langid.predict(docs, model).collect()}
     for i, t, g in rows:
         count = langid.counts(t, 12)[0]
@@ -86,3 +86,13 @@ def test_edge_tables(spark):
     assert langid.identify(table.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.predict(table.withColumnRenamed("Score", "LANGUAGE"), langid.fit(table)).columns == ["doc_id", "text", "lang", "language"]
+
+
+def test_few_texts_of_another_language_have_no_centroid():
+    r = np.random.default_rng(2)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    own, other = r.random((190, 40)) + np.r_[np.ones(20) * 4, np.zeros(20)], r.random((10, 40)) + np.r_[np.zeros(20), np.ones(20) * 4]
+    x = unit(np.concatenate([own, other])).astype(np.float32)
+    centres = langid.clustered(x, 4)
+    assert 1 <= len(centres) <= 4 and np.allclose((centres**2).sum(axis=1), 1, atol=1e-5) and (centres @ unit(other.mean(axis=0)[None])[0] < 0.9).all()
+    assert len(langid.clustered(x[:1], 4)) == 1
