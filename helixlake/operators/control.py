@@ -150,7 +150,7 @@ def chain_diagnostics(payloads: DataFrame) -> DataFrame:
     An entry is (provenance_id, tool, timestamp, upstream); without an id of its own it is tool:timestamp, without those it doesn't count.
     """
     own = lambda e: F.coalesce(e["provenance_id"], F.concat_ws(":", e["tool"], e["timestamp"].cast("string")))
-    kept = F.filter(F.coalesce("entries", F.slice("entries", 1, 0)), lambda e: e["provenance_id"].isNotNull() | (e["tool"].isNotNull() & e["timestamp"].isNotNull()))
+    kept = F.filter(F.coalesce("entries", F.array().cast(payloads.schema["entries"].dataType)), lambda e: e["provenance_id"].isNotNull() | (e["tool"].isNotNull() & e["timestamp"].isNotNull()))
     x = payloads.select("payload", kept.alias("e")).select("payload", F.array_distinct(F.transform("e", own)).alias("ids"), F.flatten(F.transform("e", lambda e: F.coalesce(e["upstream"], F.array().cast("array<string>")))).alias("up"))
     return x.select("payload", "ids", F.size("ids").alias("length"), F.array_except(F.array_distinct("up"), "ids").alias("missing")).withColumn("has_missing", F.size("missing") > 0)
 
