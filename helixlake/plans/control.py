@@ -130,7 +130,7 @@ def _chains(spark, sf_dir):
 @query(f"WITH {_ENTRIES} SELECT c_custkey AS payload, count(place) AS n_entries, string_agg(coalesce(provenance_id, tool || ':' || timestamp, '-'), ',' ORDER BY place) AS chain FROM customer LEFT JOIN entries ON payload = c_custkey GROUP BY c_custkey")
 def provenance_chains(spark, sf_dir):
     name = lambda e: F.coalesce(e["provenance_id"], F.when(e["tool"].isNotNull(), F.concat_ws(":", e["tool"], e["timestamp"].cast("string"))), F.lit("-"))
-    return _chains(spark, sf_dir).select("payload", F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("n"), F.array_join(F.transform("entries", name), ",").alias("chain")).select("payload", F.greatest("n", F.lit(0)).alias("n_entries"), "chain")
+    return _chains(spark, sf_dir).select("payload", F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(F.transform("entries", name), ","), F.lit("-")).alias("chain")).select("payload", F.greatest("n", F.lit(0)).alias("n_entries"), "chain")
 
 
 @query(f"""WITH {_ENTRIES}, kept AS (SELECT payload, place, coalesce(provenance_id, tool || ':' || timestamp) AS id, coalesce(upstream, []) AS upstream FROM entries WHERE provenance_id IS NOT NULL OR tool IS NOT NULL), firsts AS (SELECT payload, id, min(place) AS place FROM kept GROUP BY ALL), ids AS (SELECT payload, list(id ORDER BY place) AS ids FROM firsts GROUP BY payload),

@@ -22,7 +22,7 @@ def with_table(tmp_path, name, df):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["chain_diagnostics"])
+@pytest.mark.parametrize("name", ["chain_diagnostics", "provenance_chains"])
 def test_customers_without_orders_have_an_empty_chain(spark, tmp_path, name):
     customer = spark.read.parquet(f"{SF}/customer.parquet")
     more = customer.limit(2).withColumn("c_custkey", F.col("c_custkey") + 1_000_000)
