@@ -1,12 +1,14 @@
 """Shapes of stored JSON: what a value keeps, what stands in for the rest, and why something was dropped.
 
-A shape says for a Variant column ``clean``, the typed value; ``fits``, whether an item of this shape may stay in a list;
+A shape reads a Variant column as a struct of ``ok``, whether an item of this shape may stay in a list; ``value``, the typed value;
 and ``dropped``, a list of (path, reason) for everything that was there and isn't kept. Shapes nest, so a whole
-document is one expression over one parsed value.
+document is one expression over one parsed value. Every value in it is bound to a variable with its kind, and what is read of
+a field is bound before a record uses it, so that all is worked out once a row, however deep it lies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -25,14 +27,15 @@ def note(when: Column, path: Column, reason: str) -> Column:
     return F.when(when, F.array(F.struct(path.alias("path"), F.lit(reason).alias("reason")))).otherwise(none())
 
 
-def kind(v: Column) -> Column:
-    """string, number, boolean, object, array or null, as JSON has it; null where there is no value."""
-    name = F.schema_of_variant(v)
-    return F.when(name == "STRING", "string").when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null").otherwise(F.when(name.isNotNull(), "number"))
+def bound(v: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a column that is worked out once, as a variable."""
+    return F.get(F.transform(F.array(v), use), F.lit(0))
 
 
-def is_a(v: Column, wanted: str) -> Column:
-    return F.coalesce(kind(v) == wanted, F.lit(False))
+def kind(v: Column) -> Column:
+    """string, number, boolean, object, array or null, as JSON has it; null where there is no value."""
+    known = F.create_map(*[F.lit(x) for pair in (("STRING", "string"), ("OBJECT", "object"), ("ARRAY", "array"), ("BOOLEAN", "boolean"), ("VOID", "null")) for x in pair])
+    return F.when(v.isNotNull(), F.coalesce(F.element_at(known, F.substring_index(F.schema_of_variant(v), "<", 1)), F.lit("number")))
 
 
 def child(v: Column, name: str) -> Column:
@@ -50,18 +53,23 @@ def items(v: Column) -> Column:
 
 
 class Shape:
-    """``wanted`` is the kind of value a shape takes."""
+    """``wanted`` is the kind of value a shape takes. ``_read`` gets a bound value with its kind, null where there is no value."""
 
     wanted = "object"
 
-    def fits(self, v: Column) -> Column:
-        return is_a(v, self.wanted)
+    def read(self, v: Column, path: Column) -> Column:
+        """A struct of ``ok``, ``value`` and ``dropped``."""
+        return bound(F.struct(v.alias("v"), kind(v).alias("kind")), lambda x: self._read(x["v"], x["kind"], path))
 
-    def clean(self, v: Column) -> Column:
+    def _read(self, v: Column, kind: Column, path: Column) -> Column:
         raise NotImplementedError
 
-    def dropped(self, v: Column, path: Column) -> Column:
-        return note(v.isNotNull() & ~self.fits(v), path, KIND)
+    def _is(self, kind: Column) -> Column:
+        return kind.eqNullSafe(self.wanted)
+
+
+def _result(ok: Column, value: Column, dropped: Column) -> Column:
+    return F.struct(ok.alias("ok"), value.alias("value"), dropped.alias("dropped"))
 
 
 @dataclass
@@ -72,11 +80,9 @@ class Text(Shape):
     filled: bool = False
     wanted = "string"
 
-    def fits(self, v):
-        return is_a(v, "string") & (v.cast("string") != "") if self.filled else is_a(v, "string")
-
-    def clean(self, v):
-        return F.when(self.fits(v), v.cast("string")).otherwise(F.lit(self.default).cast("string"))
+    def _read(self, v, kind, path):
+        ok = self._is(kind) & (v.cast("string") != "") if self.filled else self._is(kind)
+        return _result(ok, F.when(ok, v.cast("string")).otherwise(F.lit(self.default).cast("string")), note(kind.isNotNull() & ~ok, path, KIND))
 
 
 @dataclass
@@ -87,21 +93,18 @@ class Number(Shape):
     least: float | None = None
     wanted = "number"
 
-    def clean(self, v):
-        own = F.when(self.fits(v), v.cast("double")).otherwise(F.lit(self.default).cast("double"))
-        return own if self.least is None else F.greatest(own, F.lit(float(self.least)))
+    def _read(self, v, kind, path):
+        own = F.when(self._is(kind), v.cast("double")).otherwise(F.lit(self.default).cast("double"))
+        return _result(self._is(kind), own if self.least is None else F.greatest(own, F.lit(float(self.least))), note(kind.isNotNull() & ~self._is(kind), path, KIND))
 
 
 @dataclass
 class Flag(Shape):
     """True for what counts as true: not null, false, 0 or an empty text. Takes any value."""
 
-    def fits(self, v):
-        return F.lit(True)
-
-    def clean(self, v):
-        k = kind(v)
-        return F.when(k == "boolean", v.cast("boolean")).when(k == "number", v.cast("double") != 0).when(k == "string", v.cast("string") != "").otherwise(F.coalesce(k.isin("object", "array"), F.lit(False)))
+    def _read(self, v, kind, path):
+        true = F.when(kind == "boolean", v.cast("boolean")).when(kind == "number", v.cast("double") != 0).when(kind == "string", v.cast("string") != "").otherwise(F.coalesce(kind.isin("object", "array"), F.lit(False)))
+        return _result(F.lit(True), true, none())
 
 
 @dataclass
@@ -112,17 +115,11 @@ class Choice(Shape):
     default: str | None = None
     wanted = "string"
 
-    def _own(self, v):
-        return F.when(is_a(v, "string"), v.cast("string"))
-
-    def fits(self, v):
-        return F.coalesce(self._own(v).isin(*self.known), F.lit(False))
-
-    def clean(self, v):
-        return F.when(self.fits(v), self._own(v)).otherwise(F.lit(self.default).cast("string"))
-
-    def dropped(self, v, path):
-        return F.concat(note(v.isNotNull() & ~is_a(v, "string"), path, KIND), note(is_a(v, "string") & ~self.fits(v), path, VALUE))
+    def _read(self, v, kind, path):
+        own = F.when(self._is(kind), v.cast("string"))
+        ok = F.coalesce(own.isin(*self.known), F.lit(False))
+        why = F.when(self._is(kind), VALUE).otherwise(KIND)
+        return _result(ok, F.when(ok, own).otherwise(F.lit(self.default).cast("string")), F.when(kind.isNotNull() & ~ok, F.array(F.struct(path.alias("path"), why.alias("reason")))).otherwise(none()))
 
 
 @dataclass
@@ -131,17 +128,11 @@ class Whole(Shape):
 
     needs: dict[str, Shape] = field(default_factory=dict)
 
-    def fits(self, v):
-        ok = is_a(v, "object")
+    def _read(self, v, kind, path):
+        ok = self._is(kind)
         for name, shape in self.needs.items():
-            ok = ok & shape.fits(child(v, name))
-        return ok
-
-    def clean(self, v):
-        return F.when(self.fits(v), canonical(v))
-
-    def dropped(self, v, path):
-        return F.concat(note(v.isNotNull() & ~is_a(v, "object"), path, KIND), note(is_a(v, "object") & ~self.fits(v), path, INCOMPLETE))
+            ok = ok & shape.read(child(v, name), path)["ok"]
+        return bound(ok, lambda ok: _result(ok, F.when(ok, canonical(v)), F.when(kind.isNotNull() & ~ok, F.array(F.struct(path.alias("path"), F.when(self._is(kind), INCOMPLETE).otherwise(KIND).alias("reason")))).otherwise(none())))
 
 
 @dataclass
@@ -156,28 +147,31 @@ class Record(Shape):
     always: bool = False
     absent: dict[str, str | list[str]] = field(default_factory=dict)
 
-    def fits(self, v):
-        ok = is_a(v, "object")
-        for name in self.needs:
-            ok = ok & self.fields[name].fits(child(v, name))
-        return ok
-
-    def clean(self, v):
-        def part(name, shape):
-            other, own = self.absent.get(name), shape.clean(child(v, name))
-            if other is None:
-                return own
-            return F.when(is_a(v, "object"), own).otherwise(F.array(*map(F.lit, other)) if isinstance(other, list) else F.lit(other))
-
-        own = F.struct(*[part(name, shape).alias(name) for name, shape in self.fields.items()])
-        return own if self.always else F.when(self.fits(v), own)
-
-    def dropped(self, v, path):
-        own = [shape.dropped(child(v, name), F.concat(path, F.lit(f".{name}"))) for name, shape in self.fields.items()]
-        other = F.filter(F.coalesce(names(v), F.array().cast("array<string>")), lambda n: ~n.isin(*self.fields))
-        unknown = F.transform(other, lambda n: F.struct(F.concat(path, F.lit("."), n).alias("path"), F.lit(UNKNOWN).alias("reason"))).cast(DROPPED)
-        bad = F.concat(note(v.isNotNull() & (kind(v) != "null") & ~is_a(v, "object"), path, KIND), note(is_a(v, "object") & ~self.fits(v), path, INCOMPLETE))
-        return F.when(self.fits(v), F.concat(*own, unknown)).otherwise(bad)
+    def _read(self, v, kind, path):
+        each = F.struct(*[shape.read(child(v, name), F.concat(path, F.lit(f".{name}"))).alias(name) for name, shape in self.fields.items()])
+        there = self._is(kind)
+
+        def whole(parts):
+            def part(name):
+                other, own = self.absent.get(name), parts[name]["value"]
+                if other is None:
+                    return own
+                return F.when(there, own).otherwise(F.array(*map(F.lit, other)) if isinstance(other, list) else F.lit(other))
+
+            ok = there
+            for name in self.needs:
+                ok = ok & parts[name]["ok"]
+            own = F.struct(*[part(name).alias(name) for name in self.fields])
+            other = F.filter(F.coalesce(names(v), F.array().cast("array<string>")), lambda n: ~n.isin(*self.fields))
+            unknown = F.transform(other, lambda n: F.struct(F.concat(path, F.lit("."), n).alias("path"), F.lit(UNKNOWN).alias("reason"))).cast(DROPPED)
+            kept = F.concat(*[parts[name]["dropped"] for name in self.fields], unknown)
+            bad = F.concat(note(kind.isNotNull() & (kind != "null") & ~there, path, KIND), note(there, path, INCOMPLETE))
+            return _result(ok, own if self.always else F.when(ok, own), F.when(ok, kept).otherwise(bad))
+
+        if self.always:
+            return bound(each, whole)
+        read = F.when(there, bound(each, whole))  # an object that isn't there has no fields to read
+        return bound(read, lambda r: _result(F.coalesce(r["ok"], F.lit(False)), r["value"], F.coalesce(r["dropped"], note(kind.isNotNull() & (kind != "null"), path, KIND))))
 
 
 @dataclass
@@ -187,13 +181,15 @@ class List(Shape):
     item: Shape
     wanted = "array"
 
-    def clean(self, v):
-        return F.transform(F.filter(items(v), self.item.fits), self.item.clean)
-
-    def dropped(self, v, path):
+    def _read(self, v, kind, path):
         at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-        each = F.flatten(F.transform(items(v), lambda x, i: self.item.dropped(x, at(i)))).cast(DROPPED)
-        return F.concat(note(v.isNotNull() & ~is_a(v, "array"), path, KIND), each)
+        each = F.transform(items(v), lambda x, i: self.item.read(x, at(i)))
+
+        def whole(each):
+            kept = F.transform(F.filter(each, lambda x: x["ok"]), lambda x: x["value"])
+            return _result(self._is(kind), kept, F.concat(note(kind.isNotNull() & ~self._is(kind), path, KIND), F.flatten(F.transform(each, lambda x: x["dropped"])).cast(DROPPED)))
+
+        return bound(each, whole)
 
 
 @dataclass
@@ -203,20 +199,19 @@ class Map(Shape):
     item: Shape
     keys: tuple[str, ...] = ()
 
-    def _entries(self, v):
-        return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-
-    def _known(self, name):
-        return name.isin(*self.keys) if self.keys else F.lit(True)
+    def _read(self, v, kind, path):
+        at = lambda n: F.concat(path, F.lit("."), n)
+        known = lambda n: n.isin(*self.keys) if self.keys else F.lit(True)
+        entries = F.array_sort(F.map_keys(F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))))
+        own = lambda n: F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), n)
+        each = F.transform(entries, lambda n: F.struct(n.alias("name"), F.when(known(n), self.item.read(own(n), at(n))).alias("r")))
 
-    def clean(self, v):
-        return F.transform_values(F.map_filter(self._entries(v), lambda n, x: self._known(n) & self.item.fits(x)), lambda n, x: self.item.clean(x))
+        def whole(each):
+            kept = F.map_from_entries(F.transform(F.filter(each, lambda x: F.coalesce(x["r"]["ok"], F.lit(False))), lambda x: F.struct(x["name"], x["r"]["value"])))
+            gone = F.flatten(F.transform(each, lambda x: F.coalesce(x["r"]["dropped"], note(F.lit(True), at(x["name"]), UNKNOWN)))).cast(DROPPED)
+            return _result(self._is(kind), kept, F.concat(note(kind.isNotNull() & (kind != "null") & ~self._is(kind), path, KIND), gone))
 
-    def dropped(self, v, path):
-        at = lambda n: F.concat(path, F.lit("."), n)
-        own = self._entries(v)
-        each = F.transform(F.array_sort(F.map_keys(own)), lambda n: F.when(self._known(n), self.item.dropped(F.element_at(own, n), at(n))).otherwise(note(F.lit(True), at(n), UNKNOWN)))
-        return F.concat(note(v.isNotNull() & (kind(v) != "null") & ~is_a(v, "object"), path, KIND), F.flatten(each).cast(DROPPED))
+        return bound(each, whole)
 
 
 def canonical(v: Column) -> Column:
@@ -235,4 +230,4 @@ def canonical_json(text: Column) -> Column:
 
 def sanitised(parsed: Column, shape: Shape) -> Column:
     """A struct of ``value`` and ``dropped`` for a parsed document."""
-    return F.struct(shape.clean(parsed).alias("value"), shape.dropped(parsed, F.lit("$")).alias("dropped"))
+    return shape.read(parsed, F.lit("$"))

@@ -128,7 +128,7 @@ def migrate(root: str, sources: list[tuple[str, DataFrame]], default: str = "wor
             if own.where("fit").isEmpty():
                 continue
             states = ledger.latest(own.where("fit"), ["project"], [F.desc("revision"), F.asc("body")]).select("project", "revision", F.lit("system").alias("actor"), F.lit(at).alias("at"), "body")
-            runs = states.select("project", F.explode(_RUNS.clean(shapes.child(F.try_parse_json("body"), "runArtifacts"))).alias("r"))
+            runs = states.select("project", F.explode(shapes.sanitised(shapes.child(F.try_parse_json("body"), "runArtifacts"), _RUNS)["value"]).alias("r"))
             out = _tables(states, runs.select("project", F.col("r.id").alias("run"), F.col("r.toolId").alias("tool"), F.coalesce("r.createdAt", F.lit(at)).cast("int").alias("at")), None, action, "migrated an earlier state")
             break
         else:
