@@ -17,3 +17,13 @@ def test_every_value_is_looked_at_once_however_deep_it_lies(spark):
     flat = s.Record({"id": s.Text(), "more": s.List(s.Choice(("a", "b"))), "by": s.Map(deep)}, needs=("id",))
     found = row.select(s.sanitised(F.try_parse_json("j"), flat).alias("r")).first().r
     assert found["value"]["more"] == ["a"] and found["value"]["by"] == {} and [tuple(d) for d in found["dropped"]] == [("$.more[1]", "value"), ("$.more[2]", "kind"), ("$.in", "unknown"), ("$.odd", "unknown")]
+
+
+def test_dropped_fields_read_each_state_once(spark):
+    import os
+
+    from helixlake.plans import state
+
+    df = state.dropped_fields(spark, os.environ.get("HELIXLAKE_SF", "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
