@@ -86,3 +86,79 @@ def test_tasks_are_those_of_a_plain_fold_however_often_the_stream_stops(spark, n
     kinds = {(r[2], r[8]) for r in want}
     assert {("timeout", "error"), ("finish", "done"), ("finish", "error"), ("finish", "late"), ("run", "unsupported"), ("run", "running"), ("run", "idle")} <= kinds
     assert sorted(map(tuple, got), key=repr) == want
+
+
+class _Store:
+    """A state variable in memory that counts how often it is read or written."""
+
+    calls = 0
+
+    def __init__(self):
+        self.at, self.list = {}, []
+
+    def __getattribute__(self, name):
+        if name not in ("at", "list", "__class__"):
+            _Store.calls += 1
+        return super().__getattribute__(name)
+
+    def exists(self):
+        return bool(self.at or self.list)
+
+    def get(self):
+        return self.at.get(()) if () in self.at else list(self.list)
+
+    def update(self, value):
+        self.at[()] = value
+
+    def put(self, values):
+        self.list = list(values)
+
+    def clear(self):
+        self.list = []
+
+    def appendValue(self, value):
+        self.list.append(value)
+
+    def containsKey(self, key):
+        return key in self.at
+
+    def getValue(self, key):
+        return self.at.get(key)
+
+    def updateValue(self, key, value):
+        self.at[key] = value
+
+    def removeKey(self, key):
+        self.at.pop(key, None)
+
+    def keys(self):
+        return list(self.at)
+
+    def iterator(self):
+        return list(self.at.items())
+
+
+class _Handle:
+    def getValueState(self, *_):
+        return _Store()
+
+    getMapState = getListState = getValueState
+
+    def registerTimer(self, *_):
+        pass
+
+
+def test_a_batch_asks_the_state_store_a_bounded_number_of_times_an_event():
+    from datetime import datetime
+
+    from pyspark.sql import Row
+
+    fold = op.Workbench(loops._ADAPTERS, 1000)
+    fold.init(_Handle())
+    row = lambda i, kind, after=None: Row(project=1, seq=i, ts=datetime(2024, 1, 1) + timedelta(seconds=i), kind=kind, tool="pathd", task=i, after=after, ok=True)
+    n = 600
+    events = [row(i, "enqueue", -1) for i in range(n)] + [row(n + i, "run") for i in range(n)] + [row(2 * n + i, "payload") for i in range(n)]
+    _Store.calls = 0
+    got = list(fold.handleInputRows((1,), iter(events), None))
+    assert [r.status for r in got] == ["pending"] * n + ["idle"] * n + ["ok"] * n
+    assert _Store.calls < n + 50  # an entry for each task that waits
