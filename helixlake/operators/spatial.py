@@ -106,12 +106,12 @@ def knn(points: DataFrame, k: int = 6, key: str = "cell", x: str = "x", y: str =
         side *= 2
 
 
-def expression_knn(cells: DataFrame, k: int = 15, block: int = 512, pivots: int = 1024) -> DataFrame:
+def expression_knn(cells: DataFrame, k: int = 15, block: int = 512, most: int = 16384, blocks: int = 8) -> DataFrame:
     """(i, j, d, rank): the k nearest other cells in the whole gene space, ties to the smaller id. Exact.
 
-    Cells belong to the nearest of a bounded number of pivots. A cell first meets its own pivot's cells, whose
-    k-th distance bounds the rest: another pivot's cells are met only if that pivot less its radius is no farther.
-    Pivots' cells meet in blocks, so no task holds more than two of them.
+    Every cell meets every other: cells are dealt into about ``blocks`` blocks, of ``block`` to ``most`` cells each, and a task
+    compares two of them. A cell is sent to a task for each pair of its block, so what is shuffled grows with the number of
+    blocks, not with the cells that a cell is compared with; a task hands over k candidates of each cell.
     """
     import numpy as np
     import pandas as pd
@@ -119,67 +119,39 @@ def expression_knn(cells: DataFrame, k: int = 15, block: int = 512, pivots: int
     n = cells.count()
     if not n:
         return cells.select(F.col("cell").alias("i"), F.col("cell").alias("j"), F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
-    few = cells.orderBy(F.md5(F.col("cell").cast("string").cast("binary")), "cell").limit(max(1, min(pivots, n // block))).select("v").toPandas()  # at most ``pivots`` vectors
-    centre = np.stack(few["v"].to_numpy())
+    size = min(most, max(block, -(-n // blocks)))
+    parts = -(-n // size)
     kind = cells.schema["cell"].dataType.simpleString()
-
-    def place(frames):
-        for f in frames:
-            x = np.stack(f["v"].to_numpy()) if len(f) else np.empty((0, centre.shape[1]))
-            d = np.stack([np.sqrt(((x - c) ** 2).sum(1)) for c in centre], axis=1) if len(f) else np.empty((0, len(centre)))
-            yield pd.DataFrame({"cell": f["cell"], "v": f["v"], "g": d.argmin(1), "far": d.min(1)})
-
-    own = cut(cells.select("cell", "v").mapInPandas(place, f"cell {kind}, v array<double>, g int, far double"))
-    sizes = own.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.max("far").alias("radius"))
-    known = sizes.toPandas().set_index("g")  # a row for each pivot
-    radius, blocks = np.full(len(centre), -np.inf), np.zeros(len(centre), int)
-    radius[known.index], blocks[known.index] = known["radius"], known["blocks"]
-    held = own.join(F.broadcast(sizes.select("g", "blocks")), "g").select(F.col("g").alias("hg"), F.pmod(F.xxhash64("cell"), F.col("blocks").cast("long")).cast("int").alias("hb"), F.col("cell").alias("to"), F.col("v").alias("w"))
+    own = cut(cells.select("cell", "v", F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int").alias("b")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"i": [], "j": [], "d": []})
-        b, ids, rows = np.stack(right["w"].to_numpy()), right["to"].to_numpy(), []
-        for key, v in zip(left["cell"].to_numpy(), left["v"].to_numpy()):
-            d = np.sqrt(((b - v) ** 2).sum(1))
-            near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))  # one more, as the cell itself may be there
-            near = near[ids[near] != key]
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            rows.append((np.full(len(near), key), ids[near], d[near]))
+        a, b, keys, ids, rows = np.stack(left["v"].to_numpy()), np.stack(right["w"].to_numpy()), left["cell"].to_numpy(), right["to"].to_numpy(), []
+        a2, b2 = (a * a).sum(1), (b * b).sum(1)
+        for at in range(0, len(a), 256):
+            x, x2 = a[at : at + 256], a2[at : at + 256]
+            rough = x2[:, None] + b2 - 2 * (x @ b.T)
+            slack = 1e-11 * (x2 + b2.max()) + 1e-300  # over what the product loses by rounding; the distances themselves are worked out below
+            bound = np.partition(rough, k, axis=1)[:, k] if len(b) > k + 1 else np.full(len(x), np.inf)  # one more, as the cell itself may be there
+            maybe = rough <= (bound + 2 * slack)[:, None]
+            maybe |= ~np.isfinite(rough)
+            r, c = np.nonzero(maybe)
+            d = np.sqrt(((b[c] - x[r]) ** 2).sum(1))
+            good = ids[c] != keys[at + r]
+            r, c, d = r[good], c[good], d[good]
+            order = np.lexsort((ids[c], d, r))
+            r, c, d = r[order], c[order], d[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            rows.append((keys[at + r[first]], ids[c[first]], d[first]))
         i, j, d = (np.concatenate(c) for c in zip(*rows))
         return pd.DataFrame({"i": i, "j": j, "d": d})
 
-    def meet(asked: DataFrame) -> DataFrame:
-        """Blocks that many cells ask for are repeated, one copy for so many of them; the others aren't."""
-        asked = cut(asked)
-        parts = cut(asked.groupBy("g", "b").agg(F.ceil(F.count("*") / (64 * block)).cast("int").alias("parts")))
-        ask = asked.join(parts, ["g", "b"]).withColumn("part", F.pmod(F.xxhash64("cell", F.lit("ask")), F.col("parts").cast("long")).cast("int"))
-        copies = held.join(parts, (F.col("hg") == F.col("g")) & (F.col("hb") == F.col("b"))).select("hg", "hb", "to", "w", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hpart"))
-        found = ask.select("g", "b", "part", "cell", "v").groupBy("g", "b", "part").cogroup(copies.groupBy("hg", "hb", "hpart")).applyInPandas(compare, f"i {kind}, j {kind}, d double")
-        return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
-
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
-    first = cut(meet(own.join(F.broadcast(sizes.select("g", "blocks")), "g").select("g", every, "cell", "v")))
-    bound = first.groupBy("i").agg(F.when(F.count("*") == k, F.max("d")).alias("bound"))
-
-    def widen(frames):
-        """The other pivots, and their blocks, in which a cell may still have one of its nearest."""
-        for f in frames:
-            keys, vectors, out = f["cell"].to_numpy(), f["v"].to_list(), []
-            for r, (v, g, most) in enumerate(zip(vectors, f["g"].to_numpy(), f["bound"].to_numpy(float))):
-                d = np.sqrt(((centre - v) ** 2).sum(1)) - radius
-                near = np.flatnonzero(d <= (np.inf if np.isnan(most) else most * (1 + 1e-9) + 1e-9))
-                near = np.repeat(near[near != g], blocks[near[near != g]])
-                out.append((np.full(len(near), r), near, np.concatenate([np.arange(c) for c in blocks[np.unique(near)]]) if len(near) else near))
-                if len(out) == 64 or r == len(keys) - 1:
-                    row, g_, b_ = (np.concatenate(c).astype(int) for c in zip(*out))
-                    yield pd.DataFrame({"g": g_, "b": b_, "cell": keys[row], "v": pd.Series([vectors[x] for x in row], dtype=object)})
-                    out = []
-
-    asked = own.join(bound, F.col("cell") == F.col("i"), "left").select("cell", "v", "g", "bound").mapInPandas(widen, f"g int, b int, cell {kind}, v array<double>")
-    more = meet(asked.select("g", "b", "cell", "v"))
-    both = first.union(more).select("i", "j", "d")
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
+    ask = own.select("cell", "v", "b", every.alias("hb"))
+    held = own.select(F.col("cell").alias("to"), F.col("v").alias("w"), F.col("b").alias("hb"), every.alias("b"))
+    found = ask.groupBy("b", "hb").cogroup(held.groupBy("b", "hb")).applyInPandas(compare, f"i {kind}, j {kind}, d double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
 def average_neighbors(cells: DataFrame, edges: DataFrame) -> DataFrame:

@@ -177,3 +177,21 @@ def test_expression_neighbours_of_asked_blocks(spark):
         d[i] = np.inf
         want |= {(i, int(j)) for j in np.lexsort((np.arange(300), d))[:5]}
     assert {(r.i, r.j) for r in spatial.expression_knn(cells_, 5, block=2).collect()} == want
+
+
+def test_neighbours_in_gene_space_send_a_cell_a_bounded_number_of_times(spark):
+    import numpy as np
+
+    from helixlake.operators import spatial
+
+    x = np.random.default_rng(5).normal(size=(2000, 64))
+    x[7] = x[9]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell long, v array<double>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = {(r.i, r["rank"]): r.j for r in spatial.expression_knn(table, 15, block=64).collect()}
+    assert (written() - before) / len(x) < 20 * 64 * 8  # 8 blocks on each side
+    for i in range(0, 2000, 97):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [got[i, r + 1] for r in range(15)] == np.lexsort((np.arange(2000), d))[:15].tolist()
