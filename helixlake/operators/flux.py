@@ -40,8 +40,8 @@ def maximize(c: np.ndarray, balances: np.ndarray, upper: np.ndarray) -> np.ndarr
     return x[: len(c)]
 
 
-def solve(scenarios: DataFrame, objective: str = "biomass", knockouts: tuple[str, ...] = ()) -> DataFrame:
-    """Fluxes of the small host network for (scenario, glucose, oxygen), and again for uptakes moved up and down for shadow prices.
+def solve(scenarios: DataFrame, objective: str = "biomass", knockouts: tuple[str, ...] = (), prices: bool = True) -> DataFrame:
+    """Fluxes of the small host network for (scenario, glucose, oxygen), and with ``prices`` again for uptakes moved up and down for shadow prices, else null.
 
     Returns (scenario, growth, biomass, product, atp_yield, carbon_efficiency, feasible, shadow_glucose, shadow_oxygen).
     Uptakes are clamped to 0..25, a knocked-out reaction has upper bound 0. Scenarios are independent rows.
@@ -69,6 +69,9 @@ def solve(scenarios: DataFrame, objective: str = "biomass", knockouts: tuple[str
                 atp = (g("GAPD") + g("PYK") - g("PFK") + g("PDH") * 0.5) / glc if glc > 1e-9 else 0.0
                 carbon = (g("BIOMASS") * CARBON_BIOMASS + g("PRODUCT") * CARBON_PRODUCT) / (glc * 6) * 100 if glc > 1e-9 else 0.0
                 grow = lambda a, b: half_up(fluxes(a, b)[at["BIOMASS"]] * GROWTH, 4)
+                if not prices:
+                    out.append((scenario, half_up(g("BIOMASS") * GROWTH, 4), half_up(g("BIOMASS"), 4), half_up(g("PRODUCT"), 4), half_up(atp, 2), half_up(min(max(carbon, 0), 100), 1), bool(c @ x > 1e-6), None, None))
+                    continue
                 e = max(0.05, glucose * 0.01)
                 by_glucose = (grow(glucose + e, oxygen) - grow(max(0.0, glucose - e), oxygen)) / (2 * e)
                 by_oxygen = (grow(glucose, oxygen + e) - grow(glucose, max(0.0, oxygen - e))) / (2 * e)
@@ -76,7 +79,8 @@ def solve(scenarios: DataFrame, objective: str = "biomass", knockouts: tuple[str
             yield pd.DataFrame(out, columns=["scenario", "growth", "biomass", "product", "atp_yield", "carbon_efficiency", "feasible", "shadow_glucose", "shadow_oxygen"])
 
     kind = scenarios.schema["scenario"].dataType.simpleString()
-    return scenarios.select("scenario", "glucose", "oxygen").mapInPandas(run, f"scenario {kind}, growth double, biomass double, product double, atp_yield double, carbon_efficiency double, feasible boolean, shadow_glucose double, shadow_oxygen double")
+    spread = scenarios.select("scenario", "glucose", "oxygen").repartition(4 * scenarios.sparkSession.sparkContext.defaultParallelism, "scenario")  # a row is milliseconds of work, files may be few
+    return spread.mapInPandas(run, f"scenario {kind}, growth double, biomass double, product double, atp_yield double, carbon_efficiency double, feasible boolean, shadow_glucose double, shadow_oxygen double")
 
 
 def closed_form(scenarios: DataFrame, objective: str = "biomass") -> DataFrame:

@@ -19,12 +19,12 @@ def _fba(carbon: float, biomass: str, product: str) -> str:
 
 @query(_fba(4.6, "pdh", "0.0"))
 def fba_ecoli_lp(spark, sf_dir):
-    return flux.solve(v.uptake(spark, sf_dir)).select("scenario", "growth", "biomass", "product", "carbon_efficiency", "feasible")
+    return flux.solve(v.uptake(spark, sf_dir), prices=False).select("scenario", "growth", "biomass", "product", "carbon_efficiency", "feasible")
 
 
 @query(_fba(6.0, "0.0", "pdh"))
 def fba_product_lp(spark, sf_dir):
-    return flux.solve(v.uptake(spark, sf_dir), "product").select("scenario", "growth", "biomass", "product", "carbon_efficiency", "feasible")
+    return flux.solve(v.uptake(spark, sf_dir), "product", prices=False).select("scenario", "growth", "biomass", "product", "carbon_efficiency", "feasible")
 
 
 @query(_fba(4.6, "pdh", "0.0"))
@@ -34,7 +34,7 @@ def fba_closed_form(spark, sf_dir):
 
 @query(f"WITH {v.UPTAKE} SELECT scenario, 0.0::DOUBLE AS growth, false AS feasible FROM uptake")
 def fba_knockout(spark, sf_dir):
-    return flux.solve(v.uptake(spark, sf_dir), knockouts=("PFK",)).select("scenario", "growth", "feasible")
+    return flux.solve(v.uptake(spark, sf_dir), knockouts=("PFK",), prices=False).select("scenario", "growth", "feasible")
 
 
 def _growth(g: str, o: str) -> str:

@@ -118,3 +118,12 @@ def test_ledger_restore_and_conflicts(spark):
     tasks = spark.createDataFrame([("a", "running"), ("b", "done")], "task string, status string")
     assert {r.task: r.status for r in ledger.restore_queue(tasks).collect()} == {"a": "error", "b": "done"}
     assert cut(tasks).count() == 2
+
+
+def test_fluxes_are_the_same_without_shadow_prices_and_spread_over_tasks(spark):
+    rows = spark.createDataFrame([(i, 2.0 + i, 9.0 - i) for i in range(6)], "scenario long, glucose double, oxygen double").coalesce(1)
+    own = ["scenario", "growth", "biomass", "product", "atp_yield", "carbon_efficiency", "feasible"]
+    plain = flux.solve(rows, "product", prices=False)
+    assert sorted(plain.select(own).collect()) == sorted(flux.solve(rows, "product").select(own).collect())
+    assert plain.where("shadow_glucose IS NOT NULL OR shadow_oxygen IS NOT NULL").isEmpty()
+    assert plain.select(F.spark_partition_id().alias("p")).distinct().count() > 1
