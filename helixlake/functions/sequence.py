@@ -125,6 +125,8 @@ def mutation_text(mutations: Column) -> Column:
 def consensus_motifs(designs: DataFrame, size: int = 5, most: int = 20) -> DataFrame:
     """(place, motif): the ``size``-mers that all designs (id, seq) share at a place."""
     n = designs.agg(F.count("*").alias("n"))
-    p = designs.where(F.length("seq") >= size).select("id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - (size - 1))).alias("place")).select("id", "place", F.substr("seq", F.col("place"), F.lit(size)).alias("motif"))
-    g = p.groupBy("place", "motif").agg(F.count_distinct("id").alias("k"))
+    sets = designs.where(F.length("seq") >= size).groupBy("id").agg(F.collect_set("seq").alias("seqs"))  # a design's own; all designs of a motif are only counted
+    at = lambda q: F.transform(F.sequence(F.lit(1), F.length(q) - (size - 1)), lambda i: F.struct(i.alias("place"), F.substr(q, i, F.lit(size)).alias("motif")))
+    p = sets.select(F.explode(F.array_distinct(F.flatten(F.transform("seqs", at)))).alias("m"))
+    g = p.groupBy("m.place", "m.motif").agg(F.count("*").alias("k"))
     return g.crossJoin(F.broadcast(n)).where("k = n").orderBy("place").limit(most).select("place", "motif")

@@ -127,3 +127,11 @@ def test_fluxes_are_the_same_without_shadow_prices_and_spread_over_tasks(spark):
     assert sorted(plain.select(own).collect()) == sorted(flux.solve(rows, "product").select(own).collect())
     assert plain.where("shadow_glucose IS NOT NULL OR shadow_oxygen IS NOT NULL").isEmpty()
     assert plain.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_motifs_count_designs_without_holding_their_ids(spark):
+    rows = [(1, "AAAAAC"), (2, "AAAAAD"), (2, "CAAAAA"), (2, "AAAAAD")]
+    n = spark.createDataFrame(rows[:2], "id long, seq string")
+    assert [tuple(r) for r in s.consensus_motifs(n).collect()] == [(1, "AAAAA")]
+    assert s.consensus_motifs(spark.createDataFrame(rows, "id long, seq string")).isEmpty()  # rows are counted, designs are two
+    assert "count(distinct" not in s.consensus_motifs(n)._jdf.queryExecution().analyzed().toString().lower()
