@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as a Parquet table in the shared folder and read back: what comes before is done once, and each reader takes the columns it needs."""
+    at = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A table to be sent to all tasks of a join if it has been counted and has at most ``most`` rows; else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixlake.functions.text import escape_html
+from helixlake.session import stored
 
 #: The namespaces of a design document, and the addresses of its terms.
 NAMESPACES = {
@@ -27,14 +28,14 @@ def _ref(c):
 
 
 def sbol_rows(components: DataFrame, interactions: DataFrame, namespace: str) -> DataFrame:
-    """A row a construct and a row a part of it, as they stand in RDF/XML.
+    """(construct, parts) of each construct as they stand in RDF/XML: its own component, and the list of its parts' components.
 
     ``components`` (doc, place, id, name, role, description) are the parts in order, ``interactions`` (doc, id, type, participants) name
     parts. A construct's parts are its features, and each must precede the next; they are few.
     """
     ns, lit = F.lit(f"{namespace}/"), F.lit
     at = lambda *parts: F.concat(ns, *parts)
-    parts = components.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("p"))
+    parts = components.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "id", "name", "role", "description"))).alias("p"))
     acts = interactions.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "type", "participants"))).alias("a"))
     doc = F.col("doc").cast("string")
     sub = lambda i: at(doc, lit("/SubComponent_"), i)
@@ -43,9 +44,9 @@ def sbol_rows(components: DataFrame, interactions: DataFrame, namespace: str) ->
     constraint = lambda x: F.struct(F.struct(at(doc, lit("/Constraint_"), x["i"].cast("string")).alias("_rdf:about"), _ref(lit(PRECEDES)).alias("sbol:restriction"), _ref(sub(x["a"])).alias("sbol:subject"), _ref(sub(x["b"])).alias("sbol:object")).alias("sbol:Constraint"))
     person = lambda i: F.struct(F.struct(_ref(sub(i)).alias("sbol:participant")).alias("sbol:Participation"))
     act = lambda a: F.struct(F.struct(at(doc, lit("/"), a["id"]).alias("_rdf:about"), a["id"].alias("sbol:displayId"), _ref(F.concat(lit(INTERACTION), F.regexp_replace(a["type"], "^SBO:", ""))).alias("sbol:type"), F.transform(a["participants"], person).alias("sbol:hasParticipation")).alias("sbol:Interaction"))
-    tops = parts.join(acts, "doc", "left").select(at(doc).alias("_rdf:about"), doc.alias("sbol:displayId"), doc.alias("sbol:name"), F.concat(lit("construct of "), F.size("p").cast("string"), lit(" parts")).alias("dcterms:description"), _ref(lit(DNA)).alias("sbol:type"), _ref(lit(CONSTRUCT)).alias("sbol:role"), F.transform("p", feature).alias("sbol:hasFeature"), F.transform(pairs, constraint).alias("sbol:hasConstraint"), F.transform("a", act).alias("sbol:hasInteraction"))
-    own = components.select(at("id").alias("_rdf:about"), F.col("id").alias("sbol:displayId"), F.col("name").alias("sbol:name"), F.coalesce("description", lit("")).alias("dcterms:description"), _ref(lit(DNA)).alias("sbol:type"), _ref(F.concat(lit(ROLE), F.regexp_replace("role", "^SO:", ""))).alias("sbol:role"))
-    return tops.unionByName(own, allowMissingColumns=True)
+    top = F.struct(at(doc).alias("_rdf:about"), doc.alias("sbol:displayId"), doc.alias("sbol:name"), F.concat(lit("construct of "), F.size("p").cast("string"), lit(" parts")).alias("dcterms:description"), _ref(lit(DNA)).alias("sbol:type"), _ref(lit(CONSTRUCT)).alias("sbol:role"), F.transform("p", feature).alias("sbol:hasFeature"), F.transform(pairs, constraint).alias("sbol:hasConstraint"), F.transform("a", act).alias("sbol:hasInteraction"))
+    own = lambda p: F.struct(at(p["id"]).alias("_rdf:about"), p["id"].alias("sbol:displayId"), p["name"].alias("sbol:name"), F.coalesce(p["description"], lit("")).alias("dcterms:description"), _ref(lit(DNA)).alias("sbol:type"), _ref(F.concat(lit(ROLE), F.regexp_replace(p["role"], "^SO:", ""))).alias("sbol:role"))
+    return parts.join(acts, "doc", "left").select(top.alias("construct"), F.transform("p", own).alias("parts"))
 
 
 def element(tag: str, c: Column, kind: T.DataType) -> Column:
@@ -61,21 +62,25 @@ def element(tag: str, c: Column, kind: T.DataType) -> Column:
 
 
 def sbol_documents(rows: DataFrame) -> DataFrame:
-    """(xml) of :func:`sbol_rows`: one whole RDF/XML document a row. Spark's own XML writer takes no names with prefixes."""
+    """(xml) of :func:`sbol_rows`: one whole RDF/XML document a construct. Spark's own XML writer takes no names with prefixes."""
     names = " ".join(f'xmlns:{prefix}="{address}"' for prefix, address in NAMESPACES.items())
-    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
-    return whole.select(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><rdf:RDF {names}>'), element(ROW, F.col("row"), whole.schema["row"].dataType), F.lit("</rdf:RDF>")).alias("xml"))
+    inside = [element(ROW, F.col(c), rows.schema[c].dataType) for c in ("construct", "parts")]
+    return rows.select(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><rdf:RDF {names}>'), *inside, F.lit("</rdf:RDF>")).alias("xml"))
 
 
 def read_sbol(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of documents that are written one a line; lines that are none are left out."""
-    lines = spark.read.text(path).select(F.from_xml("value", f"`{ROW}` STRUCT<{XML.replace('` ', '`: ')}>").alias("x"))
-    return lines.select(F.col("x")[ROW].alias("row")).where("row IS NOT NULL").select("row.*")
+    """A row a component of documents that are written one a line; lines that are none are left out.
+
+    A document is parsed once: columns and filters above an exploded list don't repeat what it is made of.
+    """
+    lines = spark.read.text(path).select(F.explode(F.array(F.from_xml("value", f"`{ROW}` ARRAY<STRUCT<{XML.replace('` ', '`: ')}>>"))).alias("x"))
+    return lines.select(F.explode(F.col("x")[ROW]).alias("row")).where("row IS NOT NULL").select("row.*")
 
 
 def sbol_parts(rows: DataFrame) -> DataFrame:
     """(doc, place, id, role, name, before) read back: a construct's parts in the order that its constraints say."""
     tail = lambda c: F.element_at(F.split(c, "/SubComponent_"), -1)
+    rows = stored(rows.select(*[F.col(f"`sbol:{c}`") for c in ("displayId", "name", "role", "hasFeature", "hasConstraint")]))  # read three times
     tops = rows.where(F.col("`sbol:hasFeature`").isNotNull())
     features = tops.select(F.col("`sbol:displayId`").alias("doc"), F.posexplode(F.col("`sbol:hasFeature`")).alias("place", "f"))
     features = features.select("doc", "place", tail(F.col("f")["sbol:SubComponent"]["_rdf:about"]).alias("id"))
