@@ -57,6 +57,61 @@ def site_scores(sequences: DataFrame, conserved: DataFrame) -> DataFrame:
     return j.select("id", "position", "residue", *[m.js_round(c, 3).alias(name) for c, name in ((F.col("conservation"), "conservation"), (structural, "structural"), (m.clamp(surface, 0.0, 1.0), "surface"), (composite, "composite"))])
 
 
+def top_sites(sequences: DataFrame, conserved: DataFrame, k: int = 8, most: int = 4_000_000) -> DataFrame:
+    """:func:`site_scores` of the ``k`` best sites of each row of ``sequences`` alone, where residues don't leave their row.
+
+    ``conserved`` has a row a family and place, as many as the families' longest sequences have letters; beyond ``most`` all
+    residues are joined with it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    known = conserved.select("family", "position", "conservation").limit(most + 1).toArrow()
+    if known.num_rows > most:
+        return site_scores(sequences, conserved)
+    places, values, names = (known[c].to_numpy() for c in ("position", "conservation", "family"))
+    by_family = {}
+    for name in {x for x in names if x is not None}:
+        own = names == name
+        by_family[name] = line = np.full(int(places[own].max()) + 1, np.nan)
+        line[places[own]] = values[own]
+    residue = np.isin(np.arange(128), np.frombuffer(RESIDUES.encode(), np.uint8))
+    third = lambda x: np.floor(x * 1000.0 + 0.5) / 1000.0
+
+    def best(letters: np.ndarray, line: np.ndarray, catalytic: list) -> tuple:
+        n, use = len(letters), min(len(letters), len(line))
+        p, conservation = np.arange(use), line[:use]
+        near = np.full(use, n)
+        for c in catalytic:
+            near = np.minimum(near, np.abs(p - c))
+        there = residue[np.minimum(letters[:use], 127)] & ~np.isnan(conservation) & ~np.isin(p, catalytic)
+        structural = np.clip(1 / (1 + near / 5), 0.0, 1.0)
+        share = p / n
+        surface = np.where((share < 0.15) | (share > 0.85), 0.7, 0.3) + np.where(p % 4 < 2, 0.3, 0.0)
+        composite = third((1 - np.abs(conservation - 0.5) * 2) * (1 - structural) * surface)
+        p = np.flatnonzero(there)
+        low = -composite[p]
+        if len(p) > k:
+            p = p[low <= np.partition(low, k - 1)[k - 1]]
+        p = p[np.argsort(-composite[p], kind="stable")][:k]
+        return p, letters[p], third(conservation[p]), third(structural[p]), third(np.clip(surface[p], 0.0, 1.0)), composite[p]
+
+    def score(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 1024):
+                part, rows, found = b.slice(start, 1024), [], []
+                for i, (family, text, catalytic) in enumerate(zip(*(part[c].to_pylist() for c in ("family", "sequence", "catalytic")))):
+                    if text and family in by_family:
+                        found.append(best(np.frombuffer(text.encode("utf-32-le"), "<u4"), by_family[family], [c for c in catalytic or () if c is not None]))
+                        rows += [i] * len(found[-1][0])
+                if rows:
+                    p, letters, *scores = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(rows)), pa.array(p, pa.int32()), pa.array([chr(x) for x in letters]), *map(pa.array, scores)], ["id", "position", "residue", "conservation", "structural", "surface", "composite"])
+
+    kind = sequences.schema["id"].dataType.simpleString()
+    return sequences.select("family", "id", "sequence", "catalytic").mapInArrow(score, f"id {kind}, position int, residue string, conservation double, structural double, surface double, composite double")
+
+
 def best_sites(scores: DataFrame, k: int = 8) -> DataFrame:
     """The ``k`` sites of each sequence with the highest composite, the first along the chain on ties, with rank, effect and confidence."""
     order = Window.partitionBy("id").orderBy(F.desc("composite"), "position")

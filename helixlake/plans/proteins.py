@@ -29,7 +29,7 @@ z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY composite DESC, posi
 SELECT id, position, residue, conservation, structural, surface, composite, rank, CASE WHEN structural > 0.3 AND structural < 0.6 THEN 'beneficial' WHEN conservation > 0.7 THEN 'deleterious' ELSE 'neutral' END AS effect, {r('0.6::DOUBLE + (1 - conservation) * 0.3::DOUBLE', 'confidence', 3)} FROM z WHERE rank <= 8""")
 def mutagenesis_sites(spark, sf_dir):
     s = _sequences(spark, sf_dir)
-    return op.best_sites(op.site_scores(s, op.profile(op.positions(s, ["family"])))).withColumn("position", F.col("position").cast("long"))
+    return op.best_sites(op.top_sites(s, op.profile(op.positions(s, ["family"])))).withColumn("position", F.col("position").cast("long"))
 
 
 @query(f"""WITH {v.CELLS}, x AS (SELECT cluster AS pose, cell AS id, x, y, v[3] AS z FROM cells), q AS (SELECT a.pose, a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM x a JOIN x b ON a.pose = b.pose WHERE a.id < b.id)
