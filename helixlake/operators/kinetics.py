@@ -236,10 +236,10 @@ def bootstrap_fit(readings: DataFrame, resamples: int = 50, rounds: int = 50) ->
     import pandas as pd
 
     key = F.xxhash64(*readings.columns)
-    u = lambda r: F.pmod(F.xxhash64(key, r), F.lit(1 << 20)) / float(1 << 20)
+    u = lambda r: F.pmod(F.xxhash64("key", r), F.lit(1 << 20)) / float(1 << 20)
     poisson = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)
     weight = lambda p: sum((F.when(p > t, 1).otherwise(0) for t in poisson), F.lit(0))
-    each = readings.select("sample", "s", "rate", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda r: weight(u(r)))).alias("r", "w")).where("w > 0")
+    each = readings.select("sample", "s", "rate", key.alias("key"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r")).withColumn("w", weight(u(F.col("r")))).where("w > 0").drop("key")
     kind = readings.schema["sample"].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
