@@ -90,12 +90,26 @@ def sbol_parts(rows: DataFrame) -> DataFrame:
 
 
 def load_cases(spark: SparkSession, path: str, names: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """The cases (file, caseId, title, category, toolId) of the JSON files in a folder and those below, and (file, error) of all that is wrong with files.
+    """:func:`read_cases` of the JSON files in a folder and those below."""
+    raw = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", True).text(path, wholetext=True)
+    return read_cases(raw.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def load_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_cases` of files that are kept many to a bundle, one a line: an object of its name, ``file``, and its text, ``value``.
+
+    Small files by the hundred thousand cost a folder's listing, an opening and a renaming each; bundles are as large as their tasks.
+    """
+    return read_cases(spark.read.schema("file STRING, value STRING").json(path))
+
+
+def read_cases(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cases (file, caseId, title, category, toolId) of files (file, value), and (file, error) of all that is wrong with files.
 
     A file that can't be parsed, whose root is no object or that has no list of cases is an error and no exception; a file's
     unknown names and a missing ``$schema`` are errors too, and its cases count all the same.
     """
-    raw = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    raw = files.select("file", F.explode(F.array(F.try_parse_json("value"))).alias("v"))  # parsed once
     kind = F.schema_of_variant("v")
     root = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
     listed = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.cases", "variant")).startswith("ARRAY"), F.lit(False))

@@ -23,3 +23,16 @@ def test_a_design_is_one_document_and_is_parsed_once(spark, tmp_path):
     assert read._jdf.queryExecution().executedPlan().toString().count("from_xml(") == 1
     got = {tuple(r) for r in exchange.sbol_parts(rows).select("doc", "place", "id", "role", "name", "before").collect()}
     assert got == {(str(d), i, f"p{d + 2 * i}", "SO:0000316", "a & b", f"p{d + 2 * i + 2}" if i < 2 else None) for d in range(2) for i in range(3)}
+
+
+def test_bundled_files_give_what_a_folder_of_files_gives(spark, tmp_path):
+    texts = {"a": '{"$schema": "s",\n "cases": [{"caseId": "1", "title": "t"}, {"caseId": 2}]}', "b": "{", "c": "[]", "d": '{"cases": {}, "x": 1}'}
+    for n, t in texts.items():
+        (tmp_path / "folder" / n).mkdir(parents=True)
+        (tmp_path / "folder" / n / f"{n}.json").write_text(t)
+    spark.createDataFrame([(f"/{n}.json", t) for n, t in texts.items()], "file string, value string").coalesce(1).write.json(str(tmp_path / "bundle"))
+    rows = lambda tables: [sorted(map(str, (tuple(r) for r in t.withColumn("file", F.regexp_extract("file", "([a-z])[.]json$", 1)).collect()))) for t in tables]
+    cases, errors = rows(exchange.load_bundles(spark, str(tmp_path / "bundle")))
+    assert [cases, errors] == rows(exchange.load_cases(spark, str(tmp_path / "folder"), "*.json"))
+    assert len(cases) == 2 and len(errors) == 5
+    assert len(list((tmp_path / "bundle").glob("part-*"))) == 1
