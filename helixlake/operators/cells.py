@@ -87,15 +87,32 @@ def hulls(points: DataFrame, by: str) -> DataFrame:
 
 def codon_optimised(proteins: DataFrame) -> DataFrame:
     """(id, dna, cai, gc): the best codon of each residue, NNN for others; adaptation is the geometric mean of frequencies."""
-    codon = F.create_map(*[F.lit(v) for a, (c, _) in CODONS.items() for v in (a, c)])
-    weight = F.create_map(*[F.lit(v) for a, (_, w) in CODONS.items() for v in (a, w)])
-    residues = F.filter(F.split("seq", ""), lambda a: a != "")
-    known = F.filter(residues, lambda a: F.element_at(codon, a).isNotNull())
-    dna = F.array_join(F.transform(residues, lambda a: F.coalesce(F.element_at(codon, a), F.lit("NNN"))), "")
-    logs = F.aggregate(known, F.lit(0.0), lambda acc, a: acc + F.log(F.element_at(weight, a)))
-    cai = F.when(F.size(known) > 0, F.exp(logs / F.size(known))).otherwise(0.0)
-    gc = m.ratio((F.length(dna) - F.length(F.translate(dna, "GC", ""))) * 100.0, F.length(dna))
-    return proteins.select("id", dna.alias("dna"), m.js_round(cai, 3).alias("cai"), m.js_round(gc, 3).alias("gc"))
+    import numpy as np
+    import pyarrow as pa
+
+    codons, logs, known = np.full((256, 3), ord("N"), np.uint8), np.zeros(256), np.zeros(256, bool)
+    for a, (codon, weight) in CODONS.items():
+        codons[ord(a)], logs[ord(a)], known[ord(a)] = list(codon.encode()), np.log(weight), True
+
+    def translate(batches):
+        for b in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            text = b["seq"].cast(pa.large_string())
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + b.num_rows + 1]
+            letters = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            there = np.flatnonzero(np.diff(ends))  # no sums over empty ranges
+            sums = np.zeros((2, b.num_rows))
+            if len(there):
+                sums[:, there] = [np.add.reduceat(x[letters].astype(float), ends[there]) for x in (known, logs)]
+            dna = pa.LargeStringArray.from_buffers(b.num_rows, pa.py_buffer((ends * 3).tobytes()), pa.py_buffer(codons[letters].tobytes()))
+            yield pa.RecordBatch.from_arrays([b["id"], dna.cast(pa.string()), *map(pa.array, sums)], ["id", "dna", "known", "logs"])
+
+    kind = proteins.schema["id"].dataType.simpleString()
+    one = F.coalesce(F.regexp_replace("seq", f"[^{''.join(CODONS)}]", "-"), F.lit("")).alias("seq")  # a byte a letter
+    t = proteins.select("id", one).mapInArrow(translate, f"id {kind}, dna string, known double, logs double")
+    cai = F.when(F.col("known") > 0, F.exp(F.col("logs") / F.col("known"))).otherwise(0.0)
+    gc = m.ratio((F.length("dna") - F.length(F.translate("dna", "GC", ""))) * 100.0, F.length("dna"))
+    return t.select("id", "dna", m.js_round(cai, 3).alias("cai"), m.js_round(gc, 3).alias("gc"))
 
 
 def block_pairs(rows: DataFrame, by: str, key: str, size: int = 2048) -> DataFrame:
