@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from helixlake.operators import asof
 from helixlake.operators import sessions as op
 from helixlake.plans.registry import query
+from helixlake.session import stored
 from helixlake.sources import constants as k
 from helixlake.sources import views as v
 
@@ -30,10 +31,11 @@ def _sources(spark, sf_dir):
     )
     li = v.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.unix_date(F.col("l_shipdate").cast("date"))).cast("long").alias("day"), F.sum("l_partkey").alias("s"))
     li = li.join(od.select("o_orderkey", "o_custkey", "o_orderpriority"), li.l_orderkey == F.col("o_orderkey"))
+    li = stored(li.select("o_orderkey", "o_custkey", "o_orderpriority", "l_linenumber", "day", "s"))  # read for tasks and for every use of the logs
     s, line = F.col("s"), F.col("l_linenumber")
     events = li.select(n.alias("session"), o.alias("task"), (s % 3).alias("at"), line.alias("event"), F.col("o_orderpriority").alias("label"), _pick(k.TOOLS, o % 14).alias("tool"), _pick(_STATES, s % 5).alias("status"), o.alias("created"), F.when(s % 2 == 0, s).alias("started"), F.when(s % 5 == 2, s + 1).alias("finished"))
     logs = li.select(n.alias("session"), (o * 10 + line).alias("log"), F.col("day").alias("at"), _pick(_PHASES, s % 7).alias("phase"), F.concat(F.lit("note "), s.cast("string")).alias("message"), F.when(s % 4 != 0, o).alias("task"), F.when(s % 6 != 0, _pick(k.TOOLS, o % 14)).alias("tool"), F.when(s % 3 != 0, plan(n)).alias("plan"), F.when(s % 5 != 0, s % 5 != 1).alias("ok"))
-    return sessions, steps, op.latest_tasks(events), logs
+    return sessions, steps, stored(op.latest_tasks(events)), logs
 
 
 def _words(words) -> str:
