@@ -45,8 +45,12 @@ def keywords(articles: DataFrame, top: int = 12) -> DataFrame:
     title = F.filter(F.transform(F.split("title", r"\s+"), clean), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, F.lower(w)))
     acronyms = F.regexp_extract_all("abstract", F.lit(r"\b([A-Z][A-Z0-9]{1,9})\b"), F.lit(1))
     hyphens = F.filter(F.slice(F.regexp_extract_all("abstract", F.lit(r"\b([a-zA-Z]+-[a-zA-Z]+(?:-[a-zA-Z]+)?)\b"), F.lit(1)), 1, 8), lambda w: F.length(w) > 5)
-    listed = articles.select("id", F.explode(F.array(*[F.struct(w.alias("words"), F.lit(n).alias("kind")) for w, n in ((title, "title"), (acronyms, "acronym"), (hyphens, "hyphenated"))])).alias("l")).select("id", F.explode("l.words").alias("word"), "l.kind").distinct()
-    return listed.unionByName(frequent_words(articles, top).select("id", "word", F.lit("frequent").alias("kind")))
+    kinds = ((title, "title"), (acronyms, "acronym"), (hyphens, "hyphenated"), (_words("abstract"), "frequent"))
+    own = articles.select("id", "title", "abstract").repartition("id")  # texts are dealt once, words stay where they are
+    each = own.select("id", F.explode(F.array(*[F.struct(w.alias("words"), F.lit(n).alias("kind")) for w, n in kinds])).alias("l")).select("id", F.explode("l.words").alias("word"), "l.kind")
+    n = each.groupBy("id", "kind", "word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("id", "kind").orderBy(F.desc("n"), "word"))
+    return n.withColumn("rank", rank).where((F.col("kind") != "frequent") | (F.col("rank") <= top)).select("id", "word", "kind")
 
 
 def _words(text) -> Column:
