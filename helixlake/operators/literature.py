@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import text as x
-from helixlake.session import cut
+from helixlake.session import cut, small
 from helixlake.sources import constants as k
 
 #: Share of the texts from which a word of a query is common.
@@ -104,9 +104,10 @@ def evidence_for(query_words: DataFrame, evidence: DataFrame, limit: int = 5) ->
     """
     k = max(1, min(limit, 12))
     w = cut(query_words.select("query", F.explode("words").alias("word")).distinct())
-    e = cut(evidence.select("id", F.explode(F.array_distinct(F.split(x.normalise(F.col("text")), " "))).alias("word")))
-    n = e.select("id").distinct().count()
-    common = e.join(w.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") > max(COMMON * n, k)).select("word")
+    asked = small(w.select("word").distinct())
+    e = cut(evidence.select("id", F.explode(F.array_distinct(F.split(x.normalise(F.col("text")), " "))).alias("word")).join(asked, "word", "left_semi"))
+    n = evidence.where("text IS NOT NULL").select("id").distinct().count()
+    common = e.groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") > max(COMMON * n, k)).select("word")
     common = cut(common)
     met = cut(w.join(common, "word", "left_anti").join(e, "word").groupBy("query", "id").agg(F.count("*").alias("rare")))
     often = e.join(common, "word", "left_semi").join(met.select("id").distinct(), "id", "left_semi")
