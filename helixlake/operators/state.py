@@ -143,13 +143,17 @@ def migrate(root: str, sources: list[tuple[str, DataFrame]], default: str = "wor
     return commits.commit(spark, root, make, only_first=True)
 
 
+def state_fields(states: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """(key, there, value, dropped) of stored states as JSON texts: whether the text is an object, its fields in a struct that is never null, and (path, reason) of all that isn't kept."""
+    s = shapes.staged(states, F.try_parse_json(body), state_shapes.STATE, key)
+    control = F.col("value.workflowControl")
+    shown = control.withField("isDemoOnly", control["isDemoOnly"] | (control["status"] == "demoOnly"))
+    return s.select(key, F.col("ok").alias("there"), F.col("value").withField("schemaVersion", F.lit(1.0)).withField("workflowControl", shown).alias("value"), "dropped")
+
+
 def clean_states(states: DataFrame, key: str, body: str = "body") -> DataFrame:
     """(key, value, dropped) of stored states as JSON texts: the state with all its fields, null where the text is no object, and (path, reason) of all that isn't kept."""
-    parsed = states.select(key, F.try_parse_json(body).alias("parsed"))
-    own = parsed.select(key, shapes.sanitised(F.col("parsed"), state_shapes.STATE).alias("s"))
-    control = F.col("s.value.workflowControl")
-    shown = control.withField("isDemoOnly", control["isDemoOnly"] | (control["status"] == "demoOnly"))
-    return own.select(key, F.when(F.col("s.value").isNotNull(), F.col("s.value").withField("schemaVersion", F.lit(1.0)).withField("workflowControl", shown)).alias("value"), F.col("s.dropped").alias("dropped"))
+    return state_fields(states, key, body).select(key, F.when(F.col("there"), F.col("value")).alias("value"), "dropped")
 
 
 def experiment_list(records: DataFrame, limit: int = 24) -> DataFrame:

@@ -27,3 +27,26 @@ def test_dropped_fields_read_each_state_once(spark):
     df = state.dropped_fields(spark, os.environ.get("HELIXLAKE_SF", "/root/testdata/sf0.001"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") + plan.count("parseJson") == 1
+
+
+def test_documents_are_read_in_columns_as_in_one_expression(spark):
+    inner = s.Record({"id": s.Text(), "n": s.Number(0, 0), "by": s.Map(s.Whole({"k": s.Choice(("a", "b"))}), ("x", "y"))}, needs=("id",))
+    shape = s.Record({"id": s.Text(filled=True), "one": inner, "kept": s.Record({"flag": s.Flag(), "s": s.Choice(("a", "b"), "b")}, always=True, absent={"s": "a"}), "all": s.List(inner), "words": s.List(s.Text())}, needs=("id",))
+    docs = [
+        '{"id": "x", "one": {"id": "y", "n": -2, "by": {"x": {"k": "a", "z": 1.0}, "y": {"k": 1}, "z": {}}, "odd": 1}, "kept": {"flag": "", "s": "c"}, "all": [{"id": "a", "by": null}, {"n": 1}, null, 3, {"id": "b", "n": 2.5, "more": []}], "words": ["v", null, 2]}',
+        '{"id": "", "one": 1}', '{"id": "x", "one": null, "kept": [], "all": {}, "words": "v"}', '{"id": "x", "one": {"n": 1}, "kept": {"flag": [], "other": {}}, "all": [[]]}', "[]", "null", "no json", None, "{}",
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, j string")
+    want = {r.i: r.s.asDict(True) for r in df.select("i", s.sanitised(F.try_parse_json("j"), shape).alias("s")).collect()}
+    got = {r.i: r.asDict(True) for r in s.staged(df, F.try_parse_json("j"), shape, "i").select("i", F.when(F.col("ok"), F.col("value")).alias("value"), "dropped").collect()}
+    assert len(got) == len(docs) and all(got[i]["value"] == want[i]["value"] and got[i]["dropped"] == want[i]["dropped"] for i in want)
+    assert [x["id"] for x in got[0]["value"]["all"]] == ["a", "b"] and ("$.one.by.y", "incomplete") in [tuple(d.values()) for d in got[0]["dropped"]]
+
+
+def test_dropped_fields_has_no_work_with_values(spark):
+    import os
+
+    from helixlake.plans import state
+
+    plan = state.dropped_fields(spark, os.environ.get("HELIXLAKE_SF", "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Synthetic Biology Program" not in plan
