@@ -180,7 +180,7 @@ class Number(Shape):
     wanted = "number"
 
     def _is(self, kind):
-        return F.coalesce(~kind.isin("STRING", "BOOLEAN", "VOID") & ~deep(kind), F.lit(False))
+        return F.coalesce(F.substring(kind, 1, 3).isin("BIG", "DEC", "DOU", "FLO"), F.lit(False))  # BIGINT, DECIMAL(3,1): what JSON's numbers are read as
 
     def _value(self, v, kind, inner):
         own = F.when(self._is(kind), v.cast("double")).otherwise(F.lit(self.default).cast("double"))
@@ -237,7 +237,7 @@ class Whole(Shape):
         def has(o):
             ok = F.lit(True)
             for name, shape in self.needs.items():
-                ok = ok & bound(shape.kind(o[name]), lambda k: shape._ok(o[name], k, None))
+                ok = ok & shape._ok(o[name], shape.kind(o[name]), None)
             return ok
 
         return F.coalesce(F.when(self._is(kind), bound(children(v, self.needs), has)), F.lit(False))
@@ -359,6 +359,9 @@ class Map(Shape):
         return F.concat(path, F.lit("."), n)
 
     def _inner(self, v, kind, path, what):
+        if "dropped" not in what and self.keys:  # other names leave nothing
+            one = lambda o, n: F.when(o[n].isNotNull(), F.struct(F.lit(n).alias("name"), self.item.read(o[n], path, what).alias("r")))
+            return bound(children(v, sorted(self.keys)), lambda o: F.array(*[one(o, n) for n in sorted(self.keys)]))
         known = lambda n: n.isin(*self.keys) if self.keys else F.lit(True)
         read = lambda m, n: F.struct(n.alias("name"), F.when(known(n), self.item.read(F.element_at(m, n), self._at(path, n), what)).alias("r"))
         entries = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
